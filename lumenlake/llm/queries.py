@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm import common as C
-from lumenlake.llm import langid, quality, toxicity
+from lumenlake.llm import decontam, jaccard, langid, lines, quality, toxicity
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -19,17 +19,29 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_quality(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.contained(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.near_components(_read(spark, sf, "documents"), k=4, percent=85)
+
+
 def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents")
     model = langid.fit(docs.where(C.fold(F.col("doc_id"), 4) != 2))
     return langid.apply(docs, model).select("doc_id", (C.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.line_dedup(_read(spark, sf, "documents"), min_docs=10)
+
+
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents")
     model = toxicity.fit(docs.where(C.fold(F.col("doc_id"), 5) != 0), _read(spark, sf, "labels"))
     return toxicity.apply(docs, model).select("doc_id", (C.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op7_language_id, op9_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_toxicity)}
+ORACLES: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
