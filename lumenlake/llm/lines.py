@@ -34,17 +34,20 @@ def _row_key(docs: DataFrame) -> list[Column]:
     return [docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(_text(docs)).alias("_text_hash")]
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, long_words: int | None = None, long_docs: int = 2) -> DataFrame:
     """_doc, _text_hash, lost: array of (word, bits) for the documents that lose a line. A line goes if its key is found in
-    at least min_docs documents; with keep_first, the key's first line by (doc_id, position) stays."""
+    at least min_docs documents (long_docs, if it has more than long_words words); with keep_first, the key's first line by
+    (doc_id, position) stays."""
     exploded = docs.select(*_row_key(docs), F.posexplode(F.split(_text(docs), "\n")).alias("pos", "line"))
     keyed = exploded.select("_doc", "_text_hash", "pos", line_key(F.col("line")).alias("k")).where(F.length("k") > 0)
-    hashed = keyed.select(F.xxhash64("k").alias("h"), F.xxhash64(F.lit(7), "k").alias("h2"), "_doc", "_text_hash", "pos")
+    long = F.size(F.regexp_extract_all("k", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))) > long_words if long_words else F.lit(False)
+    hashed = keyed.select(F.xxhash64("k").alias("h"), F.xxhash64(F.lit(7), "k").alias("h2"), "_doc", "_text_hash", "pos", long.alias("long"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = C.stored(hashed.repartitionByRange(parts, "h", "h2", "_doc").sortWithinPartitions("h", "h2", "_doc", "pos"), "lines")
     # The sorted order is streamed: a row opens its document if the row before it has another key or document.
-    firsts = lines.groupBy("h", "h2", "_doc").agg(F.min("pos").alias("pos"))
-    keys = firsts.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_doc", "pos")).alias("first")).where(F.col("n") >= min_docs)
+    firsts = lines.groupBy("h", "h2", "_doc").agg(F.min("pos").alias("pos"), F.first("long").alias("long"))
+    keys = firsts.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_doc", "pos")).alias("first"), F.first("long").alias("long"))
+    keys = keys.where((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= long_docs))).drop("long")
     hit = lines.join(keys, ["h", "h2"])
     if keep_first:
         hit = hit.where(~(F.col("_doc").eqNullSafe(F.col("first._doc")) & (F.col("pos") == F.col("first.pos"))))
@@ -52,9 +55,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     return word.groupBy("_doc", "_text_hash").agg(F.collect_list(F.struct("word", "bits")).alias("lost"))
 
 
-def dedup_text(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
+def dedup_text(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, long_words: int | None = None, long_docs: int = 2) -> DataFrame:
     """docs with _kept (the text without its lost lines), _n_lines and _n_dropped."""
-    bitmaps = keep_bitmaps(docs, min_docs, keep_first)
+    bitmaps = keep_bitmaps(docs, min_docs, keep_first, long_words, long_docs)
     left = docs.select(docs["*"], *_row_key(docs))
     on = left["_doc"].eqNullSafe(bitmaps["_doc"]) & (left["_text_hash"] == bitmaps["_text_hash"])
     joined = left.join(bitmaps.withColumnRenamed("lost", "_lost"), on, "left").drop("_doc", "_text_hash")

@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm import common as C
-from lumenlake.llm import decontam, jaccard, langid, lines, quality, toxicity
+from lumenlake.llm import decontam, html, jaccard, langid, lines, pieces, quality, shards, toxicity
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op2_token_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.materialise(_read(spark, sf, "documents"))[0]
+
+
+def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.roundtrip(_read(spark, sf, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_quality(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
 
@@ -43,5 +51,9 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.apply(docs, model).select("doc_id", (C.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_toxicity)}
+def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html.extract(_read(spark, sf, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_shards, op3_sentencepiece, op4_quality_rules, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_toxicity, op10_html_extraction)}
 ORACLES: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
