@@ -76,7 +76,7 @@ class DoubleArray:
         n = 1 << 16
         self.base, self.check, self.value = np.zeros(n, np.int32), np.full(n, -1, np.int32), np.full(n, -1, np.int32)
         self.check[0] = 0
-        free, stack = 1, [(0, 0, len(words), 0)]
+        free, crowded, stack = 1, 1, [(0, 0, len(words), 0)]
         while stack:
             state, lo, hi, depth = stack.pop()
             if lo < hi and len(words[lo][0]) == depth:
@@ -92,14 +92,19 @@ class DoubleArray:
             codes = np.array([c for c, _ in runs]) + 1
             while self.check[free] != -1:
                 free += 1
-            at = max(free - int(codes[0]), 0)
-            while True:
-                if at + 260 >= len(self.check):
+            at, lowest = -1, free if len(codes) == 1 else max(free, crowded)
+            while at < 0:  # the first place from here on where all children find a free cell
+                while lowest + 1024 + 260 >= len(self.check):
                     grow = len(self.check)
                     self.base, self.check, self.value = np.append(self.base, np.zeros(grow, np.int32)), np.append(self.check, np.full(grow, -1, np.int32)), np.append(self.value, np.full(grow, -1, np.int32))
-                if (self.check[at + codes] == -1).all():
-                    break
-                at += 1
+                open_at = lowest + np.flatnonzero(self.check[lowest : lowest + 1024] == -1) - codes[0]
+                open_at = open_at[open_at >= 0]
+                fits = (self.check[open_at[:, None] + codes] == -1).all(1)
+                if fits.any():
+                    at = int(open_at[fits.argmax()])
+                elif len(codes) < 4:
+                    crowded = lowest + 512
+                lowest += 1024
             self.base[state] = at
             self.check[at + codes] = state
             ends = [i for _, i in runs[1:]] + [hi]
@@ -216,25 +221,21 @@ class Pieces:
 
 
 @lru_cache(maxsize=2)
-def _pieces(raw: bytes) -> Pieces:
-    return Pieces(raw)
-
-
-def _model(spark, path: str) -> bytes:
-    """The vocabulary file's bytes: of a fixed size, sent to the tasks, so it need only lie on the driver."""
+def _model(path: str) -> Pieces:
+    """The vocabulary and its trie, built once on the driver and sent to the tasks: of the size of the vocabulary file."""
     with open(path, "rb") as f:
-        return f.read()
+        return Pieces(f.read())
 
 
 def encode_docs(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """The columns of docs and ids: array of piece ids of text."""
     from pyspark.sql import types as T
 
-    shared = docs.sparkSession.sparkContext.broadcast(_model(docs.sparkSession, model))
+    shared = docs.sparkSession.sparkContext.broadcast(_model(model))
     names = docs.columns
 
     def rows(batches):
-        sp = _pieces(shared.value)
+        sp = shared.value
         for b in batches:
             for lo, hi, data, bounds in C.blocks(b.column(len(names))):
                 ids, at = sp.encode_block(data, bounds)
@@ -253,13 +254,13 @@ def decode_docs(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    shared = encoded.sparkSession.sparkContext.broadcast(_model(encoded.sparkSession, model))
+    shared = encoded.sparkSession.sparkContext.broadcast(_model(model))
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     out = to_arrow_schema(schema)
     at = encoded.columns.index("ids")
 
     def rows(batches):
-        sp = _pieces(shared.value)
+        sp = shared.value
         for b in batches:
             text = [sp.decode(np.asarray(x, np.int32)).decode("utf-8", "replace") if x else "" for x in b.column(at).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array(text, pa.string())], schema=out)
@@ -272,10 +273,10 @@ def roundtrip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     (whether decoding gives the text back), for each row; the ids themselves do not leave the task."""
     import hashlib
 
-    shared = docs.sparkSession.sparkContext.broadcast(_model(docs.sparkSession, model))
+    shared = docs.sparkSession.sparkContext.broadcast(_model(model))
 
     def rows(batches):
-        sp = _pieces(shared.value)
+        sp = shared.value
         low, high = int(sp.first_byte.min()), int(sp.first_byte.max())
         for b in batches:
             for lo, hi, data, bounds in C.blocks(b.column("text")):
