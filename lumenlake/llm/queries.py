@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm import common as C
-from lumenlake.llm import decontam, html, jaccard, langid, lines, pieces, quality, shards, toxicity
+from lumenlake.llm import decontam, html, jaccard, langid, lines, lm, pieces, quality, shards, toxicity
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    model, counts = lm.fit(docs.where(C.fold(F.col("doc_id"), 10) != 0).select(F.col("doc_id").cast("long"), "text"))
+    scored = lm.apply(docs, model, counts)
+    return scored.select("doc_id", (C.fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_token_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shards.materialise(_read(spark, sf, "documents"))[0]
 
@@ -55,5 +62,5 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html.extract(_read(spark, sf, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_shards, op3_sentencepiece, op4_quality_rules, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_toxicity, op10_html_extraction)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_token_shards, op3_sentencepiece, op4_quality_rules, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_toxicity, op10_html_extraction)}
 ORACLES: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
