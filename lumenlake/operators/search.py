@@ -24,6 +24,11 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: Sequence[float], k
     return (d if radius is None else d.where(F.col("distance") <= radius)).orderBy("distance", key).limit(k)
 
 
+def middles(vectors: DataFrame, group: str, vector: str) -> DataFrame:
+    """group, pos, middle: the mean vector of each group, one row for each dimension; means are partly summed before they move."""
+    return vectors.select(group, F.posexplode(vector).alias("pos", "x")).groupBy(group, "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("middle"))
+
+
 def _times(tokens: str, word: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == word))
 

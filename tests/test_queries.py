@@ -16,7 +16,7 @@ def rows(columns, got):
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in "nation customer part orders lineitem events documents embeddings".split():
+    for t in "region nation customer supplier part orders lineitem events documents embeddings conversations".split():
         con.execute(f"create view {t} as from '{sf}/{t}.parquet'")
     want = con.execute(Q.ORACLES[name])
     columns = [d[0] for d in want.description]
