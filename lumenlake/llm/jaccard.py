@@ -307,8 +307,9 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     rows = C.stored(slim.mapInArrow(signed, "_id long, f long, n long, signed array<long>"), "signed")
     # Blocks: nodes that share a signature, each tied to the smallest node that has it.
     sig = rows.where("n > 0 and _id is not null").select("f", F.explode("signed").alias("sig"))
-    tied = sig.select("f", F.first("f").over(W.partitionBy("sig").orderBy("f")).alias("g")).where("f <> g").distinct()
-    blocks = components(tied.select(F.col("f").alias("a"), F.col("g").alias("b")))
+    # Its minimum is pre-aggregated: a signature that a third of the rows share does not meet in one task.
+    least = sig.groupBy("sig").agg(F.min("f").alias("g"), F.max("f").alias("top")).where("g <> top").select("sig", "g")
+    blocks = components(sig.join(least, "sig").select(F.col("f").alias("a"), F.col("g").alias("b")))
     member = rows.where("_id is not null").groupBy("f").agg(F.min("_id").alias("_id"), F.count("*").alias("copies")).join(blocks.select(F.col("node").alias("f"), F.col("component").alias("block")), "f")
 
     def reread(batches):
