@@ -37,6 +37,8 @@ from lumenlake.llm.graph import components
 RATIO, STRONG = 1.3, 2
 #: A piece holds nodes until their shingles plus PIECE_NODE for each reach PIECE.
 PIECE, PIECE_NODE, PIVOTS = 600_000, 600, 8
+#: So many signatures are held in a task before those that agree are condensed.
+HELD = 1_000_000
 #: Shingles found in at least COMMON of COMMON_SAMPLE texts are called common, in a bitmap of 2**COMMON_BITS.
 COMMON, COMMON_SAMPLE, COMMON_BITS = 4, 2048, 22
 
@@ -200,6 +202,26 @@ def _stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
     return ids[moved], ids[order[label[moved]]]
 
 
+def _tied_here(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(sig, f, g) from (signatures, their nodes): each signature with its smallest node here and no g; for the other nodes
+    that have it a tie to that one, under a sig of its own."""
+    s, f = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((f, s))
+    s, f = s[order], f[order]
+    first = np.ones(len(s), bool)
+    first[1:] = s[1:] != s[:-1]
+    g = f[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
+    x, y = f[f != g], g[f != g]
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    x, y = x[fresh], y[fresh]
+    n = int(first.sum())
+    none = np.concatenate([np.ones(n, bool), np.zeros(len(x), bool)])
+    return pa.record_batch([pa.array(np.concatenate([s[first].view(np.int64), x])), pa.array(np.concatenate([f[first], x])), pa.array(np.concatenate([f[first], y]), mask=none)], ["sig", "f", "g"])
+
+
 def _join_tasks(percent: int):
     """mapInArrow over rows sorted by task: (task, side, f, set) to star edges (a, b). Side 2 stands alone with itself."""
 
@@ -218,7 +240,7 @@ def _join_tasks(percent: int):
         return _stars(ids, np.flatnonzero(~mark)[i], np.flatnonzero(mark)[j])
 
     def rows(batches):
-        task, side, f, sets = None, [], [], []
+        task, side, f, sets, seen = None, [], [], [], set()
         out_a, out_b = [], []
         for b in batches:
             for t, s, x, y in zip(b.column("task").to_pylist(), b.column("side").to_pylist(), b.column("f").to_pylist(), b.column("set").to_pylist(), strict=True):
@@ -226,8 +248,11 @@ def _join_tasks(percent: int):
                     p, q = solve(side, f, sets)
                     out_a.append(p)
                     out_b.append(q)
-                    side, f, sets = [], [], []
+                    side, f, sets, seen = [], [], [], set()
                 task = t
+                if (s, x) in seen:  # rows that repeat one doc_id
+                    continue
+                seen.add((s, x))
                 side.append(s)
                 f.append(x)
                 sets.append(y)
@@ -296,21 +321,34 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     slim = docs.select(F.col("doc_id").cast("long").alias("_id"), C.byte_texts(docs))
     common = spark.sparkContext.broadcast(_common(slim, k))  # 2**COMMON_BITS bits
 
-    def signed(batches):
+    def measured(batches):
         for b in batches:
             for lo, hi, data, bounds in C.blocks(b.column("text")):
+                _, at, f = sets_of(data, bounds, k)
+                yield pa.record_batch([b.column("_id").slice(lo, hi - lo), pa.array(f.view(np.int64)), pa.array(np.diff(at))], ["_id", "f", "n"])
+
+    def signed(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            for _, _, data, bounds in C.blocks(b.column("text")):
                 h, at, f = sets_of(data, bounds, k)
                 s, r = signatures(h, at, percent, common.value)
-                each = np.searchsorted(r := r[order := np.argsort(r, kind="stable")], np.arange(hi - lo + 1))
-                yield pa.record_batch([b.column("_id").slice(lo, hi - lo), pa.array(f.view(np.int64)), pa.array(np.diff(at)), C.lists(s[order].view(np.int64), each, pa.int64())], ["_id", "f", "n", "signed"])
-
-    rows = C.stored(slim.mapInArrow(signed, "_id long, f long, n long, signed array<long>"), "signed")
-    # Blocks: nodes that share a signature, each tied to the smallest node that has it.
-    sig = rows.where("n > 0 and _id is not null").select("f", F.explode("signed").alias("sig"))
-    # Its minimum is pre-aggregated: a signature that a third of the rows share does not meet in one task.
-    least = sig.groupBy("sig").agg(F.min("f").alias("g"), F.max("f").alias("top")).where("g <> top").select("sig", "g")
-    blocks = components(sig.join(least, "sig").select(F.col("f").alias("a"), F.col("g").alias("b")))
-    member = rows.where("_id is not null").groupBy("f").agg(F.min("_id").alias("_id"), F.count("*").alias("copies")).join(blocks.select(F.col("node").alias("f"), F.col("component").alias("block")), "f")
+                held.append((s, f[r].view(np.int64)))
+                if sum(len(x) for x, _ in held) > HELD:
+                    yield _tied_here(held)
+                    held = []
+        if held:
+            yield _tied_here(held)
+
+    rows = C.stored(slim.mapInArrow(measured, "_id long, f long, n long"), "measured")
+    # Blocks: nodes that share a signature, each tied to the smallest node that has it; one row of a signature for each
+    # HELD of them leaves a task, so one that a third of the rows share stays small. Signatures are shuffled once.
+    sig = slim.where("_id is not null").select("text", "_id").mapInArrow(signed, "sig long, f long, g long")
+    tied = sig.select("f", F.coalesce("g", F.first("f").over(W.partitionBy("sig").orderBy("f"))).alias("g")).where("f <> g")
+    blocks = components(tied.select(F.col("f").alias("a"), F.col("g").alias("b")))
+    named = rows.where("n > 0 and _id is not null").groupBy("f").agg(F.min("_id").alias("_id"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    member = C.stored(named.join(blocks.select(F.col("node").alias("f"), F.col("component").alias("block")), "f"), "member")
+    big = C.stored(member.groupBy("block").agg(F.sum(F.col("n") + PIECE_NODE).alias("w")).where(F.col("w") > 2 * PIECE).select("block"), "big")
 
     def reread(batches):
         for b in batches:
@@ -320,22 +358,23 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
                 raw = h.tobytes()
                 part = b.slice(lo, hi - lo)
                 sets = pa.array([raw[8 * at[i] : 8 * at[i + 1]] if f[i] == want[lo + i] else None for i in range(hi - lo)], pa.binary())
-                yield pa.record_batch([part.column("block"), part.column("f"), pa.array(np.diff(at)), part.column("copies"), sets], ["block", "f", "n", "copies", "set"])
-
-    read = slim.join(member, "_id").select("block", "f", "copies", "text").mapInArrow(reread, "block long, f long, n long, copies long, set binary").where("set is not null")
-    repeated = rows.where("_id is not null").groupBy("_id").count().where("count > 1")
-    sets = C.stored(read if repeated.isEmpty() else read.dropDuplicates(["f"]), "sets")
-    big = sets.groupBy("block").agg(F.sum(F.col("n") + PIECE_NODE).alias("w")).where(F.col("w") > 2 * PIECE).select("block")
-    big = C.stored(big, "big")
-    small = sets.join(big, "block", "left_anti").select(F.col("block").alias("task"), F.lit(2).alias("side"), "f", "set")
-    tasks, links = small, None
+                yield pa.record_batch([*(part.column(c) for c in part.schema.names if c != "text"), sets], [*(c for c in part.schema.names if c != "text"), "set"])
+
+    def join(tasks: DataFrame) -> DataFrame:
+        return tasks.mapInArrow(_join_tasks(percent), "a long, b long")
+
+    # Blocks that fit a task: texts are shuffled, being smaller than their shingles, and the task makes the sets.
+    small = slim.join(member.join(big, "block", "left_anti").select("_id", "f", "block"), "_id").select(F.col("block").alias("task"), F.lit(2).alias("side"), "f", "text")
+    found = join(small.repartition("task").sortWithinPartitions("task").mapInArrow(reread, "task long, side int, f long, set binary").where("set is not null"))
     if not big.isEmpty():
-        more, links = _large(sets, big, percent)
-        tasks = small.union(more)
-    found = tasks.repartition("task").sortWithinPartitions("task", "side").mapInArrow(_join_tasks(percent), "a long, b long")
-    final = components(found if links is None else found.union(links))
+        large = slim.join(member.join(big, "block", "left_semi"), "_id").select("block", "f", "n", "copies", "text").mapInArrow(reread, "block long, f long, n long, copies long, set binary").where("set is not null")
+        repeated = rows.where("_id is not null").groupBy("_id").count().where("count > 1")
+        sets = C.stored(large if repeated.isEmpty() else large.dropDuplicates(["f"]), "sets")
+        tasks, links = _large(sets, big, percent)
+        found = found.union(join(tasks.repartition("task").sortWithinPartitions("task", "side"))).union(links)
+    final = components(found)
     # Each node's component, then the smallest doc_id in it.
-    named = rows.select("_id", "f", "n").join(final.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
+    named = rows.join(final.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
     lowest = named.where("n > 0 and _id is not null").groupBy("component").agg(F.min("_id").alias("component_id"))
     out = named.join(lowest, "component", "left")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("_id").isNotNull(), F.col("component_id"))).otherwise(F.col("_id")).alias("component_id"))
