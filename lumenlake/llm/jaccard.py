@@ -33,8 +33,12 @@ from pyspark.sql import Window as W
 from lumenlake.llm import common as C
 from lumenlake.llm.graph import components
 
-#: Ratio between the bounds of size classes, and the least uncommon shingles of a part that signs.
-RATIO, STRONG = 1.3, 2
+#: The least uncommon shingles of a part that signs.
+STRONG = 2
+#: Least percent of similarity, ratio between the bounds of size classes, and spare parts for each part that may differ. At a
+#: lower similarity parts hold fewer shingles, so classes are finer and more parts may be weak: sets with too many weak parts
+#: sign with common shingles, which ties unlike sets.
+SHAPES = [(85, 1.3, 0.3), (1, 1.15, 0.8)]
 #: A piece holds nodes until their shingles plus PIECE_NODE for each reach PIECE.
 PIECE, PIECE_NODE, PIVOTS = 600_000, 600, 8
 #: So many signatures are held in a task before those that agree are condensed.
@@ -47,13 +51,15 @@ class Classes:
     """Size classes for a similarity of percent / 100: bounds, and the number of parts and spare parts of each."""
 
     def __init__(self, percent: int, largest: int):
+        ratio, spare = next((r, x) for least, r, x in SHAPES if percent >= least)
         low = [1]
-        while low[-1] <= largest:
-            low.append(max(low[-1] + 1, int(np.ceil(RATIO * low[-1]))))
-        self.percent, self.low = percent, np.array([*low, max(low[-1] + 1, int(np.ceil(RATIO * low[-1])))])
+        while low[-1] <= 100 * largest / percent or len(low) < 3:
+            low.append(max(low[-1] + 1, int(np.ceil(ratio * low[-1]))))
+        low.append(max(low[-1] + 1, int(np.ceil(ratio * low[-1]))))
+        self.percent, self.low = percent, np.array(low)
         top = self.low[1:] - 1
         self.differ = 2 * top * (100 - percent) // (100 + percent)
-        self.spare = np.where(self.differ > 0, np.ceil(0.15 * self.differ + 1), 0).astype(np.int64)
+        self.spare = np.where(self.differ > 0, np.ceil(spare * self.differ + 1), 0).astype(np.int64)
         self.parts = self.differ + 1 + self.spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
@@ -73,7 +79,7 @@ def sets_of(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def signatures(h: np.ndarray, at: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of the parts that sign for each set, in its own class and, where it may link upwards, the next."""
+    """(signature, row) of the parts that sign for each set, in its own class and in those above that it may link with."""
     n = np.diff(at)
     if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -84,11 +90,13 @@ def signatures(h: np.ndarray, at: np.ndarray, percent: int, common: np.ndarray)
     owner = np.repeat(np.arange(len(n)), n)
     mixed = C.mix(h + np.uint64(0x1234567))
     out_s, out_r = [], []
-    for up in (0, 1):
-        c = own + up
-        use = (n > 0) & (cl.differ[c] > 0)
-        if up:
-            use &= 100 * n >= percent * cl.low[c]
+    last = len(cl.parts) - 1
+    for up in range(last + 1):
+        c = np.minimum(own + up, last)  # the last class is beyond what any set here may link with
+        use = (n > 0) & (100 * n >= percent * cl.low[c]) if up else n > 0
+        if not use.any():
+            break
+        use &= cl.differ[c] > 0
         m = np.where(use, cl.parts[c], 0)
         sel = use[owner]
         if not sel.any():
@@ -110,10 +118,12 @@ def signatures(h: np.ndarray, at: np.ndarray, percent: int, common: np.ndarray)
         out_r.append(row[ok])
         weak = np.bincount(row[~ok], minlength=len(n))
         over = weak > cl.spare[c]
-        if over.any():  # these sign all parts, with the common shingles
-            every = np.zeros(base[-1], np.uint64)
+        if over.any():  # these sign with the common shingles as well: parts that hold enough, or all if too many do not
+            every, held = np.zeros(base[-1], np.uint64), np.zeros(base[-1], np.int64)
             every[key[first]] = np.add.reduceat(mm, first)
-            ok = over[row]
+            held[key[first]] = np.diff(np.append(first, len(key)))
+            bare = np.bincount(row[held < STRONG], minlength=len(n)) > cl.spare[c]
+            ok = over[row] & (bare[row] | (held >= STRONG))
             out_s.append(C.mix(every[ok] ^ tag[ok] ^ np.uint64(0x5555555555555555)))
             out_r.append(row[ok])
     return (np.concatenate(out_s), np.concatenate(out_r)) if out_s else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
