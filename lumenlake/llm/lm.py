@@ -3,12 +3,13 @@
 What is counted covers all learning texts: every word's count, in all texts and in each of EXPERTS groups of texts, and for
 each group the subword ids that follow a class of ids. The words' subword embeddings pass through a masked self-attention
 layer whose output weighs these experts for the next word: p(word) = w0 * base + sum of v_k * (c_k + B * base) / (N_k + B) +
-sum of w_k * p_k(its ids, word end), with base = (c + 0.1) / (N + 0.1 (V + 1)). A rarely found word gets only the heaviest of
-the middle terms, so no probability is ever overstated. Windows of WINDOW words overlap by WINDOW - STEP; each word is scored once, with the words before it in its window.
+sum of w_k * p_k(its ids, word end), with base = (c + 0.1) / (N + 0.1 (V + 1)). Windows of WINDOW words overlap by WINDOW - STEP;
+each word is scored once, with the words before it in its window.
 
 The layer is trained by Adam on replicas, one for each of at most `replicas` tasks, over every text of one fold in
 `every`, and averaged. Word counts are a table: the words with at least N / FREQUENT tokens (never more than FREQUENT) are
-sent to the tasks, all others are joined by hash.
+sent to the tasks, all others are joined by hash, in training and in scoring; where a word's counts lie does not change its
+probability.
 
 Defined cases: null and empty texts are an end alone; rows that repeat are scored alike; null doc_ids teach nothing and have a
 null held_out; with no learning text the counts are 0 and the model is the base.
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ BACKOFF = 500.0
 WINDOW, STEP = 64, 32
 END_OF_WORD, END_OF_TEXT, IDS = 50256, 50257, 50258
 FREQUENT = 2_000_000
+#: Tokens of all texts for which there is one more replica.
+REPLICA = 300_000
 #: The hash of the token that ends a text.
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 
@@ -185,6 +189,15 @@ class LanguageModel:
         hit = self.h[at] == h
         return np.where(hit, self.c[at], -1), self.groups[at] * hit[:, None]
 
+    def all_counts(self, h: np.ndarray, rare: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """counts(h) for sorted distinct hashes, with the rare words among them taken from rare: h, c, c0..."""
+        known, inside = self.counts(h)
+        if len(rare):
+            at = np.searchsorted(h, rare.field("h").to_numpy().view(np.uint64))
+            known[at] = rare.field("c").to_numpy()
+            inside[at] = np.stack([rare.field(f"c{i}").to_numpy() for i in range(EXPERTS)], 1)
+        return known, inside
+
     def mixed(self, base: np.ndarray, groups: np.ndarray) -> np.ndarray:
         return (groups + BACKOFF * base[:, None]) / (self.sizes + BACKOFF)
 
@@ -258,6 +271,30 @@ def _experts(learn: DataFrame, raw: bytes, centers: np.ndarray) -> np.ndarray:
     return np.log((n + 5 * overall) / (n.sum(2, keepdims=True) + 5)).reshape(EXPERTS, -1).astype(np.float32)
 
 
+def _with_rare(texts: DataFrame, model: LanguageModel, counts: DataFrame, tasks: int) -> DataFrame:
+    """_row, text, rare: the counts of each text's words that the model's table lacks, joined by hash; null where it lacks
+    none. Rows are dealt over tasks and sorted by _row, so replicas learn alike wherever the counts lie."""
+    dealt = texts.select(F.xxhash64("doc_id", "text").alias("_row"), "text")
+    if len(model.h) == model.distinct:
+        none = "array<struct<h:long,c:long," + ",".join(f"c{i}:long" for i in range(EXPERTS)) + ">>"
+        return dealt.repartition(tasks, "_row").withColumn("rare", F.lit(None).cast(none)).sortWithinPartitions("_row")
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches):
+        m = shared.value
+        for b in batches:
+            for lo, hi, data, bounds in C.blocks(b.column("text")):
+                _, h, at = hashes(data, bounds)
+                row = np.repeat(np.arange(hi - lo), np.diff(at))
+                out = m.counts(h)[0] < 0
+                u, of = C.distinct(h[out], row[out], hi - lo)
+                yield pa.record_batch([pa.array(np.repeat(b.column("_row").to_numpy()[lo:hi], np.diff(of))), pa.array(u.view(np.int64))], ["_row", "h"])
+
+    found = dealt.mapInArrow(rows, "_row long, h long").join(counts, "h").repartition(tasks, "_row")
+    rare = found.groupBy("_row").agg(F.collect_set(F.struct("h", "c", *(f"c{i}" for i in range(EXPERTS)))).alias("rare"))
+    return dealt.repartition(tasks, "_row").join(rare, "_row", "left").sortWithinPartitions("_row")
+
+
 def fit(learn: DataFrame, sample: int = 600, every: int = 4, replicas: int = 64, rounds: int = 2, vocabulary: str = VOCABULARY) -> tuple[LanguageModel, DataFrame]:
     """(model, table of word counts). learn: doc_id, text of the texts that may teach."""
     spark = learn.sparkSession
@@ -273,7 +310,7 @@ def fit(learn: DataFrame, sample: int = 600, every: int = 4, replicas: int = 64,
     table = _experts(learn, raw, centers) if total else np.full((EXPERTS, PREVIOUS * IDS), -np.log(IDS), np.float32)
     groups = np.stack([top.column(f"c{i}").to_numpy() for i in range(EXPERTS)], 1)[order].astype(np.float32)
     model = LanguageModel(total, distinct, h[order], c[order], groups, np.array(sizes, float), table, Layer(), raw)
-    part = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(C.byte_texts(learn)).coalesce(replicas)
+    part = _with_rare(learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", C.byte_texts(learn)), model, counts, int(min(replicas, 1 + total // REPLICA))).persist(StorageLevel.DISK_ONLY)
     for number in range(rounds if total else 0):
         shared = spark.sparkContext.broadcast(model)
 
@@ -283,10 +320,10 @@ def fit(learn: DataFrame, sample: int = 600, every: int = 4, replicas: int = 64,
             mean = square = np.zeros_like(layer.vector)
             step = seen = 0
             for b in batches:
-                for _, _, data, bounds in C.blocks(b.column("text"), 6_000):
+                for lo, hi, data, bounds in C.blocks(b.column("text"), 6_000):
                     t = tokens(data, bounds, m.raw)
                     place, valid, scored = windows(t)
-                    known, inside = m.counts(t.hash)  # each word without its own occurrence, as in unseen text
+                    known, inside = m.all_counts(t.hash, b.column("rare").slice(lo, hi - lo).flatten())  # each word without its own occurrence, as in unseen text
                     base = (np.maximum(known, 1) - 0.9) / (m.total + 0.1 * (m.distinct + 1))
                     p = np.concatenate([base[:, None], m.mixed(base, np.maximum(inside - 1, 0)), np.exp(m.experts(t))], 1)
                     for lo in range(0, len(place), 64):
@@ -304,6 +341,7 @@ def fit(learn: DataFrame, sample: int = 600, every: int = 4, replicas: int = 64,
         if got:
             model.layer = Layer(np.average([v for _, v in got], axis=0, weights=[n for n, _ in got]))
         shared.unpersist()
+    part.unpersist()
     return model, counts
 
 
@@ -313,6 +351,7 @@ def apply(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FREQUENT words at most, and tables of fixed size
     norm = model.total + 0.1 * (model.distinct + 1)
+    groups = [f"w{i}" for i in range(EXPERTS)]
 
     def rows(batches):
         m, number = shared.value, TaskContext.get().partitionId() << 40
@@ -322,7 +361,7 @@ def apply(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
                 place, valid, scored = windows(t)
                 (known, inside), logs, x = m.counts(t.hash), m.experts(t), m.layer.embed(t)
                 n = len(t.inverse)
-                first, rest, group, top, near = np.empty(n), np.empty(n), np.empty(n), np.empty(n), np.empty(n, np.int32)
+                first, rest, group, each = np.empty(n), np.empty(n), np.empty(n), np.empty((n, EXPERTS), np.float32)
                 mixed = m.mixed((np.maximum(known, 0) + 0.1) / norm, inside)
                 for a in range(0, len(place), 1024):
                     some = slice(a, a + 1024)
@@ -331,7 +370,7 @@ def apply(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
                     w = w[scored[some]].astype(float)
                     first[at] = w[:, 0]
                     group[at] = (w[:, 1 : EXPERTS + 1] * mixed[t.inverse[at]]).sum(1)
-                    near[at], top[at] = w[:, 1 : EXPERTS + 1].argmax(1), w[:, 1 : EXPERTS + 1].max(1)
+                    each[at] = w[:, 1 : EXPERTS + 1]
                     rest[at] = (w[:, EXPERTS + 1 :] * np.exp(logs[t.inverse[at]])).sum(1)
                 common = known[t.inverse] >= 0
                 c = np.maximum(known[t.inverse], 0)
@@ -342,17 +381,15 @@ def apply(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
                 at = np.searchsorted(row[rare], np.arange(hi - lo + 1))
                 n = hi - lo
                 yield pa.record_batch(
-                    [pa.array(number + np.arange(n)), b.column("doc_id").slice(lo, n), pa.array(np.diff(t.bounds)), pa.array(np.bincount(row, common, n).astype(np.int64)), pa.array(np.bincount(row, base, n)), pa.array(np.bincount(row, score, n)), C.lists(t.hash[t.inverse[rare]].view(np.int64), at, pa.int64()), C.lists(first[rare].astype(np.float32), at, pa.float32()), C.lists(near[rare], at, pa.int32()), C.lists(top[rare].astype(np.float32), at, pa.float32()), C.lists(np.log10(rest[rare] + 1e-300).astype(np.float32), at, pa.float32())],
-                    ["row", "doc_id", "n_tokens", "known", "base", "score", "h", "first", "near", "top", "rest"],
+                    [pa.array(number + np.arange(n)), b.column("doc_id").slice(lo, n), pa.array(np.diff(t.bounds)), pa.array(np.bincount(row, common, n).astype(np.int64)), pa.array(np.bincount(row, base, n)), pa.array(np.bincount(row, score, n)), C.lists(t.hash[t.inverse[rare]].view(np.int64), at, pa.int64()), C.lists(first[rare].astype(np.float32), at, pa.float32()), *(C.lists(each[rare, k], at, pa.float32()) for k in range(EXPERTS)), C.lists(np.log10(rest[rare] + 1e-300).astype(np.float32), at, pa.float32())],
+                    ["row", "doc_id", "n_tokens", "known", "base", "score", "h", "first", *groups, "rest"],
                 )
                 number += n
 
-    done = C.stored(docs.select(F.col("doc_id").cast("long"), C.byte_texts(docs)).mapInArrow(rows, "row long, doc_id long, n_tokens long, known long, base double, score double, h array<long>, first array<float>, near array<int>, top array<float>, rest array<float>"), "scored")
-    rare = done.select("row", F.explode(F.arrays_zip("h", "first", "near", "top", "rest")).alias("x")).select("row", "x.*")
+    done = C.stored(docs.select(F.col("doc_id").cast("long"), C.byte_texts(docs)).mapInArrow(rows, "row long, doc_id long, n_tokens long, known long, base double, score double, h array<long>, first array<float>, " + "".join(f"{g} array<float>, " for g in groups) + "rest array<float>"), "scored")
+    rare = done.select("row", F.explode(F.arrays_zip("h", "first", *groups, "rest")).alias("x")).select("row", "x.*")
     p = (F.coalesce("c", F.lit(0)) + 0.1) / norm
-    inside = F.element_at(F.array(*(F.coalesce(f"c{i}", F.lit(0)) for i in range(EXPERTS))), F.col("near") + 1)
-    size = F.element_at(F.array(*(F.lit(float(x)) for x in model.sizes)), F.col("near") + 1)
-    middle = F.col("top") * (inside + F.lit(BACKOFF) * p) / (size + F.lit(BACKOFF))
+    middle = sum(F.col(g) * (F.coalesce(f"c{i}", F.lit(0)) + F.lit(BACKOFF) * p) / F.lit(float(model.sizes[i]) + BACKOFF) for i, g in enumerate(groups))
     late = rare.join(counts, "h", "left").groupBy("row").agg(F.count("c").alias("k"), F.sum(F.log10(p)).alias("b"), F.sum(F.log10(F.col("first") * p + middle + F.pow(F.lit(10.0), F.col("rest").cast("double")))).alias("s"))
     zero = F.lit(0)
     return done.select("row", "doc_id", "n_tokens", "known", "base", "score").join(late, "row", "left").select(

@@ -230,6 +230,19 @@ def test_lm_rare_words_are_joined_alike(spark, docs, monkeypatch):
     assert a == b
 
 
+def test_lm_rare_words_score_alike(spark, docs, monkeypatch):
+    learn = docs.where("doc_id > 5")
+    model, counts = lm.fit(learn, every=1)
+    few = lm.LanguageModel(**{**model.__dict__, "h": model.h[:0], "c": model.c[:0], "groups": model.groups[:0]})
+    a, b = (sorted((key((r["doc_id"],)), r["n_tokens"], r["score"]) for r in lm.apply(docs, m, counts).collect()) for m in (model, few))
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert [x[2] for x in a] == pytest.approx([x[2] for x in b], rel=1e-5, abs=1e-5)
+    monkeypatch.setattr(lm, "FREQUENT", model.total / np.median(model.c))
+    cut, _ = lm.fit(learn, every=1)
+    assert 0 < len(cut.h) < len(model.h)
+    assert cut.layer.vector == pytest.approx(model.layer.vector, rel=1e-3, abs=1e-4)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     got = queries.op1_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
     assert got["score"].sum() > got["base_score"].sum()
