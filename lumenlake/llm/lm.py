@@ -6,8 +6,8 @@ layer whose output weighs these experts for the next word: p(word) = w0 * base +
 sum of w_k * p_k(its ids, word end), with base = (c + 0.1) / (N + 0.1 (V + 1)). Windows of WINDOW words overlap by WINDOW - STEP;
 each word is scored once, with the words before it in its window.
 
-The layer is trained by Adam on replicas, one for each of at most `replicas` tasks, over every text of one fold in
-`every`, and averaged. Word counts are a table: the words with at least N / FREQUENT tokens (never more than FREQUENT) are
+The layer is trained by Adam on replicas, one for each of at most `replicas` tasks, over every learning text (with every > 1,
+over one fold in `every`), and averaged. The groups are found by k-means over all learning texts. Word counts are a table: the words with at least N / FREQUENT tokens (never more than FREQUENT) are
 sent to the tasks, all others are joined by hash, in training and in scoring; where a word's counts lie does not change its
 probability.
 
@@ -211,19 +211,51 @@ def groups_of(data: np.ndarray, bounds: np.ndarray, centers: np.ndarray) -> np.n
     return np.argmax(langid.vectors(langid.counts(data, bounds), np.ones(langid.BINS, np.float32)) @ centers.T, 1)
 
 
-def _centers(learn: DataFrame, sample: int) -> np.ndarray:
-    """Groups of texts, from a bounded sample; every text is then put in one of them."""
+def _centers(learn: DataFrame, start: int = 600, rounds: int = 8) -> np.ndarray:
+    """Groups of texts: spherical k-means over all learning texts, whose sums are made by the tasks. Only the places the
+    centers start from are chosen among `start` texts."""
+    spark, ones = learn.sparkSession, np.ones(langid.BINS, np.float32)
 
     def vectors(batches):
         for b in batches:
             for _, _, data, bounds in C.blocks(b.column("text")):
-                v = langid.vectors(langid.counts(data, bounds), np.ones(langid.BINS, np.float32))
+                v = langid.vectors(langid.counts(data, bounds), ones)
                 yield pa.record_batch([pa.array([x.astype(np.float16).tobytes() for x in v], pa.binary())], ["x"])
 
-    chosen = learn.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(sample).withColumnRenamed("doc_id", "_chosen")
+    chosen = learn.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(start).withColumnRenamed("doc_id", "_chosen")
     got = learn.join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen"), "left_semi").select(C.byte_texts(learn)).mapInArrow(vectors, "x binary").orderBy("x").toArrow()
     x = np.stack([np.frombuffer(v.as_py(), np.float16) for v in got.column("x")]).astype(np.float32)
     c = langid._kmeans(x, EXPERTS)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(c)
+
+        def sums(batches, shared=shared):
+            m = shared.value
+            out = np.zeros(m.shape, np.int64)
+            for b in batches:
+                for lo, hi, data, bounds in C.blocks(b.column("text")):
+                    tf = langid.counts(data, bounds)
+                    for a in range(0, hi - lo, 500):
+                        v = langid.vectors(tf[a : a + 500], ones)
+                        near = np.argmax(v @ m.T, 1)
+                        v = np.rint(v * np.float32(1 << 20))  # whole numbers: their sum is the same in any order
+                        for k in np.unique(near):
+                            out[k] += v[near == k].sum(0, dtype=np.float64).astype(np.int64)
+            hit = np.flatnonzero(out)
+            yield pa.record_batch([pa.array(hit, pa.int32()), pa.array(out.reshape(-1)[hit])], ["cell", "n"])
+
+        # At most EXPERTS * BINS rows, whatever the input.
+        found = learn.select(C.byte_texts(learn)).mapInArrow(sums, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        shared.destroy()
+        fresh = np.zeros(c.size)
+        fresh[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+        fresh = fresh.reshape(c.shape)
+        length = np.sqrt((fresh * fresh).sum(1, keepdims=True))
+        fresh = np.where(length > 0, fresh / np.maximum(length, 1), c).astype(np.float32)
+        still = np.abs(fresh - c).max() < 1e-6
+        c = fresh
+        if still:
+            break
     return np.concatenate([c, np.zeros((EXPERTS - len(c), c.shape[1]), np.float32)])
 
 
@@ -271,35 +303,44 @@ def _experts(learn: DataFrame, raw: bytes, centers: np.ndarray) -> np.ndarray:
     return np.log((n + 5 * overall) / (n.sum(2, keepdims=True) + 5)).reshape(EXPERTS, -1).astype(np.float32)
 
 
+def _packed(batches):
+    """Blocks of rows as compressed Arrow streams, for a cache on disk."""
+    for b in batches:
+        for lo, hi, _, _ in C.blocks(b.column("text")):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(b.slice(lo, hi - lo))
+            yield pa.record_batch([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["x"])
+
+
 def _with_rare(texts: DataFrame, model: LanguageModel, counts: DataFrame, tasks: int) -> DataFrame:
-    """_row, text, rare: the counts of each text's words that the model's table lacks, joined by hash; null where it lacks
-    none. Rows are dealt over tasks and sorted by _row, so replicas learn alike wherever the counts lie."""
+    """x: packed blocks of text, rare: the counts of each text's words that the model's table lacks, joined by hash; null where
+    it lacks none. Rows are dealt over tasks and sorted by a hash, so replicas learn alike wherever the counts lie."""
     dealt = texts.select(F.xxhash64("doc_id", "text").alias("_row"), "text")
     if len(model.h) == model.distinct:
         none = "array<struct<h:long,c:long," + ",".join(f"c{i}:long" for i in range(EXPERTS)) + ">>"
-        return dealt.repartition(tasks, "_row").withColumn("rare", F.lit(None).cast(none)).sortWithinPartitions("_row")
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+        return dealt.repartition(tasks, "_row").withColumn("rare", F.lit(None).cast(none)).sortWithinPartitions("_row").mapInArrow(_packed, "x binary")
+    shared = texts.sparkSession.sparkContext.broadcast(model.h)
 
     def rows(batches):
-        m = shared.value
         for b in batches:
             for lo, hi, data, bounds in C.blocks(b.column("text")):
                 _, h, at = hashes(data, bounds)
                 row = np.repeat(np.arange(hi - lo), np.diff(at))
-                out = m.counts(h)[0] < 0
+                out = ~np.isin(h, shared.value)
                 u, of = C.distinct(h[out], row[out], hi - lo)
                 yield pa.record_batch([pa.array(np.repeat(b.column("_row").to_numpy()[lo:hi], np.diff(of))), pa.array(u.view(np.int64))], ["_row", "h"])
 
     found = dealt.mapInArrow(rows, "_row long, h long").join(counts, "h").repartition(tasks, "_row")
     rare = found.groupBy("_row").agg(F.collect_set(F.struct("h", "c", *(f"c{i}" for i in range(EXPERTS)))).alias("rare"))
-    return dealt.repartition(tasks, "_row").join(rare, "_row", "left").sortWithinPartitions("_row")
+    return dealt.repartition(tasks, "_row").join(rare, "_row", "left").sortWithinPartitions("_row").mapInArrow(_packed, "x binary")
 
 
-def fit(learn: DataFrame, sample: int = 600, every: int = 4, replicas: int = 64, rounds: int = 2, vocabulary: str = VOCABULARY) -> tuple[LanguageModel, DataFrame]:
+def fit(learn: DataFrame, every: int = 1, replicas: int = 64, rounds: int = 2, vocabulary: str = VOCABULARY) -> tuple[LanguageModel, DataFrame]:
     """(model, table of word counts). learn: doc_id, text of the texts that may teach."""
     spark = learn.sparkSession
     some = not learn.isEmpty()
-    centers = _centers(learn, sample) if some else None
+    centers = _centers(learn) if some else None
     counts = word_counts(learn, centers)
     total, distinct, *sizes = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), *(F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(EXPERTS))).first()
     with open(vocabulary, "rb") as f:
@@ -319,7 +360,7 @@ def fit(learn: DataFrame, sample: int = 600, every: int = 4, replicas: int = 64,
             layer = Layer(m.layer.vector.copy())
             mean = square = np.zeros_like(layer.vector)
             step = seen = 0
-            for b in batches:
+            for b in (y for x in batches for z in x.column("x") for y in pa.ipc.open_stream(z.as_buffer())):
                 for lo, hi, data, bounds in C.blocks(b.column("text"), 6_000):
                     t = tokens(data, bounds, m.raw)
                     place, valid, scored = windows(t)
@@ -337,10 +378,11 @@ def fit(learn: DataFrame, sample: int = 600, every: int = 4, replicas: int = 64,
             if seen:
                 yield pa.record_batch([pa.array([seen]), pa.array([layer.vector.astype(np.float32).tobytes()], pa.binary())], ["n", "v"])
 
-        got = [(r["n"], np.frombuffer(r["v"], np.float32)) for r in part.mapInArrow(train, "n long, v binary").toLocalIterator()]  # one vector for each replica
+        done = part.mapInArrow(train, "n long, v binary").toArrow()  # one vector for each replica
+        got = [(n, np.frombuffer(v, np.float32)) for n, v in zip(done.column("n").to_pylist(), done.column("v").to_pylist(), strict=True)]
         if got:
             model.layer = Layer(np.average([v for _, v in got], axis=0, weights=[n for n, _ in got]))
-        shared.unpersist()
+        shared.destroy()
     part.unpersist()
     return model, counts
 

@@ -243,6 +243,19 @@ def test_lm_rare_words_score_alike(spark, docs, monkeypatch):
     assert cut.layer.vector == pytest.approx(model.layer.vector, rel=1e-3, abs=1e-4)
 
 
+def test_lm_learns_from_every_text(spark, docs):
+    learn = docs.where("doc_id > 5").select("doc_id", "text")
+    x = [lm.langid.vectors(lm.langid.counts(d, b), np.ones(lm.langid.BINS, np.float32)) for r in learn.collect() for d in [np.frombuffer((r["text"] or "").encode(), np.uint8)] for b in [np.array([0, len(d)])]]
+    x = np.concatenate(x)
+    c = lm._centers(learn, start=8, rounds=20)
+    near = np.argmax(x @ c.T, 1)
+    for k in np.unique(near):  # each center is the mean of all texts nearest to it, not of those it started from
+        mean = x[near == k].sum(0)
+        assert c[k] == pytest.approx(mean / np.sqrt((mean * mean).sum()), abs=1e-4)
+    a, b = lm.fit(learn)[0].layer.vector, lm.fit(learn, every=1)[0].layer.vector
+    assert (a == b).all()
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     got = queries.op1_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
     assert got["score"].sum() > got["base_score"].sum()
