@@ -3,13 +3,13 @@ score of the restored text.
 
 A word that is plain letters without a run of three is its own decoding. Any other word, and any run of three or more
 single-character words, becomes a lattice: leetspeak characters may stand for letters, separators may vanish, runs may
-shrink. The cheapest path under a character trigram model (of the words of learning texts) plus channel costs is its
+shrink. The cheapest path under a character trigram model (of the plain words of all learning texts) plus channel costs is its
 restoration. Restored words and their beginnings carry weights learned from labels; a logistic regression turns
 a text's sum and density of weights into a probability.
 
 Defined cases: null and empty texts are scored like a text without a weighted word; rows that repeat are scored alike;
 null labels teach nothing; with no labels of either class every score is 0. Labels are learned from at most `sample` rows of
-each class.
+each class; trigrams are counted over all learning texts, labelled or not.
 """
 
 from __future__ import annotations
@@ -143,6 +143,26 @@ def _score_block(m: ToxicityModel, data: np.ndarray, bounds: np.ndarray) -> np.n
     return summary(np.bincount(rows, each, minlength=w.rows), np.bincount(rows, each > 0, minlength=w.rows), w.per_row())
 
 
+def trigrams(learn: DataFrame) -> DataFrame:
+    """s, n: the character trigrams of the plain words of all learning texts, a word between two blanks and one."""
+
+    def rows(batches):
+        for b in batches:
+            for _, _, data, bounds in C.blocks(b.column("text")):
+                w = C.split(data, bounds)
+                _, first, count = np.unique(w.hash, return_index=True, return_counts=True)
+                tri: Counter[str] = Counter()
+                for i, k in zip(first.tolist(), count.tolist(), strict=True):
+                    word = w.at(i).decode("utf-8", "replace").lower()
+                    if _PLAIN.fullmatch(word) and not _TRIPLE.search(word):
+                        s = "  " + word + " "
+                        for j in range(len(s) - 2):
+                            tri[s[j : j + 3]] += k
+                yield pa.record_batch([pa.array(list(tri), pa.string()), pa.array(list(tri.values()), pa.int64())], ["s", "n"])
+
+    return learn.select(C.byte_texts(learn)).mapInArrow(rows, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
+
+
 def fit(learn: DataFrame, labels: DataFrame, sample: int = 2400) -> ToxicityModel | None:
     """learn: the rows that may teach, doc_id and text. At most `sample` labelled texts of each class reach the driver."""
     marked = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").distinct()
@@ -177,14 +197,9 @@ def fit(learn: DataFrame, labels: DataFrame, sample: int = 2400) -> ToxicityMode
             k, _, word = line.partition(b" ")
             bag.append((word.decode("utf-8", "replace").lower(), int(k)))
         bags.append(bag)
-    # The character model: of plain words, in toxic texts and others alike.
-    tri: Counter[str] = Counter()
-    for bag in bags:
-        for word, k in bag:
-            if _PLAIN.fullmatch(word) and not _TRIPLE.search(word):
-                s = "  " + word + " "
-                for i in range(len(s) - 2):
-                    tri[s[i : i + 3]] += k
+    # The character model: of plain words, in all texts alike; its rows are the trigrams of letters that exist.
+    found = trigrams(learn.where("doc_id is not null")).toArrow()
+    tri = dict(zip(found.column("s").to_pylist(), found.column("n").to_pylist(), strict=True))
     two: Counter[str] = Counter()
     for s, k in tri.items():
         two[s[:2]] += k
@@ -224,7 +239,7 @@ def fit(learn: DataFrame, labels: DataFrame, sample: int = 2400) -> ToxicityMode
 
 def apply(docs: DataFrame, model: ToxicityModel | None, keep: list[str] | None = None) -> DataFrame:
     """doc_id and score for each row; with keep, those columns of docs instead of doc_id."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of the sample's vocabulary: bounded by it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the sample's vocabulary, and the trigrams of letters
 
     def scores(texts: pa.Array) -> pa.Array:
         m, out = shared.value, []

@@ -316,6 +316,15 @@ def test_toxicity_held_out(spark, docs, rows, none):
     assert toxicity.apply(none, None).count() == 0
 
 
+def test_toxicity_letters_come_from_all_learning_texts(spark):
+    texts = [(i, f"plain text number with filler words {'vile' if i % 2 else 'kind'}") for i in range(40)] + [(100, "ЖЩЪ жщъ zqx zqx a1b"), (101, None), (102, "")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    learn = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = Counter(s[i : i + 3] for _, t in texts for w in (t or "").lower().split() if w.isalpha() for s in [f"  {w} "] for i in range(len(s) - 2))
+    assert {r["s"]: r["n"] for r in toxicity.trigrams(learn).collect()} == want
+    assert set(toxicity.fit(learn, labels).letters) == set(want)  # the texts without a label count too
+
+
 def test_restores_obfuscated_words():
     words = ["poison", "awful", "plain", "letter", "season"] * 20
     tri = Counter(s[i : i + 3] for w in words for s in [f"  {w} "] for i in range(len(s) - 2))
