@@ -36,7 +36,10 @@ ASIDE_WORDS = frozenset("ad ads advert advertisement adverts sponsor sponsored p
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S | re.I)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: Attributes one by one, so that names are never sought in values.
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAYBE_HIDDEN = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORD = re.compile(r"[a-z]+")
 #: Salts for a host's parts; a wrapper keeps its texts only as hashes and lengths.
 SALTS, HOSTS_IN_TASK = 32, 2_000
@@ -51,6 +54,17 @@ class Node:
         self.tag, self.kids = tag, []
 
 
+def hidden(attrs: str) -> bool:
+    """Whether a tag has the attribute hidden (whatever its value), aria-hidden with the value true, or a style that shows nothing."""
+    if not _MAYBE_HIDDEN.search(attrs):
+        return False
+    for name, a, b, c in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), entities.unescape(a or b or c)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def parse(page: str) -> Node:
     """The element tree; text tokens are strings. Asides are one leaf tagged '-'. End tags that HTML lets authors omit are implied."""
     root = Node("#")
@@ -94,7 +108,7 @@ def parse(page: str) -> Node:
         words = set(_WORD.findall(" ".join(named).lower()))
         inside = any(n.tag.partition(".")[0] in ("article", "main") for n in stack)
         aside = name in ASIDE and not (name == "header" and inside)
-        if aside or (name not in ("html", "body", "article", "main") and (words & ASIDE_WORDS or (attrs and _HIDDEN.search(attrs)))):
+        if aside or (name not in ("html", "body", "article", "main") and (words & ASIDE_WORDS or (attrs and hidden(attrs)))):
             stack[-1].kids.append(Node("-"))
             if name not in VOID:
                 skip = [name]

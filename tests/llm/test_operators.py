@@ -358,6 +358,13 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_hidden_is_an_attribute_of_its_own():
+    for attrs in ('class="overflow-hidden"', 'aria-hidden="false"', 'data-hidden="false"', "title='hidden'", 'data-style="display:none"'):
+        assert html.text_of(html.parse(f"<body><div {attrs}><p>Shown text</p></div></body>")).strip() == "Shown text", attrs
+    for attrs in ("hidden", 'class="a" HIDDEN', 'hidden=""', "hidden='until-found'", 'aria-hidden="true"', "aria-hidden=true", 'style="color:red; display: none"'):
+        assert html.text_of(html.parse(f"<body><div {attrs}><p>Gone</p></div><p>Left</p></body>")).strip() == "Left", attrs
+
+
 def test_pipeline_stages(spark, rows, docs, none, sf):
     for name, stage in pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
