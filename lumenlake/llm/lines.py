@@ -1,7 +1,7 @@
 """Line deduplication with DataFrame functions only.
 
-Hashes of line keys are range-partitioned with a secondary sort by document and position, so a hot key spreads over
-partitions; the first occurrence of a key in each document is streamed off that order and counted. What comes back for a
+Hashes of line keys are range-partitioned and sorted by document and position for storage; the first occurrence of a key in
+each document is then found by grouping on key and document, and counted, which does not use that order. What comes back for a
 document is a compressed bitmap of the lines it loses (64-bit words, those without a loss left out), not text.
 
 Defined cases: null and empty text are one empty line; blank lines are never dropped; rows with one doc_id count as one
@@ -44,7 +44,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     hashed = keyed.select(F.xxhash64("k").alias("h"), F.xxhash64(F.lit(7), "k").alias("h2"), "_doc", "_text_hash", "pos", long.alias("long"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = C.stored(hashed.repartitionByRange(parts, "h", "h2", "_doc").sortWithinPartitions("h", "h2", "_doc", "pos"), "lines")
-    # The sorted order is streamed: a row opens its document if the row before it has another key or document.
+    # Grouping by hash takes the place of streaming the sorted order.
     firsts = lines.groupBy("h", "h2", "_doc").agg(F.min("pos").alias("pos"), F.first("long").alias("long"))
     keys = firsts.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_doc", "pos")).alias("first"), F.first("long").alias("long"))
     keys = keys.where((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= long_docs))).drop("long")
