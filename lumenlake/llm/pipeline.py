@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more stay in the first one only, passages of over 50 words that two documents share
-    too; a document that loses all its words goes, one that had none stays. n_chars follows the text."""
+    """Lines found in ten documents or more stay in the first one only, whole equal lines of over 50 words that two documents
+    share too (not passages broken over lines, wrapped otherwise or inside a longer line); a document that loses all its words goes, one that had none stays. n_chars follows the text."""
     done = lines.dedup_text(docs, min_docs=10, keep_first=True, long_words=50, long_docs=2)
     left = done.where((F.col("_n_dropped") == 0) | (F.length(F.trim(F.col("_kept"), F.lit(lines.SPACE))) > 0))
     changed = F.col("_n_dropped") > 0
