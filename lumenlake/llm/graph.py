@@ -19,8 +19,8 @@ def _settled(e: DataFrame) -> bool:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: a, b (long). Returns node, component (the smallest node reachable) for every node with an edge to another.
 
-    Each round writes its edges to the shared folder. Minima are pre-aggregated before they are shuffled, so a node with
-    very many edges does not meet in one task. Null ends and loops are ignored; an empty table gives no rows.
+    Each round writes its edges and the minima to the shared folder. Minima are pre-aggregated before they are shuffled, and
+    they are joined from a table of their own, so that Spark can split the edges of a node with very many. Null ends and loops are ignored; an empty table gives no rows.
     """
     e = C.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(rounds):
@@ -29,10 +29,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Large star: every larger neighbour of u moves to the smallest of u and its neighbours.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        least = C.stored(least, "least")
         large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = C.stored(large, "edges")
         # Small star: u and its smaller neighbours move to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
+        low = C.stored(low, "least")
         small = large.join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = C.stored(small.union(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
     else:

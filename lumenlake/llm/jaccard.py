@@ -1,21 +1,23 @@
 """Exact Jaccard join of shingle sets in the metric space of the Jaccard distance d(x, y) = 1 - |x & y| / |x | y|.
 
-In this space unrelated texts all lie at distance 1 of any pivot, so pivots drawn from the whole corpus would put every text
-on every region's boundary. The space is therefore first cut into *blocks* that no link can cross, then pivots work inside
-the blocks:
-
-1. Texts with equal sets are one node (a fingerprint of the set).
-2. Blocks. Two linked sets of sizes a and b differ in at most (a + b)(1 - t)/(1 + t) shingles. Within a class of sizes the
-   hash range is cut into more parts than the largest such difference, so linked sets agree wholly on some parts; sharing
-   a part's fingerprint puts two nodes in one block. Parts with fewer than two uncommon shingles say little; each class has
-   spare parts for them, and a set with more of them than the spare ones signs its parts with the common shingles as well.
-   (Removing the same shingles from all sets cannot add differences, so nothing is lost, whichever are called common.)
-3. A block that fits a task is joined there. In a larger one, pivots make Voronoi regions (a node's home is its nearest
-   pivot); nodes within the radius of a pivot link to it. Regions are cut by home and by distance until each piece fits a
-   task. Two pieces are joined only if the triangle inequality allows a link between them - their distance intervals to
-   every pivot come within the radius - so a piece is replicated to the windows it borders on and no further; pieces whose
-   nodes all link to one pivot are one component already and are not joined.
-4. Every comparison counts the intersection exactly. Links are condensed to components.
+In this space unrelated texts all lie at distance 1 of any pivot, so a few pivots for the whole corpus would put every text on
+every region's boundary. Pivots are therefore elected among the texts that share a rare shingle, and there are as many as it
+takes:
+
+1. Texts with equal sets are one node (a fingerprint of the set). Shingles have one order for all texts: those that a bounded
+   sample shows to be common come last, all others go by hash. Two linked nodes share one of the first n - ceil(t n) + 1
+   shingles of each (n: the set's size, t: the threshold), its signatures.
+2. Pivots. Each signature elects a pivot: the smallest node that has it or, for a common shingle, the sample's node with most
+   common shingles. A region holds the nodes that elected one pivot, so any linked pair meets in a region.
+3. A parity sketch of SKETCH bits (a bit for the parity of the shingles that fall on it) gives h(x, y), a Hamming distance that
+   is a metric and never above the symmetric difference. Nodes whose h and size allow a link to their pivot are verified by
+   exact intersection; those that link are its Voronoi cell and need no comparison with each other.
+4. The nodes left open (in another component than their pivot) are joined with their region: it is cut by distance to the
+   pivot into pieces, a piece is replicated to those windows only that the triangle inequality |h(x,p) - h(y,p)| <= h(x,y)
+   leaves, and pairs that size and h allow are verified. This recurs: the nearest few of each open node first, and as found
+   links unite components there is less left open for the next, wider round, until no pair between components is left.
+
+No cap is involved: a pair is either verified by exact intersection, excluded by a bound, or of one component already.
 
 Defined cases: null, empty and wordless texts have no shingles, link with nothing and are components of their own; texts
 shorter than k words are one shingle; rows that repeat are linked as equal sets; rows without a doc_id get a null
@@ -26,44 +28,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenlake.llm import common as C
 from lumenlake.llm.graph import components
 
-#: The least uncommon shingles of a part that signs.
-STRONG = 2
-#: Least percent of similarity, ratio between the bounds of size classes, and spare parts for each part that may differ. At a
-#: lower similarity parts hold fewer shingles, so classes are finer and more parts may be weak: sets with too many weak parts
-#: sign with common shingles, which ties unlike sets.
-SHAPES = [(85, 1.3, 0.3), (1, 1.15, 0.8)]
-#: A piece holds nodes until their shingles plus PIECE_NODE for each reach PIECE.
-PIECE, PIECE_NODE, PIVOTS = 600_000, 600, 8
-#: So many signatures are held in a task before those that agree are condensed.
+SKETCH = 2048
+#: Members of a piece of a region; pairs of one task with a pivot or with a verified node.
+PIECE, PAIRS = 4096, 256
+#: Each open node is compared with so many of its nearest first, then with the next ones.
+NEAREST = (4, 64, 1024, 1 << 62)
+#: Signatures are made distinct in a task in lots of so many.
 HELD = 1_000_000
-#: Shingles found in at least COMMON of COMMON_SAMPLE texts are called common, in a bitmap of 2**COMMON_BITS.
-COMMON, COMMON_SAMPLE, COMMON_BITS = 4, 2048, 22
-
-
-class Classes:
-    """Size classes for a similarity of percent / 100: bounds, and the number of parts and spare parts of each."""
-
-    def __init__(self, percent: int, largest: int):
-        ratio, spare = next((r, x) for least, r, x in SHAPES if percent >= least)
-        low = [1]
-        while low[-1] <= 100 * largest / percent or len(low) < 3:
-            low.append(max(low[-1] + 1, int(np.ceil(ratio * low[-1]))))
-        low.append(max(low[-1] + 1, int(np.ceil(ratio * low[-1]))))
-        self.percent, self.low = percent, np.array(low)
-        top = self.low[1:] - 1
-        self.differ = 2 * top * (100 - percent) // (100 + percent)
-        self.spare = np.where(self.differ > 0, np.ceil(spare * self.differ + 1), 0).astype(np.int64)
-        self.parts = self.differ + 1 + self.spare
-
-    def of(self, n: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.low, n, "right") - 1
+#: Shingles found in at least COMMON of COMMON_SAMPLE texts are called common.
+COMMON, COMMON_SAMPLE = 4, 2048
 
 
 def sets_of(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,313 +58,248 @@ def sets_of(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, n
     return h, at, f
 
 
-def signatures(h: np.ndarray, at: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of the parts that sign for each set, in its own class and in those above that it may link with."""
+def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(sets, SKETCH / 64) words: the parity of the shingles that fall on each bit."""
+    n = len(at) - 1
+    out = np.zeros((n, SKETCH // 8), np.uint8)
+    spot = (C.mix(h + np.uint64(0x51)) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    owner = np.repeat(np.arange(n), np.diff(at))
+    for lo in range(0, n, 1000):
+        a, b = at[lo], at[min(n, lo + 1000)]
+        rows = min(n, lo + 1000) - lo
+        odd = np.bincount((owner[a:b] - lo) * SKETCH + spot[a:b], minlength=rows * SKETCH) & 1
+        out[lo : lo + rows] = np.packbits(odd.astype(np.uint8).reshape(rows, SKETCH), axis=1)
+    return out.view(np.uint64)
+
+
+def signatures(h: np.ndarray, at: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, row, whether it is common) of the first n - ceil(t n) + 1 shingles of each set; common: sorted hashes."""
     n = np.diff(at)
-    if not len(h):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    cl = Classes(percent, int(n.max()))
-    own = cl.of(np.maximum(n, 1))
-    slot = h >> np.uint64(64 - COMMON_BITS)
-    rare = ~((common[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
     owner = np.repeat(np.arange(len(n)), n)
-    mixed = C.mix(h + np.uint64(0x1234567))
-    out_s, out_r = [], []
-    last = len(cl.parts) - 1
-    for up in range(last + 1):
-        c = np.minimum(own + up, last)  # the last class is beyond what any set here may link with
-        use = (n > 0) & (100 * n >= percent * cl.low[c]) if up else n > 0
-        if not use.any():
-            break
-        use &= cl.differ[c] > 0
-        m = np.where(use, cl.parts[c], 0)
-        sel = use[owner]
-        if not sel.any():
-            continue
-        hh, oo, mm, rr = h[sel], owner[sel], mixed[sel], rare[sel]
-        part = ((hh >> np.uint64(32)) * m[oo].astype(np.uint64)) >> np.uint64(32)
-        base = np.concatenate([[0], np.cumsum(m)])
-        key = base[oo] + part.astype(np.int64)  # rises along the sorted hashes of a row
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        strong = np.zeros(base[-1], np.int64)
-        strong[key[first]] = np.add.reduceat(rr.astype(np.int64), first)
-        total = np.zeros(base[-1], np.uint64)
-        total[key[first]] = np.add.reduceat(np.where(rr, mm, np.uint64(0)), first)
-        row = np.repeat(np.arange(len(n)), m)
-        index = np.arange(base[-1]) - base[row]
-        tag = C.mix(c[row].astype(np.uint64) * np.uint64(0x100000001B3) + index.astype(np.uint64))
-        ok = strong >= STRONG
-        out_s.append(C.mix(total[ok] ^ tag[ok]))
-        out_r.append(row[ok])
-        weak = np.bincount(row[~ok], minlength=len(n))
-        over = weak > cl.spare[c]
-        if over.any():  # these sign with the common shingles as well: parts that hold enough, or all if too many do not
-            every, held = np.zeros(base[-1], np.uint64), np.zeros(base[-1], np.int64)
-            every[key[first]] = np.add.reduceat(mm, first)
-            held[key[first]] = np.diff(np.append(first, len(key)))
-            bare = np.bincount(row[held < STRONG], minlength=len(n)) > cl.spare[c]
-            ok = over[row] & (bare[row] | (held >= STRONG))
-            out_s.append(C.mix(every[ok] ^ tag[ok] ^ np.uint64(0x5555555555555555)))
-            out_r.append(row[ok])
-    return (np.concatenate(out_s), np.concatenate(out_r)) if out_s else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def _common(docs: DataFrame, k: int) -> np.ndarray:
-    """A bitmap of shingles that are frequent in a bounded sample; it steers the work and cannot change a result."""
-    ids = docs.select("_id").orderBy(F.xxhash64("_id")).limit(COMMON_SAMPLE).select(F.col("_id").alias("_chosen"))
+    spot = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
+    late = common[spot] == h if len(common) else np.zeros(len(h), bool)
+    order = np.lexsort((h, late, owner)) if late.any() else np.arange(len(h))
+    first = n - (percent * n + 99) // 100 + 1
+    keep = order[np.arange(len(h)) - at[:-1][owner] < first[owner]]
+    return h[keep], owner[keep], late[keep]
+
+
+def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles that are frequent in a bounded sample, the pivot of each); it steers the work, not the result."""
+    ids = docs.select("_id").where("_id is not null").orderBy(F.xxhash64("_id")).limit(COMMON_SAMPLE).select(F.col("_id").alias("_chosen"))
 
     def rows(batches):
         for b in batches:
-            for lo, hi, data, bounds in C.blocks(b.column("text")):
-                h, _, _ = sets_of(data, bounds, k)
-                yield pa.record_batch([pa.array(h.view(np.int64))], ["h"])
+            for _, _, data, bounds in C.blocks(b.column("text")):
+                h, at, f = sets_of(data, bounds, k)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.repeat(f.view(np.int64), np.diff(at)))], ["h", "f"])
 
     sample = docs.join(F.broadcast(ids), F.col("_id") == F.col("_chosen"), "left_semi").select("text")
-    top = sample.mapInArrow(rows, "h long").groupBy("h").count().where(F.col("count") >= COMMON).select("h").toArrow()
-    out = np.zeros(1 << (COMMON_BITS - 3), np.uint8)
-    at = top.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - COMMON_BITS)
-    np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-    return out
-
-
-def _overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
-    """Intersection sizes of all of a with all of b (with a itself if b is None): matrix products over the shingles that
-    many share, posting pairs for the others."""
-    sides = a if b is None else a + b
-    flat = np.concatenate(sides)
-    owner = np.repeat(np.arange(len(sides)), [len(x) for x in sides])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    size = np.diff(np.append(first, len(flat)))
-    na, nb = len(a), len(a) if b is None else len(b)
-    out = np.zeros((na, nb), np.int32)
-    dense = np.flatnonzero(size >= 24)
-    for lo in range(0, len(dense), 4096):
-        some = dense[lo : lo + 4096]
-        col = np.repeat(np.arange(len(some)), size[some])
-        own = owner[np.concatenate([np.arange(first[i], first[i] + size[i]) for i in some])]
-        x = np.zeros((len(sides), len(some)), np.float32)
-        x[own, col] = 1
-        out += np.rint(x[:na] @ (x if b is None else x[na:]).T).astype(np.int32)
-    flat_out = out.ravel()
-    loose = (size > 1) & (size < 24)
-    for s in np.unique(size[loose]):
-        some = first[loose & (size == s)]
-        group = owner[some[:, None] + np.arange(s)]
-        i, j = np.triu_indices(s, 1)
-        x, y = group[:, i].ravel(), group[:, j].ravel()  # x < y: the sort is stable
-        if b is None:
-            pairs = np.concatenate([x * nb + y, y * nb + x])
-        else:
-            cross = (x < na) & (y >= na)
-            pairs = x[cross] * nb + (y[cross] - na)
-        np.add.at(flat_out, pairs, 1) if len(pairs) < 1000 else flat_out.__iadd__(np.bincount(pairs, minlength=len(flat_out)).astype(np.int32))
-    return out
-
-
-def _linked(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    both = _overlaps(a, b)
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in (a if b is None else b)])
-    yes = 100 * both.astype(np.int64) >= percent * (na[:, None] + nb[None, :] - both)
-    if b is None:
-        yes = np.triu(yes, 1)
-    return np.nonzero(yes)
-
-
-def _stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from every linked node to the smallest id of its component here."""
-    label = np.arange(len(ids))
-    order = np.argsort(ids)
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
-    label = rank.copy()
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        fresh = label.copy()
-        np.minimum.at(fresh, i, low)
-        np.minimum.at(fresh, j, low)
-        fresh = fresh[order[fresh]]
-        if (fresh == label).all():
-            break
-        label = fresh
-    moved = np.flatnonzero(label != rank)
-    return ids[moved], ids[order[label[moved]]]
-
-
-def _tied_here(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """(sig, f, g) from (signatures, their nodes): each signature with its smallest node here and no g; for the other nodes
-    that have it a tie to that one, under a sig of its own."""
-    s, f = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((f, s))
-    s, f = s[order], f[order]
-    first = np.ones(len(s), bool)
-    first[1:] = s[1:] != s[:-1]
-    g = f[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
-    x, y = f[f != g], g[f != g]
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    fresh = np.ones(len(x), bool)
-    fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    x, y = x[fresh], y[fresh]
-    n = int(first.sum())
-    none = np.concatenate([np.ones(n, bool), np.zeros(len(x), bool)])
-    return pa.record_batch([pa.array(np.concatenate([s[first].view(np.int64), x])), pa.array(np.concatenate([f[first], x])), pa.array(np.concatenate([f[first], y]), mask=none)], ["sig", "f", "g"])
-
-
-def _join_tasks(percent: int):
-    """mapInArrow over rows sorted by task: (task, side, f, set) to star edges (a, b). Side 2 stands alone with itself."""
-
-    def solve(side: list[int], f: list[int], sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        arrays = [np.frombuffer(x, np.uint64) for x in sets]
-        ids = np.array(f, np.int64)
-        one = [x for x, s in zip(arrays, side, strict=True) if s != 1]
-        two = [x for x, s in zip(arrays, side, strict=True) if s == 1]
-        mark = np.array(side) == 1
-        if not mark.any():
-            i, j = _linked(one, None, percent) if len(one) > 1 else (np.zeros(0, np.int64),) * 2
-            return _stars(ids, i, j)
-        if not one:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i, j = _linked(one, two, percent)
-        return _stars(ids, np.flatnonzero(~mark)[i], np.flatnonzero(mark)[j])
+    each = sample.mapInArrow(rows, "h long, f long")
+    often = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).select("h")
+    score = C.stored(each.distinct().join(often, "h"), "common")
+    best = score.groupBy("f").count()
+    top = score.join(best, "f").groupBy("h").agg(F.max(F.struct("count", "f")).alias("p")).select("h", "p.f").toArrow()
+    h, f = top.column("h").to_numpy().view(np.uint64), top.column("f").to_numpy()
+    order = np.argsort(h)
+    return h[order], f[order]
+
+
+def bound(percent: int, a, b):
+    """The largest symmetric difference of linked sets of sizes a and b."""
+    return (100 - percent) * (a + b) / (100 + percent)
+
+
+def _may(percent: int, h: Column, a: Column, b: Column) -> Column:
+    return (h * (100 + percent) <= (100 - percent) * (a + b)) & (100 * F.least(a, b) >= percent * F.greatest(a, b))
+
+
+def _distances(batches):
+    """h: the Hamming distance of each node's sketch to its pivot's."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("sketch", "p_sketch"))
+        yield pa.record_batch([*(b.column(c) for c in ("p", "p_id", "p_n", "f", "id", "n", "sketch")), pa.array(np.bitwise_count(x ^ y).sum(1).astype(np.int64))], ["p", "p_id", "p_n", "f", "id", "n", "sketch", "h"])
+
+
+def _near(percent: int, least: int, most: int):
+    """mapInArrow over rows sorted by task: of each open node (side 0) and the others of its window (side 1), the pairs
+    between components that size and sketch allow, from the least-nearest to the most-nearest of the open node; and one
+    row without b where more are left."""
+
+    def solve(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        side = rows["side"]
+        y, x = ({c: v[side == s] for c, v in rows.items()} for s in (0, 1))
+        order = np.argsort(x["h"], kind="stable")
+        x = {c: v[order] for c, v in x.items()}
+        out: list[tuple] = []
+        widest = bound(percent, x["n"].max(initial=0), 0)
+        step = 256
+        order = np.argsort(y["h"], kind="stable")
+        for lo in range(0, len(order), step):
+            mine = order[lo : lo + step]
+            reach = widest + bound(percent, y["n"][mine].max(), 0)
+            a = np.searchsorted(x["h"], y["h"][mine].min() - reach, "left")
+            z = np.searchsorted(x["h"], y["h"][mine].max() + reach, "right")
+            for i in mine:  # one open node against its window
+                h = np.bitwise_count(x["sketch"][a:z] ^ y["sketch"][i]).sum(1)
+                nx, ny = x["n"][a:z], y["n"][i]
+                ok = (h <= bound(percent, nx, ny)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+                ok &= (x["open"][a:z] == 0) | (x["f"][a:z] > y["f"][i])
+                ok &= x["f"][a:z] != y["f"][i]
+                some = np.flatnonzero(ok)
+                if not len(some):
+                    continue
+                some = some[np.lexsort((x["f"][a:z][some], h[some]))] + a
+                other = x["c"][some] != y["c"][i]
+                now = some[least:most][other[least:most]]
+                out += [(y["f"][i], y["id"][i], x["f"][j], x["id"][j]) for j in now]
+                if other[most:].any():
+                    out.append((y["f"][i], y["id"][i], None, None))
+        return pa.record_batch([pa.array([o[c] if o[c] is None else int(o[c]) for o in out], pa.int64()) for c in range(4)], ["a", "a_id", "b", "b_id"])
+
+    names = ("side", "f", "id", "n", "h", "c", "open")
 
     def rows(batches):
-        task, side, f, sets, seen = None, [], [], [], set()
-        out_a, out_b = [], []
+        task, held = None, []
+
+        def done():
+            got = {c: np.concatenate([p[c] for p in held]) for c in (*names, "sketch")}
+            return solve(got)
+
         for b in batches:
-            for t, s, x, y in zip(b.column("task").to_pylist(), b.column("side").to_pylist(), b.column("f").to_pylist(), b.column("set").to_pylist(), strict=True):
-                if t != task and f:
-                    p, q = solve(side, f, sets)
-                    out_a.append(p)
-                    out_b.append(q)
-                    side, f, sets, seen = [], [], [], set()
-                task = t
-                if (s, x) in seen:  # rows that repeat one doc_id
+            t = b.column("task").to_numpy()
+            cut = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                if hi == lo:
                     continue
-                seen.add((s, x))
-                side.append(s)
-                f.append(x)
-                sets.append(y)
-            if sum(map(len, out_a)) > 50_000:
-                yield pa.record_batch([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-                out_a, out_b = [], []
-        if f:
-            p, q = solve(side, f, sets)
-            out_a.append(p)
-            out_b.append(q)
-        if out_a:
-            yield pa.record_batch([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                if t[lo] != task and held:
+                    yield done()
+                    held = []
+                task = t[lo]
+                part = b.slice(lo, hi - lo)
+                held.append({c: part.column(c).to_numpy() for c in names} | {"sketch": np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)})
+        if held:
+            yield done()
 
     return rows
 
 
-def _large(sets: DataFrame, big: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(tasks, links to pivots) of the blocks that do not fit a task."""
-    radius = (100 - percent) / 100
-    nodes = sets.join(big, "block", "left_semi")
-    salted = nodes.select("block", "f", "n", "copies", F.pmod(F.xxhash64("f"), F.lit(64)).alias("salt"))
-    best = [F.desc("copies"), F.xxhash64("f")]
-    few = salted.withColumn("r", F.row_number().over(W.partitionBy("block", "salt").orderBy(*best))).where(F.col("r") <= PIVOTS)
-    few = few.withColumn("r", F.row_number().over(W.partitionBy("block").orderBy(*best))).where(F.col("r") <= PIVOTS).select("block", "f", "r")
-    pivots = nodes.join(few, ["block", "f"]).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("r", "f", "set"))).alias("pivots"))
+def _verified(slim: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b of the pairs (a, a_id, b, b_id) that link. All nodes paired with one b are dealt over tasks of PAIRS, each with b's
+    text; texts are shuffled, being smaller than their sets, and b's set is all that a task holds."""
+    pairs = C.stored(pairs.distinct(), "pairs")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    left = dealt.select("b", "part", F.lit(1).alias("side"), F.col("a").alias("f"), F.col("a_id").alias("_of"))
+    right = dealt.groupBy("b", "part").agg(F.first("b_id").alias("_of")).select("b", "part", F.lit(0).alias("side"), F.col("b").alias("f"), "_of")
+    rows = slim.join(left.union(right), F.col("_id") == F.col("_of")).select("b", "part", "side", "f", "text")
 
-    def rows(batches):
+    def check(batches):
+        key, one = None, None
         for b in batches:
-            out = []
-            for f, s, pivots in zip(b.column("f").to_pylist(), b.column("set").to_pylist(), b.column("pivots").to_pylist(), strict=True):
-                x = np.frombuffer(s, np.uint64)
-                d, mask = [], 0
-                for bit, p in enumerate(pivots):
-                    y = np.frombuffer(p["set"], np.uint64)
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = int((y[at] == x).sum())
-                    union = len(x) + len(y) - both
-                    d.append(1 - both / union)
-                    mask |= (100 * both >= percent * union) << bit
-                out.append((f, int(np.argmin(d)), mask, d, [p["f"] for i, p in enumerate(pivots) if mask >> i & 1]))
-            yield pa.record_batch([b.column("block"), b.column("f"), b.column("n"), *(pa.array([o[i] for o in out], t) for i, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.list_(pa.float64())), (4, pa.list_(pa.int64()))))], ["block", "f", "n", "home", "mask", "d", "near"])
-
-    at = C.stored(nodes.join(pivots, "block").select("block", "f", "n", "set", "pivots").mapInArrow(rows, "block long, f long, n long, home int, mask long, d array<double>, near array<long>"), "pivots")
-    links = at.select(F.col("f").alias("a"), F.explode("near").alias("b"))
-    home = F.element_at("d", F.col("home") + 1)
-    running = F.sum(F.col("n") + PIECE_NODE).over(W.partitionBy("block", "home", "mask").orderBy(home, "f").rowsBetween(W.unboundedPreceding, 0))
-    cut = C.stored(at.withColumn("piece", F.xxhash64("block", "home", "mask", F.floor(running / PIECE))).drop("near", "n"), "pieces")
-    low, high = (F.array(*(f(F.try_element_at("d", F.lit(i + 1))).alias("x") for i in range(PIVOTS))) for f in (F.min, F.max))
-    piece = cut.groupBy("block", "piece").agg(low.alias("low"), high.alias("high"), F.min("mask").alias("mask"))
-    p, q = piece.select("block", *(F.col(c).alias(f"p_{c}") for c in ("piece", "low", "high", "mask"))), piece.select("block", *(F.col(c).alias(f"q_{c}") for c in ("piece", "low", "high", "mask")))
-    pairs = p.join(q, "block").where("p_piece <= q_piece and (p_mask & q_mask) = 0")
-    for i in range(PIVOTS):  # the triangle inequality: |d(x, p) - d(y, p)| <= d(x, y)
-        gap = F.greatest(F.col("p_low")[i] - F.col("q_high")[i], F.col("q_low")[i] - F.col("p_high")[i])
-        pairs = pairs.where(F.coalesce(gap, F.lit(0.0)) <= radius + 1e-9)
-    pairs = pairs.select(F.xxhash64("p_piece", "q_piece").alias("task"), "p_piece", "q_piece")
-    sides = pairs.select("task", F.col("p_piece").alias("piece"), F.when(F.col("p_piece") == F.col("q_piece"), 2).otherwise(0).alias("side")).union(
-        pairs.where("p_piece < q_piece").select("task", F.col("q_piece").alias("piece"), F.lit(1).alias("side"))
-    )
-    tasks = cut.select("piece", "f").join(sides, "piece").join(nodes.select("f", "set"), "f").select("task", "side", "f", "set")
-    return tasks, links
+            want, side, task, part = (b.column(c).to_numpy() for c in ("f", "side", "b", "part"))
+            for lo, hi, data, bounds in C.blocks(b.column("text")):
+                h, at, f = sets_of(data, bounds, k)
+                x, y = [], []
+                for i in range(hi - lo):
+                    r = lo + i
+                    if f[i].view(np.int64) != want[r]:  # another text under the same doc_id
+                        continue
+                    s = h[at[i] : at[i + 1]]
+                    if side[r] == 0:
+                        key, one = (task[r], part[r]), s
+                    elif key == (task[r], part[r]):
+                        both = int((one[np.minimum(np.searchsorted(one, s), len(one) - 1)] == s).sum())
+                        if 100 * both >= percent * (len(one) + len(s) - both):
+                            x.append(want[r])
+                            y.append(task[r])
+                yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    return C.stored(rows.repartition("b", "part").sortWithinPartitions("b", "part", "side").mapInArrow(check, "a long, b long"), "links")
+
+
+def _windows(regions: DataFrame, percent: int) -> DataFrame:
+    """task and side of each row of regions (p, f, n, h, c, open): pieces by distance to the pivot, paired by the triangle
+    inequality where one has an open node."""
+    count = regions.groupBy("p", "h").agg(F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(W.partitionBy("p").orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = count.select("p", "h", F.floor(before / PIECE).alias("g"), F.ceil(F.col("m") / PIECE).alias("salts"))
+    cut = C.stored(regions.join(cells, ["p", "h"]).withColumn("g", F.struct("g", F.pmod(F.xxhash64("f"), "salts").alias("s"))).drop("salts"), "cut")
+    piece = cut.groupBy("p", "g").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max("n").alias("n"), F.max("open").alias("open"))
+    one = piece.where("open = 1").select("p", *(F.col(c).alias(f"y_{c}") for c in ("g", "lo", "hi", "n")))
+    reach = bound(percent, F.col("n"), F.col("y_n"))
+    pairs = piece.join(one, "p").where((F.col("lo") - F.col("y_hi") <= reach) & (F.col("y_lo") - F.col("hi") <= reach)).select("p", "g", "y_g", F.xxhash64("p", "g", "y_g").alias("task"))
+    sides = pairs.select("p", "g", "task", F.lit(1).alias("side")).union(pairs.select("p", F.col("y_g").alias("g"), "task", F.lit(0).alias("side")))
+    return cut.join(sides, ["p", "g"]).where("side = 1 or open = 1")
 
 
 def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("_id"), C.byte_texts(docs))
-    common = spark.sparkContext.broadcast(_common(slim, k))  # 2**COMMON_BITS bits
+    shared = spark.sparkContext.broadcast(_common(slim, k))  # of a bounded sample
 
     def measured(batches):
         for b in batches:
             for lo, hi, data, bounds in C.blocks(b.column("text")):
-                _, at, f = sets_of(data, bounds, k)
-                yield pa.record_batch([b.column("_id").slice(lo, hi - lo), pa.array(f.view(np.int64)), pa.array(np.diff(at))], ["_id", "f", "n"])
+                h, at, f = sets_of(data, bounds, k)
+                s = sketches(h, at)
+                yield pa.record_batch([b.column("_id").slice(lo, hi - lo), pa.array(f.view(np.int64)), pa.array(np.diff(at)), pa.array([x.tobytes() for x in s], pa.binary())], ["_id", "f", "n", "sketch"])
 
     def signed(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        common, pivot = shared.value
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out():
+            x = np.unique(np.concatenate(held, axis=1), axis=1) if len(held) > 1 else held[0]
+            return pa.record_batch([pa.array(x[0]), pa.array(x[1]), pa.array(x[2], mask=x[2] == 0)], ["sig", "f", "p"])
+
         for b in batches:
             for _, _, data, bounds in C.blocks(b.column("text")):
                 h, at, f = sets_of(data, bounds, k)
-                s, r = signatures(h, at, percent, common.value)
-                held.append((s, f[r].view(np.int64)))
-                if sum(len(x) for x, _ in held) > HELD:
-                    yield _tied_here(held)
-                    held = []
+                s, r, late = signatures(h, at, percent, common)
+                own, sig = f[r].view(np.int64), s.view(np.int64)
+                elected = np.where(late, pivot[np.minimum(np.searchsorted(common, s), len(common) - 1)], 0) if len(common) else np.zeros(len(s), np.int64)
+                sig = np.where(late, own ^ elected, sig)  # such a row goes to its pivot, not to the signature's other nodes
+                held.append(np.unique(np.stack([sig, own, elected]), axis=1))
+                size += held[-1].shape[1]
+                if size > HELD:
+                    yield out()
+                    held, size = [], 0
         if held:
-            yield _tied_here(held)
-
-    rows = C.stored(slim.mapInArrow(measured, "_id long, f long, n long"), "measured")
-    # Blocks: nodes that share a signature, each tied to the smallest node that has it; one row of a signature for each
-    # HELD of them leaves a task, so one that a third of the rows share stays small. Signatures are shuffled once.
-    sig = slim.where("_id is not null").select("text", "_id").mapInArrow(signed, "sig long, f long, g long")
-    tied = sig.select("f", F.coalesce("g", F.first("f").over(W.partitionBy("sig").orderBy("f"))).alias("g")).where("f <> g")
-    blocks = components(tied.select(F.col("f").alias("a"), F.col("g").alias("b")))
-    named = rows.where("n > 0 and _id is not null").groupBy("f").agg(F.min("_id").alias("_id"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    member = C.stored(named.join(blocks.select(F.col("node").alias("f"), F.col("component").alias("block")), "f"), "member")
-    big = C.stored(member.groupBy("block").agg(F.sum(F.col("n") + PIECE_NODE).alias("w")).where(F.col("w") > 2 * PIECE).select("block"), "big")
-
-    def reread(batches):
-        for b in batches:
-            want = b.column("f").to_numpy().view(np.uint64)
-            for lo, hi, data, bounds in C.blocks(b.column("text")):
-                h, at, f = sets_of(data, bounds, k)
-                raw = h.tobytes()
-                part = b.slice(lo, hi - lo)
-                sets = pa.array([raw[8 * at[i] : 8 * at[i + 1]] if f[i] == want[lo + i] else None for i in range(hi - lo)], pa.binary())
-                yield pa.record_batch([*(part.column(c) for c in part.schema.names if c != "text"), sets], [*(c for c in part.schema.names if c != "text"), "set"])
-
-    def join(tasks: DataFrame) -> DataFrame:
-        return tasks.mapInArrow(_join_tasks(percent), "a long, b long")
-
-    # Blocks that fit a task: texts are shuffled, being smaller than their shingles, and the task makes the sets.
-    small = slim.join(member.join(big, "block", "left_anti").select("_id", "f", "block"), "_id").select(F.col("block").alias("task"), F.lit(2).alias("side"), "f", "text")
-    found = join(small.repartition("task").sortWithinPartitions("task").mapInArrow(reread, "task long, side int, f long, set binary").where("set is not null"))
-    if not big.isEmpty():
-        large = slim.join(member.join(big, "block", "left_semi"), "_id").select("block", "f", "n", "copies", "text").mapInArrow(reread, "block long, f long, n long, copies long, set binary").where("set is not null")
-        repeated = rows.where("_id is not null").groupBy("_id").count().where("count > 1")
-        sets = C.stored(large if repeated.isEmpty() else large.dropDuplicates(["f"]), "sets")
-        tasks, links = _large(sets, big, percent)
-        found = found.union(join(tasks.repartition("task").sortWithinPartitions("task", "side"))).union(links)
-    final = components(found)
+            yield out()
+
+    rows = C.stored(slim.mapInArrow(measured, "_id long, f long, n long, sketch binary"), "measured")
+    sig = slim.where("_id is not null").select("text").mapInArrow(signed, "sig long, f long, p long")
+    # Signatures are shuffled once. A common one never meets in a task, for its nodes name its pivot themselves.
+    elected = sig.select("f", F.coalesce("p", F.first("f").over(W.partitionBy("sig").orderBy("f"))).alias("p")).where("f <> p").distinct()
+    elected = C.stored(elected, "elected")
+    members = elected.union(elected.select("p", "p").distinct())
+    node = rows.where("n > 0 and _id is not null").groupBy("f").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    used = C.stored(node.join(members.select("f").distinct(), "f", "left_semi"), "nodes")
+    heads = used.select(F.col("f").alias("p"), F.col("id").alias("p_id"), F.col("n").alias("p_n"), F.col("sketch").alias("p_sketch"))
+    regions = members.join(used, "f").join(heads, "p").select("p", "p_id", "p_n", "p_sketch", "f", "id", "n", "sketch")
+    regions = C.stored(regions.mapInArrow(_distances, "p long, p_id long, p_n long, f long, id long, n long, sketch binary, h long"), "regions")
+    close = regions.where((F.col("f") != F.col("p")) & _may(percent, F.col("h"), F.col("n"), F.col("p_n")))
+    links = _verified(slim, close.select(F.col("f").alias("a"), F.col("id").alias("a_id"), F.col("p").alias("b"), F.col("p_id").alias("b_id")), k, percent)
+    final, least = C.stored(components(links), "classes"), 0
+    for most in NEAREST:
+        at = regions.join(final.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("c", F.coalesce("component", "f")).drop("component")
+        at = at.join(final.select(F.col("node").alias("p"), "component"), "p", "left").withColumn("open", (F.col("c") != F.coalesce("component", "p")).cast("int"))
+        at = at.select("p", "f", "id", "n", "sketch", "h", "c", "open")
+        left = at.where("open = 1").select("p").distinct()
+        tasks = _windows(at.join(left, "p", "left_semi"), percent).select("task", "side", "f", "id", "n", "h", "c", "open", "sketch")
+        found = C.stored(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_near(percent, least, most), "a long, a_id long, b long, b_id long"), "near")
+        pairs = found.where("b is not null")
+        if not pairs.isEmpty():
+            links = links.union(_verified(slim, pairs, k, percent))
+            final = C.stored(components(links), "classes")
+        if found.where("b is null").isEmpty():
+            break
+        least = most
     # Each node's component, then the smallest doc_id in it.
-    named = rows.join(final.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
+    named = rows.select("_id", "f", "n").join(final.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
     lowest = named.where("n > 0 and _id is not null").groupBy("component").agg(F.min("_id").alias("component_id"))
     out = named.join(lowest, "component", "left")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("_id").isNotNull(), F.col("component_id"))).otherwise(F.col("_id")).alias("component_id"))

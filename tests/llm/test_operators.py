@@ -89,9 +89,34 @@ def test_jaccard_join(spark, rows, docs, none):
     assert jaccard.near_components(none).count() == 0
 
 
-def test_jaccard_large_blocks_are_cut(spark, rows, docs, monkeypatch):
-    monkeypatch.setattr(jaccard, "PIECE", 3_000)
-    same([tuple(r) for r in jaccard.near_components(docs, 4, 85).collect()], components(rows, 4, 85))
+def test_jaccard_hot_region_recurs(spark, monkeypatch):
+    """One base in copies edited to around the threshold, so that many nodes are open at their pivot, cut into many pieces."""
+    monkeypatch.setattr(jaccard, "PIECE", 16)
+    monkeypatch.setattr(jaccard, "PAIRS", 8)
+    monkeypatch.setattr(jaccard, "NEAREST", (1, 3, 1 << 62))
+    rng = random.Random(11)
+    base = [[f"b{j}_{i}" for i in range(80)] for j in range(2)]
+    rows = []
+    for i in range(300):
+        w = list(base[i % 2 if i % 7 else 0])
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4))):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w + base[1][:5]), None, None, 0, 0, ""))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for k, percent in ((4, 85), (5, 80)):
+        want = components(rows, k, percent)
+        assert 1 < len({c for _, _, c in want}) < 300
+        same([tuple(r) for r in jaccard.near_components(docs, k, percent).collect()], want)
+
+
+def test_jaccard_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.choice(1 << 60, n, replace=False).astype(np.uint64)) for n in (1, 50, 900)]
+    sets += [np.sort(np.concatenate([sets[2][:800], sets[1]])), np.zeros(0, np.uint64)]
+    s = jaccard.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.bitwise_count(s[i] ^ s[j]).sum() <= len(np.setxor1d(a, b))
 
 
 def test_components(spark):
