@@ -184,9 +184,12 @@ def fold(column: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines of a cluster see; only where it is unset, a temporary one."""
+    """The folder of spark.checkpoint.dir, which all machines of a cluster see. Where it is unset, a temporary one in local
+    mode; on a cluster an error, for a machine's own folder would lose data."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="lumenlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -200,6 +203,47 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the bitmap of semi(), whatever the number of keys.
+SEMI_BITS = 24
+
+
+def _spots(keys: pa.Array) -> np.ndarray:
+    return (mix(keys.to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - SEMI_BITS)).astype(np.int64)
+
+
+def semi(df: DataFrame, key: str, want: DataFrame, of: str) -> DataFrame:
+    """df without most of the rows whose key (a long without nulls in want) is not in want: a bitmap of fixed size is sent to
+    the tasks ahead of a join, so that texts which will not match are not shuffled. The join still decides."""
+
+    def marks(batches):
+        bits = np.zeros(1 << SEMI_BITS, bool)
+        for b in batches:
+            bits[_spots(b.column(0))] = True
+        yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    bits = np.zeros(1 << (SEMI_BITS - 3), np.uint8)
+    for x in want.select(of).coalesce(8).mapInArrow(marks, "bits binary").toArrow().column("bits"):  # at most 8, of fixed size
+        bits |= np.frombuffer(x.as_py(), np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def rows(batches):
+        bits = shared.value
+        for b in batches:
+            b = b.filter(b.column(key).is_valid())
+            at = _spots(b.column(key))
+            yield b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    return df.mapInArrow(rows, df.schema)
+
+
+def spans(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the spans that begin at start and cover data without gaps."""
+    length = np.diff(np.append(start, len(data)))
+    at = np.arange(len(data)) - np.repeat(start, length)
+    wide = (data.astype(np.uint64) + np.uint64(1)) * _multipliers(int(length.max(initial=0)) + 1)[at]
+    return mix(np.add.reduceat(wide, start) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) if len(start) else np.zeros(0, np.uint64)
+
+
 def sampled(df: DataFrame, key: Column, per: str, most: int, salts: int = 32) -> DataFrame:
     """At most `most` rows for each value of column per, chosen by a hash of key; dealt over salts, so no value meets in
     one task. For fitting models only: its bound is a parameter of each operator that calls it."""

@@ -4,9 +4,10 @@ In this space unrelated texts all lie at distance 1 of any pivot, so a few pivot
 every region's boundary. Pivots are therefore elected among the texts that share a rare shingle, and there are as many as it
 takes:
 
-1. Texts with equal sets are one node (a fingerprint of the set). Shingles have one order for all texts: those that a bounded
-   sample shows to be common come last, all others go by hash. Two linked nodes share one of the first n - ceil(t n) + 1
-   shingles of each (n: the set's size, t: the threshold), its signatures.
+1. Texts with equal sets are one node (a fingerprint of the set). Shingles have one order for all texts: by the number of
+   texts that hold them, counted over all; those that a bounded sample shows to be very common come last and are not counted.
+   Two linked nodes share one of the first n - ceil(t n) + 1 shingles of each (n: the set's size, t: the threshold), its
+   signatures. One that no other text holds signs nothing, so most texts have no signature at all.
 2. Pivots. Each signature elects a pivot: the smallest node that has it or, for a common shingle, the sample's node with most
    common shingles. A region holds the nodes that elected one pivot, so any linked pair meets in a region.
 3. A parity sketch of SKETCH bits (a bit for the parity of the shingles that fall on it) gives h(x, y), a Hamming distance that
@@ -35,13 +36,15 @@ from pyspark.sql import Window as W
 from lumenlake.llm import common as C
 from lumenlake.llm.graph import components
 
-SKETCH = 2048
+SKETCH = 1024
 #: Members of a piece of a region; pairs of one task with a pivot or with a verified node.
 PIECE, PAIRS = 4096, 256
 #: Each open node is compared with so many of its nearest first, then with the next ones.
 NEAREST = (4, 64, 1024, 1 << 62)
-#: Signatures are made distinct in a task in lots of so many.
-HELD = 1_000_000
+#: Shingles are counted in so many ranges of hashes for each shuffle partition.
+RANGES = 4
+#: Rows of a block: their places in it are written in two bytes.
+BLOCK_ROWS = 60_000
 #: Shingles found in at least COMMON of COMMON_SAMPLE texts are called common.
 COMMON, COMMON_SAMPLE = 4, 2048
 
@@ -72,16 +75,142 @@ def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def signatures(h: np.ndarray, at: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle, row, whether it is common) of the first n - ceil(t n) + 1 shingles of each set; common: sorted hashes."""
-    n = np.diff(at)
-    owner = np.repeat(np.arange(len(n)), n)
-    spot = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
-    late = common[spot] == h if len(common) else np.zeros(len(h), bool)
-    order = np.lexsort((h, late, owner)) if late.any() else np.arange(len(h))
-    first = n - (percent * n + 99) // 100 + 1
-    keep = order[np.arange(len(h)) - at[:-1][owner] < first[owner]]
-    return h[keep], owner[keep], late[keep]
+def prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of a set of each size sign."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _long(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.int64)
+
+
+#: Rows of step 1. kind 0: the texts of a block (ids, whether null, fingerprints, sizes, sketches, shingles not common, and pairs
+#: of nodes with pivots); kind 1: the shingles of a block in a range of hashes (six bytes each, place of the text in the block),
+#: then those of them that are in several texts (shingle, place, number of texts).
+PACKED = "part int, block long, kind int, a binary, b binary, c binary, d binary, e binary, g binary, x binary, y binary"
+
+
+def _row(part: int, block: int, kind: int, *fields: np.ndarray) -> tuple:
+    return part, block, kind, *(x.tobytes() for x in fields), *[None] * (8 - len(fields))
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 8]
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["part", "block", "kind", *"abcdegxy"])
+
+
+def _packed(k: int, percent: int, ranges: int, shared):
+    """mapInArrow over texts to rows of step 1, before counting."""
+    from pyspark import TaskContext
+
+    def rows(batches):
+        common, pivot = shared.value
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK_ROWS):
+                b = batch.slice(start, BLOCK_ROWS)
+                for lo, hi, data, bounds in C.blocks(b.column("text")):
+                    h, at, f = sets_of(data, bounds, k)
+                    n, ids = np.diff(at), b.column("_id").slice(lo, hi - lo)
+                    null = ids.is_null().to_numpy(zero_copy_only=False)
+                    owner = np.repeat(np.arange(hi - lo), n)
+                    spot = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
+                    late = common[spot] == h if len(common) else np.zeros(len(h), bool)
+                    some = n - np.bincount(owner[late], minlength=hi - lo)
+                    # Common shingles sign last, in order of their hashes; each names its pivot.
+                    rank = np.cumsum(late) - np.concatenate([[0], np.cumsum(late)])[at[:-1]][owner]
+                    sign = late & (rank <= (prefix(n, percent) - some)[owner]) & ~null[owner]
+                    pairs = np.unique(np.stack([f[owner[sign]].view(np.int64), pivot[spot[sign]]]), axis=1) if sign.any() else np.zeros((2, 0), np.int64)
+                    out = [_row(block % ranges, block, 0, ids.fill_null(0).to_numpy(), null, f, n, sketches(h, at), some, pairs[0], pairs[1])]
+                    rest = ~late & ~null[owner]
+                    hh, oo = h[rest], owner[rest]
+                    part = ((hh >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                    order = np.argsort(part, kind="stable")
+                    hh, oo, part = hh[order].view(np.uint8).reshape(-1, 8)[:, :6], oo[order].astype(np.uint16), part[order]
+                    cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else [0]
+                    out += [_row(int(part[i]), block, 1, hh[i:j], oo[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                    block += 1
+                    yield _batch(out)
+
+    return rows
+
+
+def _counted(batches):
+    """mapInArrow over rows of step 1 sorted by part: leaves of the shingles those that are in several texts, with the number."""
+
+    def solve(part: int, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        size = [len(x) // 6 for _, x, _ in held]
+        h = np.zeros((sum(size), 8), np.uint8)
+        h[:, :6] = np.frombuffer(b"".join(x for _, x, _ in held), np.uint8).reshape(-1, 6)
+        h = h.view(np.uint64).ravel()
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        count = np.empty(len(h), np.int64)
+        count[order] = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h))))
+        h = C.mix(h | np.uint64(part % 65536 << 48))
+        out, lo = [], 0
+        for (block, _, place), m in zip(held, size, strict=True):
+            many = count[lo : lo + m] > 1
+            if many.any():
+                out.append(_row(part, block, 1, h[lo : lo + m][many], np.frombuffer(place, np.uint16)[many], count[lo : lo + m][many]))
+            lo += m
+        return _batch(out)
+
+    part, held = None, []
+    for b in batches:
+        kind = b.column("kind").to_numpy()
+        yield b.filter(pa.array(kind == 0))
+        for i in np.flatnonzero(kind == 1):
+            if (p := b.column("part")[i].as_py()) != part and held:
+                yield solve(part, held)
+                held = []
+            part = p
+            held.append((b.column("block")[i].as_py(), b.column("a")[i].as_py(), b.column("b")[i].as_py()))
+    if held:
+        yield solve(part, held)
+
+
+def _measured(batches):
+    """_id, f, n, sketch of each text, from the rows of kind 0."""
+    for b in batches:
+        for r in b.to_pylist():
+            n = len(r["b"])
+            size = len(r["e"]) // max(n, 1)
+            yield pa.record_batch([pa.array(_long(r["a"]), mask=np.frombuffer(r["b"], bool)), pa.array(_long(r["c"])), pa.array(_long(r["d"])), pa.array([r["e"][i * size : (i + 1) * size] for i in range(n)], pa.binary())], ["_id", "f", "n", "sketch"])
+
+
+def _signed(percent: int):
+    """mapInArrow over counted rows sorted by block and kind: sig, f, p. p: the pivot that a common shingle names; such a row
+    has a sig of its own and meets no other."""
+
+    def solve(head: dict, held: list[dict]) -> pa.RecordBatch:
+        f, n, some = _long(head["c"]), _long(head["d"]), _long(head["g"])
+        own, named = _long(head["x"]), _long(head["y"])
+        h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["a"], np.uint64) for r in held)])
+        place = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(r["b"], np.uint16) for r in held)])
+        count = np.concatenate([np.zeros(0, np.int64), *(_long(r["c"]) for r in held)])
+        order = np.lexsort((h, count, place))
+        h, place = h[order], place[order]
+        many = np.bincount(place, minlength=len(f))
+        rank = np.arange(len(h)) - np.concatenate([[0], np.cumsum(many)])[place]
+        sign = rank < (np.minimum(prefix(n, percent), some) - (some - many))[place]  # the unshared ones come first
+        pairs = np.unique(np.stack([h[sign].view(np.int64), f[place[sign]]]), axis=1)
+        return pa.record_batch([pa.array(np.concatenate([pairs[0], own ^ named])), pa.array(np.concatenate([pairs[1], own])), pa.array(np.concatenate([pairs[1], named]), mask=np.concatenate([np.ones(pairs.shape[1], bool), np.zeros(len(own), bool)]))], ["sig", "f", "p"])
+
+    def rows(batches):
+        head, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] == 0:
+                    if head:
+                        yield solve(head, held)
+                    head, held = r, []
+                else:
+                    held.append(r)
+        if head:
+            yield solve(head, held)
+
+    return rows
 
 
 def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +321,8 @@ def _verified(slim: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     left = dealt.select("b", "part", F.lit(1).alias("side"), F.col("a").alias("f"), F.col("a_id").alias("_of"))
     right = dealt.groupBy("b", "part").agg(F.first("b_id").alias("_of")).select("b", "part", F.lit(0).alias("side"), F.col("b").alias("f"), "_of")
-    rows = slim.join(left.union(right), F.col("_id") == F.col("_of")).select("b", "part", "side", "f", "text")
+    want = left.union(right)
+    rows = C.semi(slim, "_id", want, "_of").join(want, F.col("_id") == F.col("_of")).select("b", "part", "side", "f", "text")
 
     def check(batches):
         key, one = None, None
@@ -239,40 +369,12 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     slim = docs.select(F.col("doc_id").cast("long").alias("_id"), C.byte_texts(docs))
     shared = spark.sparkContext.broadcast(_common(slim, k))  # of a bounded sample
 
-    def measured(batches):
-        for b in batches:
-            for lo, hi, data, bounds in C.blocks(b.column("text")):
-                h, at, f = sets_of(data, bounds, k)
-                s = sketches(h, at)
-                yield pa.record_batch([b.column("_id").slice(lo, hi - lo), pa.array(f.view(np.int64)), pa.array(np.diff(at)), pa.array([x.tobytes() for x in s], pa.binary())], ["_id", "f", "n", "sketch"])
-
-    def signed(batches):
-        common, pivot = shared.value
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out():
-            x = np.unique(np.concatenate(held, axis=1), axis=1) if len(held) > 1 else held[0]
-            return pa.record_batch([pa.array(x[0]), pa.array(x[1]), pa.array(x[2], mask=x[2] == 0)], ["sig", "f", "p"])
-
-        for b in batches:
-            for _, _, data, bounds in C.blocks(b.column("text")):
-                h, at, f = sets_of(data, bounds, k)
-                s, r, late = signatures(h, at, percent, common)
-                own, sig = f[r].view(np.int64), s.view(np.int64)
-                elected = np.where(late, pivot[np.minimum(np.searchsorted(common, s), len(common) - 1)], 0) if len(common) else np.zeros(len(s), np.int64)
-                sig = np.where(late, own ^ elected, sig)  # such a row goes to its pivot, not to the signature's other nodes
-                held.append(np.unique(np.stack([sig, own, elected]), axis=1))
-                size += held[-1].shape[1]
-                if size > HELD:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    rows = C.stored(slim.mapInArrow(measured, "_id long, f long, n long, sketch binary"), "measured")
-    sig = slim.where("_id is not null").select("text").mapInArrow(signed, "sig long, f long, p long")
-    # Signatures are shuffled once. A common one never meets in a task, for its nodes name its pivot themselves.
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = slim.mapInArrow(_packed(k, percent, ranges, shared), PACKED)
+    counted = C.stored(packed.repartition("part").sortWithinPartitions("part").mapInArrow(_counted, PACKED), "counted")
+    rows = C.stored(counted.where("kind = 0").mapInArrow(_measured, "_id long, f long, n long, sketch binary"), "measured")
+    sig = counted.drop("e").repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_signed(percent), "sig long, f long, p long")
+    # A common signature never meets in a task, for its nodes name its pivot themselves.
     elected = sig.select("f", F.coalesce("p", F.first("f").over(W.partitionBy("sig").orderBy("f"))).alias("p")).where("f <> p").distinct()
     elected = C.stored(elected, "elected")
     members = elected.union(elected.select("p", "p").distinct())
@@ -300,6 +402,6 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
         least = most
     # Each node's component, then the smallest doc_id in it.
     named = rows.select("_id", "f", "n").join(final.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
-    lowest = named.where("n > 0 and _id is not null").groupBy("component").agg(F.min("_id").alias("component_id"))
+    lowest = C.stored(named.where("n > 0 and _id is not null").groupBy("component").agg(F.min("_id").alias("component_id")), "lowest")
     out = named.join(lowest, "component", "left")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("_id").isNotNull(), F.col("component_id"))).otherwise(F.col("_id")).alias("component_id"))

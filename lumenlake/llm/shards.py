@@ -1,11 +1,13 @@
 """Training-order materialisation: token ids in fixed-stride binary shards, in a keyed pseudo-random order.
 
 Texts become token ids of a public vocabulary (an end id after each), cut into sequences of fixed length. Sequences are numbered
-without gaps (a count for each stored part, then a running sum over the parts), and a keyed Feistel permutation of the
-numbers, walked along its cycles until it falls inside the range, gives every sequence its global slot: an order that needs
-no sort key to be stored and can be recomputed from the key. Slots are range-partitioned and each range is written as shards
-of `per_shard` sequences of `stride` bytes, so slot s lies in shard s // per_shard at (s % per_shard) * stride and a reader
-can go on from any slot. A shard is written under a name of its own and renamed, so tasks that run twice do no harm.
+without gaps (a first pass counts those of each task, a running sum over the tasks gives each its start), and a keyed Feistel
+permutation of the numbers, walked along its cycles until it falls inside the range, gives every sequence its global slot: an
+order that needs no sort key to be stored and can be recomputed from the key. Each partition takes a range of slots, sorts it
+and writes it as shards of `per_shard` sequences of `stride` bytes, so slot s lies in shard s // per_shard at
+(s % per_shard) * stride and a reader can go on from any slot. A shard is written under a name of its own and renamed, so
+tasks that run twice do no harm. Token ids are made in both passes and never stored between them; a task whose rows differ
+from those of the first pass (an input that is not the same when read again) stops the job.
 
 Defined cases: null and empty texts give one sequence with the end id alone; repeated rows have sequences of their own; the
 last sequence of a text is padded with PAD; an empty table writes no shard; extra columns are ignored.
@@ -15,26 +17,25 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lumenlake.llm import common as C
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END, PAD = 50256, 65535
+#: Most partitions of slots; beyond it a partition holds more shards, which it writes one after the other.
+MOST_RANGES = 20_000
 #: How byte-level vocabularies cut a text before merging (a fixed value of the public vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A text is encoded in pieces of at most so many characters, cut before a space, where the pattern cuts too.
-PIECE = 100_000
-
-
 @lru_cache(maxsize=2)
 def _encoding(raw: bytes):
     import base64
@@ -47,14 +48,38 @@ def _encoding(raw: bytes):
 
 def encode(text: str, raw: bytes) -> np.ndarray:
     """The ids of a text and END."""
-    enc, ids, lo = _encoding(raw), [], 0
-    while len(text) - lo > PIECE:
-        hi = lo + PIECE
-        while hi < len(text) and not (text[hi] == " " and not text[hi - 1].isspace()):
-            hi += 1
-        ids += enc.encode_ordinary(text[lo:hi])
-        lo = hi
-    return np.array([*ids, *enc.encode_ordinary(text[lo:]), END], np.uint16)
+    return np.array([*_encoding(raw).encode_ordinary(text), END], np.uint16)
+
+
+#: After these bytes a space may not be cut off: white space, of which the pattern leaves the last to the next word, and parts of
+#: longer characters, which may be white space too.
+_TIED = np.array([i >= 128 or chr(i).isspace() for i in range(256)])
+
+
+def encode_block(data: np.ndarray, bounds: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(ids with END after each text, bounds of each text in them). Texts are cut before spaces, where the pattern cuts too,
+    and each distinct part of the block is encoded once."""
+    enc = _encoding(raw)
+    n = len(bounds) - 1
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (data[1:] == 32) & ~_TIED[data[:-1]]
+    cut[bounds] = True
+    start = np.flatnonzero(cut[:-1])
+    _, index, inverse = np.unique(C.spans(data, start), return_index=True, return_inverse=True)
+    stop = np.append(start[1:], len(data))
+    parts = enc.encode_ordinary_batch([data[start[i] : stop[i]].tobytes().decode("utf-8", "replace") for i in index], num_threads=1) if len(index) else []
+    size = np.array([len(p) for p in parts], np.int64)
+    flat = np.concatenate([np.array(p, np.uint16) for p in parts]) if len(parts) else np.zeros(0, np.uint16)
+    first = np.concatenate([[0], np.cumsum(size)])
+    each = size[inverse] if len(start) else np.zeros(0, np.int64)
+    row = np.searchsorted(bounds, start, "right") - 1
+    per = np.bincount(row, each, minlength=n).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(per + 1)])
+    out = np.full(at[-1], END, np.uint16)
+    if len(start):
+        ids = flat[np.repeat(first[inverse] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())]
+        out[np.arange(len(ids)) + np.repeat(np.arange(n), per)] = ids
+    return out, at
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -73,53 +98,65 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
-    """_part, _row, doc_id, seq, n_tokens, tokens: the sequences of all texts, stored."""
-    from pyspark import TaskContext
+def _blocks(batches, raw: bytes, length: int):
+    """(doc_ids, ids, bounds, number of sequences of each text) of blocks of rows."""
+    for b in batches:
+        for lo, hi, data, bounds in C.blocks(b.column("text")):
+            ids, at = encode_block(data, bounds, raw)
+            yield b.column("doc_id").slice(lo, hi - lo), ids, at, -(-np.diff(at) // length)
 
-    with open(vocabulary, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a file of fixed size
-
-    def rows(batches):
-        part, row = TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids, seqs, sizes, blobs = [], [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                t = encode(text.as_py() or "", shared.value)
-                for s, lo in enumerate(range(0, len(t), length)):
-                    ids.append(doc)
-                    seqs.append(s)
-                    sizes.append(min(length, len(t) - lo))
-                    blobs.append(t[lo : lo + length].astype("<u2").tobytes())
-            n = len(ids)
-            yield pa.record_batch([pa.array(np.full(n, part), pa.int64()), pa.array(np.arange(row, row + n), pa.int64()), pa.array(ids, pa.int64()), pa.array(seqs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["_part", "_row", "doc_id", "seq", "n_tokens", "tokens"])
-            row += n
 
-    return C.stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "_part long, _row long, doc_id long, seq long, n_tokens long, tokens binary"), "sequences")
+def _digest(seen: int, ids: np.ndarray) -> int:
+    return zlib.crc32(ids.tobytes(), seen)
 
 
 def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key: int = 20240229, vocabulary: str = VOCABULARY, out: str | None = None) -> tuple[DataFrame, str, int]:
     """(one row for each sequence: doc_id, seq, slot, shard, offset, n_tokens, tokens_sha256; folder; number of sequences)."""
     spark = docs.sparkSession
     out = out or f"{C.shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    seqs = sequences(docs, length, vocabulary)
-    parts = seqs.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # one row for each task that wrote
-    before = F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = C.stored(parts.select(F.col("_part").alias("_of"), before.alias("_start"), "n"), "starts")
-    total = starts.agg(F.sum("n")).first()[0] or 0
+    with open(vocabulary, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())  # a file of fixed size
     stride = 2 * length
+    slim = docs.select(F.col("doc_id").cast("long"), C.byte_texts(docs))
 
-    def place(batches):
-        for b in batches:
-            slot = feistel(b.column("_index").to_numpy(), total, key)
-            yield pa.record_batch([pa.array(slot // per_shard), pa.array(slot), *(b.column(c) for c in ("doc_id", "seq", "n_tokens", "tokens"))], ["shard", "slot", "doc_id", "seq", "n_tokens", "tokens"])
+    def count(batches):
+        n = seen = 0
+        for _, ids, _, many in _blocks(batches, shared.value, length):
+            n, seen = n + int(many.sum()), _digest(seen, ids)
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n]), pa.array([seen])], ["part", "n", "seen"])
 
-    placed = seqs.join(starts, F.col("_part") == F.col("_of")).select((F.col("_start") + F.col("_row")).alias("_index"), "doc_id", "seq", "n_tokens", "tokens")
-    placed = placed.mapInArrow(place, "shard long, slot long, doc_id long, seq long, n_tokens long, tokens binary")
-    ranges = max(1, -(-total // per_shard))
-    # Slots are uniform over 0..total-1, so the bounds of ranges are known: no sampling pass.
-    # A range is a run of shards; AQE may join ranges but never parts one.
-    placed = placed.repartition(min(ranges, 20_000), "shard").sortWithinPartitions("slot")
+    parts = slim.mapInArrow(count, "part int, n long, seen long").toArrow().sort_by("part")  # one row for each task
+    number = parts.column("n").to_numpy()
+    starts = dict(zip(parts.column("part").to_pylist(), zip((np.cumsum(number) - number).tolist(), parts.column("seen").to_pylist()), strict=True))
+    total = int(number.sum())
+
+    def place(batches):
+        index, want = starts[TaskContext.get().partitionId()]
+        seen = 0
+        for docs, ids, at, many in _blocks(batches, shared.value, length):
+            seen = _digest(seen, ids)
+            size, n = np.diff(at), int(many.sum())
+            first = np.cumsum(many) - many
+            row = np.repeat(np.arange(len(many)), many)
+            seq = np.arange(n) - first[row]
+            held = np.minimum(length, size[row] - seq * length)
+            cells = np.full(n * length, PAD, "<u2")
+            of = np.repeat(np.arange(len(size)), size)
+            cells[first[of] * length + np.arange(len(ids)) - at[:-1][of]] = ids
+            slot = feistel(np.arange(index, index + n), total, key)
+            index += n
+            bounds = np.arange(n + 1, dtype=np.int64) * stride
+            blobs = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(cells)]).cast(pa.binary())
+            yield pa.record_batch([pa.array(slot // per_shard), pa.array(slot), docs.take(pa.array(row)), pa.array(seq), pa.array(held), blobs], ["shard", "slot", "doc_id", "seq", "n_tokens", "tokens"])
+        if seen != want:
+            raise RuntimeError("the texts were not read in the same order twice: store them first")
+
+    placed = slim.mapInArrow(place, "shard long, slot long, doc_id long, seq long, n_tokens long, tokens binary")
+    # Slots are uniform over 0..total-1, so the bounds of equal ranges are known without a sample: each partition takes a run
+    # of shards.
+    shards = max(1, -(-total // per_shard))
+    ranges = min(shards, MOST_RANGES)
+    placed = placed.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("slot")
 
     def write(batches):
         fs, base = pa.fs.FileSystem.from_uri(out if "://" in out or out.startswith("file:") else f"file://{out}")
@@ -135,8 +172,8 @@ def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
 
         for b in batches:
             at, slots, hashes = b.column("shard").to_pylist(), b.column("slot").to_pylist(), []
-            for s, slot, t in zip(at, slots, b.column("tokens"), strict=True):
-                raw = t.as_py()
+            for s, slot, t, n in zip(at, slots, b.column("tokens"), b.column("n_tokens").to_pylist(), strict=True):
+                raw = t.as_py()[: 2 * n]
                 if s != shard:
                     if shard is not None:
                         close()

@@ -226,6 +226,16 @@ def test_token_shards(spark, rows, docs, none):
     assert shards.materialise(none)[0].count() == 0
 
 
+def test_token_blocks_equal_the_whole_text():
+    with open(shards.VOCABULARY, "rb") as f:
+        raw = f.read()
+    rng = random.Random(2)
+    texts = ["", " ", "a", "".join(rng.choice("ab  \n\t1 2'é\u00a0\u3000日.-") for _ in range(5000)), "x" * 3000, "don't  stop \x1c y", ""]
+    data = [t.encode() for t in texts]
+    ids, at = shards.encode_block(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]), raw)
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [shards.encode(t, raw).tolist() for t in texts]
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 1000, 4097):
         a, b = shards.feistel(np.arange(n), n, 1), shards.feistel(np.arange(n), n, 2)
