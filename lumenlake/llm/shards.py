@@ -1,23 +1,22 @@
 """Training-order materialisation: token ids in fixed-stride binary shards, in a keyed pseudo-random order.
 
-Texts become token ids of a public vocabulary (an end id after each), cut into sequences of fixed length. Sequences are numbered
-without gaps (a first pass counts those of each task, a running sum over the tasks gives each its start), and a keyed Feistel
-permutation of the numbers, walked along its cycles until it falls inside the range, gives every sequence its global slot: an
-order that needs no sort key to be stored and can be recomputed from the key. Each partition takes a range of slots, sorts it
-and writes it as shards of `per_shard` sequences of `stride` bytes, so slot s lies in shard s // per_shard at
-(s % per_shard) * stride and a reader can go on from any slot. A shard is written under a name of its own and renamed, so
-tasks that run twice do no harm. Token ids are made in both passes and never stored between them; a task whose rows differ
-from those of the first pass (an input that is not the same when read again) stops the job.
-
-Defined cases: null and empty texts give one sequence with the end id alone; repeated rows have sequences of their own; the
-last sequence of a text is padded with PAD; an empty table writes no shard; extra columns are ignored.
+Texts become token ids of a public vocabulary with an end id after each. Each task packs its texts into sequences of fixed
+length without gaps, so a sequence may hold several texts or part of one, and only the last one of a task is partly empty.
+Sequences are numbered (a count for each stored part, then a running sum over the parts), and a keyed Feistel permutation of
+the numbers, walked along its cycles until it falls inside the range, gives every sequence its global slot: an order that
+needs no sort key to be stored and can be recomputed from the key. Each partition takes a range of slots, sorts it and writes
+it as shards of `per_shard` sequences of `stride` bytes, so slot s lies in shard s // per_shard at (s % per_shard) * stride
+and a reader can go on from any slot. A shard is written under a name of its own and renamed, so tasks that run twice do no
+harm.
+
+Defined cases: null and empty texts are an end id alone; repeated rows are written each; a text goes on in the next `seq` of
+its `stream`; the last sequence of a stream is padded with PAD; an empty table writes no shard; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,40 +45,20 @@ def _encoding(raw: bytes):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A text is encoded in pieces of at least so many characters, cut before a space, where the pattern cuts too.
+PIECE = 100_000
+
+
 def encode(text: str, raw: bytes) -> np.ndarray:
     """The ids of a text and END."""
-    return np.array([*_encoding(raw).encode_ordinary(text), END], np.uint16)
-
-
-#: After these bytes a space may not be cut off: white space, of which the pattern leaves the last to the next word, and parts of
-#: longer characters, which may be white space too.
-_TIED = np.array([i >= 128 or chr(i).isspace() for i in range(256)])
-
-
-def encode_block(data: np.ndarray, bounds: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(ids with END after each text, bounds of each text in them). Texts are cut before spaces, where the pattern cuts too,
-    and each distinct part of the block is encoded once."""
-    enc = _encoding(raw)
-    n = len(bounds) - 1
-    cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = (data[1:] == 32) & ~_TIED[data[:-1]]
-    cut[bounds] = True
-    start = np.flatnonzero(cut[:-1])
-    _, index, inverse = np.unique(C.spans(data, start), return_index=True, return_inverse=True)
-    stop = np.append(start[1:], len(data))
-    parts = enc.encode_ordinary_batch([data[start[i] : stop[i]].tobytes().decode("utf-8", "replace") for i in index], num_threads=1) if len(index) else []
-    size = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate([np.array(p, np.uint16) for p in parts]) if len(parts) else np.zeros(0, np.uint16)
-    first = np.concatenate([[0], np.cumsum(size)])
-    each = size[inverse] if len(start) else np.zeros(0, np.int64)
-    row = np.searchsorted(bounds, start, "right") - 1
-    per = np.bincount(row, each, minlength=n).astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(per + 1)])
-    out = np.full(at[-1], END, np.uint16)
-    if len(start):
-        ids = flat[np.repeat(first[inverse] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())]
-        out[np.arange(len(ids)) + np.repeat(np.arange(n), per)] = ids
-    return out, at
+    enc, ids, lo = _encoding(raw), [], 0
+    while len(text) - lo > PIECE:
+        hi = lo + PIECE
+        while hi < len(text) and not (text[hi] == " " and not text[hi - 1].isspace()):
+            hi += 1
+        ids += enc.encode_ordinary(text[lo:hi])
+        lo = hi
+    return np.array([*ids, *enc.encode_ordinary(text[lo:]), END], np.uint16)
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -98,60 +77,62 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _blocks(batches, raw: bytes, length: int):
-    """(doc_ids, ids, bounds, number of sequences of each text) of blocks of rows."""
-    for b in batches:
-        for lo, hi, data, bounds in C.blocks(b.column("text")):
-            ids, at = encode_block(data, bounds, raw)
-            yield b.column("doc_id").slice(lo, hi - lo), ids, at, -(-np.diff(at) // length)
-
-
-def _digest(seen: int, ids: np.ndarray) -> int:
-    return zlib.crc32(ids.tobytes(), seen)
+def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
+    """stream, seq, doc_ids (of the texts in it, in their order), n_tokens, tokens: the packed sequences, stored."""
+    with open(vocabulary, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a file of fixed size
+
+    def cut(ids: np.ndarray, owner: np.ndarray, names: list, stream: int, seq: int) -> pa.RecordBatch:
+        n = -(-len(ids) // length)
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]) | (np.arange(len(ids)) % length == 0))
+        bounds = np.searchsorted(starts, np.arange(n + 1) * length)
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array([names[i] for i in owner[starts]], pa.int64()))
+        raw = ids.astype("<u2").tobytes()
+        blobs = [raw[2 * length * i : 2 * length * (i + 1)] for i in range(n)]
+        return pa.record_batch([pa.array(np.full(n, stream), pa.int64()), pa.array(np.arange(seq, seq + n)), lists, pa.array([len(b) // 2 for b in blobs], pa.int64()), pa.array(blobs, pa.binary())], ["stream", "seq", "doc_ids", "n_tokens", "tokens"])
+
+    def rows(batches):
+        stream, seq = TaskContext.get().partitionId(), 0
+        ids, owner, names = np.zeros(0, np.uint16), np.zeros(0, np.int64), []
+        for b in batches:
+            texts = b.column("text")
+            for lo in range(0, len(texts), 200):
+                made = [encode(t.as_py() or "", shared.value) for t in texts.slice(lo, 200)]
+                owner = np.concatenate([owner, len(names) + np.repeat(np.arange(len(made)), [len(x) for x in made])])
+                ids = np.concatenate([ids, *made])
+                names += b.column("doc_id").slice(lo, 200).to_pylist()
+                whole = len(ids) // length * length
+                if whole:
+                    yield cut(ids[:whole], owner[:whole], names, stream, seq)
+                seq += whole // length
+                ids, owner = ids[whole:], owner[whole:]
+                first = int(owner[0]) if len(owner) else len(names)
+                names, owner = names[first:], owner - first
+        if len(ids):
+            yield cut(ids, owner, names, stream, seq)
+
+    return C.stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "stream long, seq long, doc_ids array<long>, n_tokens long, tokens binary"), "sequences")
 
 
 def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key: int = 20240229, vocabulary: str = VOCABULARY, out: str | None = None) -> tuple[DataFrame, str, int]:
-    """(one row for each sequence: doc_id, seq, slot, shard, offset, n_tokens, tokens_sha256; folder; number of sequences)."""
+    """(one row for each sequence: doc_ids, stream, seq, slot, shard, offset, n_tokens, tokens_sha256; folder; number of sequences)."""
     spark = docs.sparkSession
     out = out or f"{C.shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    with open(vocabulary, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())  # a file of fixed size
     stride = 2 * length
-    slim = docs.select(F.col("doc_id").cast("long"), C.byte_texts(docs))
-
-    def count(batches):
-        n = seen = 0
-        for _, ids, _, many in _blocks(batches, shared.value, length):
-            n, seen = n + int(many.sum()), _digest(seen, ids)
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n]), pa.array([seen])], ["part", "n", "seen"])
-
-    parts = slim.mapInArrow(count, "part int, n long, seen long").toArrow().sort_by("part")  # one row for each task
-    number = parts.column("n").to_numpy()
-    starts = dict(zip(parts.column("part").to_pylist(), zip((np.cumsum(number) - number).tolist(), parts.column("seen").to_pylist()), strict=True))
+    seqs = sequences(docs, length, vocabulary)
+    parts = seqs.groupBy("stream").agg(F.max("seq").alias("n")).toArrow().sort_by("stream")  # one row for each task that wrote
+    number = parts.column("n").to_numpy() + 1
+    starts = dict(zip(parts.column("stream").to_pylist(), (np.cumsum(number) - number).tolist(), strict=True))
     total = int(number.sum())
+    shared = spark.sparkContext.broadcast(starts)
 
     def place(batches):
-        index, want = starts[TaskContext.get().partitionId()]
-        seen = 0
-        for docs, ids, at, many in _blocks(batches, shared.value, length):
-            seen = _digest(seen, ids)
-            size, n = np.diff(at), int(many.sum())
-            first = np.cumsum(many) - many
-            row = np.repeat(np.arange(len(many)), many)
-            seq = np.arange(n) - first[row]
-            held = np.minimum(length, size[row] - seq * length)
-            cells = np.full(n * length, PAD, "<u2")
-            of = np.repeat(np.arange(len(size)), size)
-            cells[first[of] * length + np.arange(len(ids)) - at[:-1][of]] = ids
-            slot = feistel(np.arange(index, index + n), total, key)
-            index += n
-            bounds = np.arange(n + 1, dtype=np.int64) * stride
-            blobs = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(cells)]).cast(pa.binary())
-            yield pa.record_batch([pa.array(slot // per_shard), pa.array(slot), docs.take(pa.array(row)), pa.array(seq), pa.array(held), blobs], ["shard", "slot", "doc_id", "seq", "n_tokens", "tokens"])
-        if seen != want:
-            raise RuntimeError("the texts were not read in the same order twice: store them first")
-
-    placed = slim.mapInArrow(place, "shard long, slot long, doc_id long, seq long, n_tokens long, tokens binary")
+        for b in batches:
+            of, where = np.unique(b.column("stream").to_numpy(), return_inverse=True)
+            slot = feistel(np.array([shared.value[x] for x in of.tolist()], np.int64)[where] + b.column("seq").to_numpy(), total, key)
+            yield pa.record_batch([pa.array(slot // per_shard), pa.array(slot), *b.columns], ["shard", "slot", *b.schema.names])
+
+    placed = seqs.mapInArrow(place, "shard long, slot long, stream long, seq long, doc_ids array<long>, n_tokens long, tokens binary")
     # Slots are uniform over 0..total-1, so the bounds of equal ranges are known without a sample: each partition takes a run
     # of shards.
     shards = max(1, -(-total // per_shard))
@@ -172,8 +153,8 @@ def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
 
         for b in batches:
             at, slots, hashes = b.column("shard").to_pylist(), b.column("slot").to_pylist(), []
-            for s, slot, t, n in zip(at, slots, b.column("tokens"), b.column("n_tokens").to_pylist(), strict=True):
-                raw = t.as_py()[: 2 * n]
+            for s, slot, t in zip(at, slots, b.column("tokens"), strict=True):
+                raw = t.as_py()
                 if s != shard:
                     if shard is not None:
                         close()
@@ -182,11 +163,11 @@ def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
                 body[lo : lo + len(raw)] = raw
                 hashes.append(hashlib.sha256(raw).hexdigest())
             offset = np.array(slots, np.int64) % per_shard * stride
-            yield pa.record_batch([b.column("doc_id"), b.column("seq"), b.column("slot"), b.column("shard"), pa.array(offset), b.column("n_tokens"), pa.array(hashes, pa.string())], ["doc_id", "seq", "slot", "shard", "offset", "n_tokens", "tokens_sha256"])
+            yield pa.record_batch([b.column("doc_ids"), b.column("stream"), b.column("seq"), b.column("slot"), b.column("shard"), pa.array(offset), b.column("n_tokens"), pa.array(hashes, pa.string())], ["doc_ids", "stream", "seq", "slot", "shard", "offset", "n_tokens", "tokens_sha256"])
         if shard is not None:
             close()
 
-    done = placed.mapInArrow(write, "doc_id long, seq long, slot long, shard long, offset long, n_tokens long, tokens_sha256 string")
+    done = placed.mapInArrow(write, "doc_ids array<long>, stream long, seq long, slot long, shard long, offset long, n_tokens long, tokens_sha256 string")
     return C.stored(done, "index"), out, total
 
 

@@ -210,32 +210,30 @@ def test_sentencepiece_best_path():
 
 def test_token_shards(spark, rows, docs, none):
     index, folder, total = shards.materialise(docs, length=32, per_shard=50)
-    got = sorted((r["slot"], r["doc_id"], r["seq"], r["tokens_sha256"]) for r in index.where("doc_id is not null").collect())
-    assert sorted(r["slot"] for r in index.select("slot").collect()) == list(range(total))
+    got = sorted((r["stream"], r["seq"], r["slot"], r["shard"] * 50 + r["offset"] // 64, r["tokens_sha256"], r["doc_ids"]) for r in index.collect())
+    assert sorted(g[2] for g in got) == list(range(total)) and all(g[2] == g[3] for g in got)
     stored = list(shards.read_from(folder, 0, 32, 50))
-    assert len(stored) == total and [hashlib.sha256(stored[s].tobytes()).hexdigest() for s, *_ in got] == [g[3] for g in got]
-    assert [x.tolist() for x in shards.read_from(folder, 77, 32, 50)] == [x.tolist() for x in stored[77:]]
+    assert len(stored) == total and [hashlib.sha256(stored[g[2]].tobytes()).hexdigest() for g in got] == [g[4] for g in got]
+    for slot in (0, 49, 50, 77, total - 1):
+        assert [x.tolist() for x in shards.read_from(folder, slot, 32, 50)] == [x.tolist() for x in stored[slot:]]
     with open(shards.VOCABULARY, "rb") as f:
-        raw = f.read()
-    whole = {d: t for d, t, *_ in rows}
-    parts = defaultdict(dict)
-    for slot, d, seq, _ in got:
-        parts[d][seq] = stored[slot]
-    for d, p in parts.items():
-        assert np.concatenate([p[i] for i in range(len(p))]).tolist() == shards.encode(whole[d] or "", raw).tolist()
+        enc = shards._encoding(f.read())
+    found, open_text = [], None
+    for stream, seq, slot, _, _, ids in got:
+        texts = np.split(stored[slot], np.flatnonzero(stored[slot][:-1] == shards.END) + 1)
+        assert len(texts) == len(ids) and (seq > 0 or open_text is None)
+        for d, t in zip(ids, texts, strict=True):
+            if open_text:
+                assert open_text[0] == d
+                t = np.concatenate([open_text[1], t])
+            open_text = (d, t) if t[-1] != shards.END else None
+            if not open_text:
+                found.append((d, t.tolist()))
+    assert not open_text
+    same(found, [(d, [*enc.encode_ordinary(t or ""), shards.END]) for d, t, *_ in rows])
     assert shards.materialise(none)[0].count() == 0
 
 
-def test_token_blocks_equal_the_whole_text():
-    with open(shards.VOCABULARY, "rb") as f:
-        raw = f.read()
-    rng = random.Random(2)
-    texts = ["", " ", "a", "".join(rng.choice("ab  \n\t1 2'é\u00a0\u3000日.-") for _ in range(5000)), "x" * 3000, "don't  stop \x1c y", ""]
-    data = [t.encode() for t in texts]
-    ids, at = shards.encode_block(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]), raw)
-    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [shards.encode(t, raw).tolist() for t in texts]
-
-
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 1000, 4097):
         a, b = shards.feistel(np.arange(n), n, 1), shards.feistel(np.arange(n), n, 2)
