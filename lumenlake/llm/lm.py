@@ -1,15 +1,18 @@
 """Language-model scoring with a causal self-attention model in numpy over subword ids.
 
-What is counted covers all learning texts: every word's count, in all texts and in each of EXPERTS groups of texts, and for
-each group the subword ids that follow a class of ids. The words' subword embeddings pass through a masked self-attention
-layer whose output weighs these experts for the next word: p(word) = w0 * base + sum of v_k * (c_k + B * base) / (N_k + B) +
-sum of w_k * p_k(its ids, word end), with base = (c + 0.1) / (N + 0.1 (V + 1)). Windows of WINDOW words overlap by WINDOW - STEP;
-each word is scored once, with the words before it in its window.
+A masked self-attention layer reads the words before a place (each the mean of the embeddings of its subword ids) and predicts
+the class of the next word; a word's class follows from its subword ids alone: the group of texts whose ids are most like
+them, and the frequency band of the first. The same layer weighs three kinds of probability of the next word:
+
+    p(word) = w0 * base + w1 * P(class | attention) * base / B(class) + sum over k of v_k * p_k(its ids, word end)
+
+base = (c + 0.1) / (N + 0.1 (V + 1)); B(class) is the sum of base over the class's words; p_k is a table of the subword ids
+that follow a class of ids in group k of texts. Counts, tables and groups (k-means) come from all learning texts. Windows of
+WINDOW words overlap by WINDOW - STEP; each word is scored once, with the words before it in its window.
 
 The layer is trained by Adam on replicas, one for each of at most `replicas` tasks, over every learning text (with every > 1,
-over one fold in `every`), and averaged. The groups are found by k-means over all learning texts. Word counts are a table: the words with at least N / FREQUENT tokens (never more than FREQUENT) are
-sent to the tasks, all others are joined by hash, in training and in scoring; where a word's counts lie does not change its
-probability.
+over one fold in `every`), and averaged. Word counts are a table: the most frequent words, TABLE at most, are sent to the
+tasks, all others are joined by hash, in training and in scoring; where a word's counts lie does not change its probability.
 
 Defined cases: null and empty texts are an end alone; rows that repeat are scored alike; null doc_ids teach nothing and have a
 null held_out; with no learning text the counts are 0 and the model is the base.
@@ -17,11 +20,12 @@ null held_out; with no learning text the counts are 0 and the model is the base.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +34,20 @@ from lumenlake.llm import langid
 from lumenlake.llm.shards import VOCABULARY, _encoding
 
 EXPERTS, PREVIOUS, DIM, BINS = 6, 32, 16, 2048
-#: B: how much the base counts in a group, in words.
-BACKOFF = 500.0
-WINDOW, STEP = 64, 32
+#: Frequency bands of a word's first id; classes of words.
+BANDS = 6
+CLASSES = EXPERTS * BANDS
+WINDOW, STEP = 32, 16
+#: Windows of a step of the training.
+BATCH = 128
 END_OF_WORD, END_OF_TEXT, IDS = 50256, 50257, 50258
-FREQUENT = 2_000_000
+NEWLINE = 198
+#: Words sent to the tasks, at most: 12 bytes each.
+TABLE = 2_000_000
 #: Tokens of all texts for which there is one more replica.
 REPLICA = 300_000
+#: Words whose ids a task keeps, at most.
+KEPT = 300_000
 #: The hash of the token that ends a text.
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 
@@ -61,15 +72,43 @@ def hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[C.Words, np.ndarray, n
     return w, out, np.concatenate([[0], np.cumsum(per + 1)])
 
 
+_KNOWN: dict[int, tuple[int, ...]] = {}
+
+
+def word_ids(hash: np.ndarray, words: list[bytes], raw: bytes) -> list[tuple[int, ...]]:
+    """The ids of each word and END_OF_WORD. A task remembers the words it has met."""
+    if len(_KNOWN) > KEPT:
+        _KNOWN.clear()
+    keys = hash.tolist()
+    out = [_KNOWN.get(k) for k in keys]
+    fresh = [i for i, x in enumerate(out) if x is None]
+    if fresh:
+        enc = _encoding(raw)
+        text = [words[i].decode("utf-8", "replace") for i in fresh]
+        ids = np.array(enc.encode_ordinary("\n".join(text) + "\n"), np.int64)  # no word holds a line break
+        ends = np.flatnonzero(ids == NEWLINE)
+        if len(ends) == len(text):
+            parts = [x.tolist() for x in np.split(ids, ends + 1)[:-1]]
+            parts = [(*x[:-1], END_OF_WORD) for x in parts]
+        else:
+            parts = [(*enc.encode_ordinary(x), END_OF_WORD) for x in text]
+        for i, x in zip(fresh, parts, strict=True):
+            out[i] = _KNOWN[keys[i]] = x
+    return out
+
+
 def tokens(data: np.ndarray, bounds: np.ndarray, raw: bytes) -> Tokens:
     w, h, rows = hashes(data, bounds)
     u, inverse = np.unique(h, return_inverse=True)
     where = np.full(len(u), -1, np.int64)
     where[inverse[np.arange(len(w.hash)) + w.row]] = np.arange(len(w.hash))
-    enc = _encoding(raw)
-    ids = [[END_OF_TEXT] if i < 0 else [*enc.encode_ordinary(w.at(i).decode("utf-8", "replace")), END_OF_WORD] for i in where]
-    size = np.array([len(x) for x in ids], np.int64)
-    return Tokens(u, inverse, rows, np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(size)]))
+    real = np.flatnonzero(where >= 0)
+    text = w.data.tobytes()
+    ids: list[tuple[int, ...]] = [(END_OF_TEXT,)] * len(u)
+    for i, x in zip(real.tolist(), word_ids(u[real], [text[a:z] for a, z in zip(w.start[where[real]].tolist(), w.end[where[real]].tolist(), strict=True)], raw), strict=True):
+        ids[i] = x
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return Tokens(u, inverse, rows, np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)]))
 
 
 def cells(t: Tokens) -> np.ndarray:
@@ -83,14 +122,18 @@ def cells(t: Tokens) -> np.ndarray:
 class Layer:
     """Masked self-attention over embeddings of hashed subword ids; parameters in one vector."""
 
-    SHAPES = [(BINS, DIM), (DIM, DIM), (DIM, DIM), (DIM, DIM), (DIM, DIM), (DIM, DIM), (DIM, 2 * EXPERTS + 1), (2 * EXPERTS + 1,)]
+    KINDS = EXPERTS + 2
+    SHAPES = [(BINS, DIM), (DIM, DIM), (DIM, DIM), (DIM, DIM), (DIM, DIM), (DIM, DIM), (DIM, KINDS), (KINDS,), (DIM, CLASSES), (CLASSES,)]
     SIZES = [int(np.prod(s)) for s in SHAPES]
+    MASK = np.where(np.arange(WINDOW) <= np.arange(STEP)[:, None] + WINDOW - STEP, np.float32(0), np.float32(-1e9))
 
     def __init__(self, vector: np.ndarray | None = None):
         rng = np.random.default_rng(7)
         if vector is None:
             vector = rng.standard_normal(sum(self.SIZES)) * 0.25
-            vector[-2 * EXPERTS - 1 :] = [1.0] + [0.5] * EXPERTS + [-2.0] * EXPERTS
+            parts = self.parts(vector)
+            parts[7][:] = [0.0, 1.0] + [-2.0] * EXPERTS
+            parts[9][:] = 0
         self.vector = vector.astype(np.float32)
 
     def parts(self, v: np.ndarray) -> list[np.ndarray]:
@@ -101,52 +144,87 @@ class Layer:
         e = self.parts(self.vector)[0]
         return np.add.reduceat(e[t.ids % BINS], t.at[:-1]) / np.diff(t.at)[:, None].astype(np.float32)
 
-    def weights(self, z: np.ndarray, valid: np.ndarray) -> tuple:
-        """z: (windows, WINDOW, DIM) of the words before each place. The weight of each expert there, and what backward needs."""
-        _, wq, wk, wv, wz, wo, g, g0 = self.parts(self.vector)
-        q, k, v = z @ wq, z @ wk, z @ wv
-        s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(DIM))
-        s = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)) & valid[:, None, :], s, np.float32(-1e9))
-        s = np.exp(s - s.max(2, keepdims=True))
-        a = s / s.sum(2, keepdims=True)
-        o = a @ v
-        h = np.tanh(z @ wz + o @ wo)
-        x = h @ g + g0
-        x = np.exp(x - x.max(2, keepdims=True))
-        return x / x.sum(2, keepdims=True), (q, k, v, a, o, h)
-
-    def gradient(self, z: np.ndarray, valid: np.ndarray, scored: np.ndarray, p: np.ndarray, words: np.ndarray, t: Tokens) -> np.ndarray:
-        """Of the mean negative log probability of the scored places; p: probability of the word there by each expert."""
-        _, wq, wk, wv, wz, wo, g, _ = self.parts(self.vector)
-        w, (q, k, v, a, o, h) = self.weights(z, valid)
+    def embed_of(self, t: Tokens, place: np.ndarray) -> np.ndarray:
+        """embed(t), filled in only for the words before these places."""
+        at = np.clip(place, 0, len(t.inverse) - 1)
+        u = np.unique(t.inverse[np.maximum(at - 1, 0)])
+        size = np.diff(t.at)[u]
+        ends = np.cumsum(size)
+        ids = t.ids[np.repeat(t.at[u] - (ends - size), size) + np.arange(ends[-1])]
+        out = np.zeros((len(t.hash), DIM), np.float32)
+        out[u] = np.add.reduceat(self.parts(self.vector)[0][ids % BINS], ends - size) / size[:, None].astype(np.float32)
+        return out
+
+    def forward(self, z: np.ndarray, valid: np.ndarray, attend: bool = True) -> tuple:
+        """z: (windows, WINDOW, DIM) of the words before each place. Of the last STEP places: the weight of each kind, the
+        probability of each class, and what backward needs. attend=False leaves the attention out."""
+        _, wq, wk, wv, wz, wo, g, g0, u, u0 = self.parts(self.vector)
+        last = np.ascontiguousarray(z[:, WINDOW - STEP :])
+        q, k, v = last @ wq, z @ wk, z @ wv
+        s = q @ k.transpose(0, 2, 1)
+        s /= np.float32(np.sqrt(DIM))
+        s += self.MASK
+        s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
+        s -= s.max(2, keepdims=True)
+        np.exp(s, s)
+        s /= s.sum(2, keepdims=True)
+        o = s @ v if attend else np.zeros_like(q)
+        h = np.tanh(last @ wz + o @ wo)
+        return _softmax(h @ g + g0), _softmax(h @ u + u0), (last, q, k, v, s, o, h)
+
+    def gradient(self, z: np.ndarray, valid: np.ndarray, scored: np.ndarray, p: np.ndarray, kind: np.ndarray, words: np.ndarray, t: Tokens) -> np.ndarray:
+        """Of the mean negative log probability of the word, plus that of its class, at the scored places of the last STEP. p: the probability of the word there
+        of each kind, that of the second given its class; kind: that class."""
+        _, wq, wk, wv, wz, wo, g, _, u, _ = self.parts(self.vector)
+        w, y, (last, q, k, v, a, o, h) = self.forward(z, valid)
+        here = np.take_along_axis(y, kind[..., None], 2)
         r = w * p
-        r /= np.maximum(r.sum(2, keepdims=True), 1e-300)
-        dx = ((w - r) * scored[..., None] / max(1, scored.sum())).astype(np.float32)
+        r[..., 1:2] *= here
+        r /= np.maximum(r.sum(2, keepdims=True), np.float32(1e-30))
+        scale = (scored / max(1, scored.sum()))[..., None].astype(np.float32)
+        dx = ((w - r) * scale).astype(np.float32)
+        dy = y  # not used again
+        np.put_along_axis(dy, kind[..., None], here - 1, 2)
+        dy *= ((1 + r[..., 1:2]) * scale).astype(np.float32)
         out = np.zeros_like(self.vector)
-        de, dwq, dwk, dwv, dwz, dwo, dg, dg0 = self.parts(out)
+        de, dwq, dwk, dwv, dwz, dwo, dg, dg0, du, du0 = self.parts(out)
         flat = lambda x: x.reshape(-1, x.shape[-1])
         dg += flat(h).T @ flat(dx)
         dg0 += flat(dx).sum(0)
-        dh = (dx @ g.T) * (1 - h * h)
-        dwz += flat(z).T @ flat(dh)
+        du += flat(h).T @ flat(dy)
+        du0 += flat(dy).sum(0)
+        dh = (dx @ g.T + dy @ u.T) * (1 - h * h)
+        dwz += flat(last).T @ flat(dh)
         dwo += flat(o).T @ flat(dh)
         do = dh @ wo.T
         da = do @ v.transpose(0, 2, 1)
         dv = a.transpose(0, 2, 1) @ do
         ds = a * (da - (da * a).sum(2, keepdims=True)) / np.float32(np.sqrt(DIM))
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dwq += flat(z).T @ flat(dq)
+        dwq += flat(last).T @ flat(dq)
         dwk += flat(z).T @ flat(dk)
         dwv += flat(z).T @ flat(dv)
-        dz = dh @ wz.T + dq @ wq.T + dk @ wk.T + dv @ wv.T
+        dz = dk @ wk.T + dv @ wv.T
+        dz[:, WINDOW - STEP :] += dh @ wz.T + dq @ wq.T
         known = words >= 0
-        dword = np.zeros((len(t.hash), DIM), np.float32)
-        np.add.at(dword, words[known], dz[known])
-        size = np.diff(t.at)
-        np.add.at(de, t.ids % BINS, np.repeat(dword / size[:, None].astype(np.float32), size, axis=0))
+        u_, at = np.unique(words[known], return_inverse=True)
+        grad = dz[known]
+        dword = np.stack([np.bincount(at, grad[:, i], len(u_)) for i in range(DIM)], 1) / np.diff(t.at)[u_][:, None]
+        size = np.diff(t.at)[u_]
+        ids = t.ids[np.repeat(t.at[u_] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] % BINS
+        each = np.repeat(dword, size, axis=0)
+        for i in range(DIM):
+            de[:, i] += np.bincount(ids, each[:, i], BINS)
         return out
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(2, keepdims=True)
+    np.exp(x, x)
+    x /= x.sum(2, keepdims=True)
+    return x
+
+
 def windows(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place of each token in its window, inside its row, scored there); places are tokens of the block."""
     n = np.diff(t.bounds)
@@ -174,36 +252,40 @@ class LanguageModel:
     distinct: int
     h: np.ndarray
     c: np.ndarray
-    #: Counts in each group, and the words of each group.
-    groups: np.ndarray
-    sizes: np.ndarray
+    #: Log probabilities of ids by group, class of the id before, and id; the likeness of each id to each group; its band.
     table: np.ndarray
+    likeness: np.ndarray
+    band: np.ndarray
+    #: The sum of base over the words of each class.
+    mass: np.ndarray
     layer: Layer
     raw: bytes
 
-    def counts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(counts of hashes, counts in each group); -1 and 0 where the table of frequent words has none."""
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Counts of hashes; -1 where the table has none."""
         if not len(self.h):
-            return np.full(len(h), -1, np.int64), np.zeros((len(h), EXPERTS))
+            return np.full(len(h), -1, np.int64)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        hit = self.h[at] == h
-        return np.where(hit, self.c[at], -1), self.groups[at] * hit[:, None]
+        return np.where(self.h[at] == h, self.c[at], -1).astype(np.int64)
 
-    def all_counts(self, h: np.ndarray, rare: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
-        """counts(h) for sorted distinct hashes, with the rare words among them taken from rare: h, c, c0..."""
-        known, inside = self.counts(h)
+    def all_counts(self, h: np.ndarray, rare: pa.StructArray) -> np.ndarray:
+        """counts(h) for sorted distinct hashes, with the rare words among them taken from rare: h, c."""
+        known = self.counts(h)
         if len(rare):
-            at = np.searchsorted(h, rare.field("h").to_numpy().view(np.uint64))
-            known[at] = rare.field("c").to_numpy()
-            inside[at] = np.stack([rare.field(f"c{i}").to_numpy() for i in range(EXPERTS)], 1)
-        return known, inside
+            known[np.searchsorted(h, rare.field("h").to_numpy().view(np.uint64))] = rare.field("c").to_numpy()
+        return known
 
-    def mixed(self, base: np.ndarray, groups: np.ndarray) -> np.ndarray:
-        return (groups + BACKOFF * base[:, None]) / (self.sizes + BACKOFF)
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return (c + 0.1) / (self.total + 0.1 * (self.distinct + 1))
+
+    def classes(self, t: Tokens) -> np.ndarray:
+        """The class of each distinct word, by its ids."""
+        return np.argmax(np.add.reduceat(self.likeness[t.ids], t.at[:-1]), 1) * BANDS + self.band[t.ids[t.at[:-1]]]
 
     def experts(self, t: Tokens) -> np.ndarray:
-        """The log probability of each distinct word by each expert."""
-        return np.stack([np.add.reduceat(self.table[k][cells(t)].astype(float), t.at[:-1]) for k in range(EXPERTS)], 1)
+        """The probability of each distinct word by the ids' table of each group."""
+        cell = cells(t)
+        return np.exp(np.stack([np.add.reduceat(self.table[k][cell].astype(float), t.at[:-1]) for k in range(EXPERTS)], 1))
 
 
 def groups_of(data: np.ndarray, bounds: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -211,7 +293,7 @@ def groups_of(data: np.ndarray, bounds: np.ndarray, centers: np.ndarray) -> np.n
     return np.argmax(langid.vectors(langid.counts(data, bounds), np.ones(langid.BINS, np.float32)) @ centers.T, 1)
 
 
-def _centers(learn: DataFrame, start: int = 600, rounds: int = 8) -> np.ndarray:
+def _centers(learn: DataFrame, start: int = 600, rounds: int = 2) -> np.ndarray:
     """Groups of texts: spherical k-means over all learning texts, whose sums are made by the tasks. Only the places the
     centers start from are chosen among `start` texts."""
     spark, ones = learn.sparkSession, np.ones(langid.BINS, np.float32)
@@ -260,47 +342,86 @@ def _centers(learn: DataFrame, start: int = 600, rounds: int = 8) -> np.ndarray:
 
 
 def word_counts(learn: DataFrame, centers: np.ndarray | None) -> DataFrame:
-    """h, c, c0...: the tokens of all learning texts, and of each group of them."""
+    """h, w, c, c0...: the tokens (hash, bytes) of all learning texts, and of each group of them. The end of a text is a line
+    break."""
     shared = learn.sparkSession.sparkContext.broadcast(centers)
 
     def rows(batches):
         for b in batches:
             for _, _, data, bounds in C.blocks(b.column("text")):
-                _, h, at = hashes(data, bounds)
+                w, h, at = hashes(data, bounds)
                 near = np.repeat(groups_of(data, bounds, shared.value), np.diff(at))
-                for k in np.unique(near):
-                    u, n = np.unique(h[near == k], return_counts=True)
-                    yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(np.full(len(u), k), pa.int32()), pa.array(n, pa.int64())], ["h", "k", "n"])
-
-    found = learn.select(C.byte_texts(learn)).mapInArrow(rows, "h long, k int, n long")
-    return C.stored(found.groupBy("h").agg(F.sum("n").alias("c"), *(F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(EXPERTS))), "counts")
-
-
-def _experts(learn: DataFrame, raw: bytes, centers: np.ndarray) -> np.ndarray:
-    """Log probabilities (group, class of the id before and id), counted over all learning texts."""
-    spark = learn.sparkSession
-    shared = spark.sparkContext.broadcast((raw, centers))
+                u, inverse = np.unique(h, return_inverse=True)
+                where = np.full(len(u), -1, np.int64)
+                where[inverse[np.arange(len(w.hash)) + w.row]] = np.arange(len(w.hash))
+                n = np.bincount(inverse * EXPERTS + near, minlength=len(u) * EXPERTS).reshape(-1, EXPERTS)
+                text = w.data.tobytes()
+                words = [text[w.start[i] : w.end[i]] if i >= 0 else b"\n" for i in where.tolist()]
+                yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(words, pa.binary()), *(pa.array(n[:, k].astype(np.int64)) for k in range(EXPERTS))], ["h", "w", *groups])
+
+    groups = [f"c{i}" for i in range(EXPERTS)]
+    found = learn.select(C.byte_texts(learn)).mapInArrow(rows, "h long, w binary, " + ", ".join(f"{g} long" for g in groups))
+    each = found.groupBy("h", "w").agg(*(F.sum(g).alias(g) for g in groups))
+    return C.stored(each.withColumn("c", sum((F.col(g) for g in groups[1:]), F.col("c0"))), "counts")
+
+
+def _vocabulary(b: pa.RecordBatch, raw: bytes) -> Tokens:
+    """The words of a batch of the counts as tokens."""
+    h = b.column("h").to_numpy().view(np.uint64)
+    real = np.flatnonzero(h != END)
+    words = b.column("w").to_pylist()
+    ids: list[tuple[int, ...]] = [(END_OF_TEXT,)] * len(h)
+    for i, x in zip(real.tolist(), word_ids(h[real], [words[i] for i in real.tolist()], raw), strict=True):
+        ids[i] = x
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return Tokens(h, np.arange(len(h)), np.array([0, len(h)]), np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)]))
+
+
+def _experts(counts: DataFrame, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log probabilities by group, class of the id before and id; likeness of ids to groups; bands of ids), of all words."""
+    shared = counts.sparkSession.sparkContext.broadcast(raw)
 
     def rows(batches):
+        out = np.zeros((EXPERTS, PREVIOUS * IDS), np.int64)
         for b in batches:
-            for _, _, data, bounds in C.blocks(b.column("text")):
-                t = tokens(data, bounds, shared.value[0])
-                near, cell, size = groups_of(data, bounds, shared.value[1]), cells(t), np.diff(t.at)
-                of = np.repeat(near, np.diff(t.bounds))
-                for k in np.unique(near):
-                    used = np.bincount(t.inverse[of == k], minlength=len(size))
-                    n = np.bincount(cell, np.repeat(used, size), minlength=PREVIOUS * IDS).astype(np.int64)
-                    hit = np.flatnonzero(n)
-                    yield pa.record_batch([pa.array(k * PREVIOUS * IDS + hit, pa.int32()), pa.array(n[hit])], ["cell", "n"])
+            t = _vocabulary(b, shared.value)
+            cell, size = cells(t), np.diff(t.at)
+            for k in range(EXPERTS):
+                out[k] += np.bincount(cell, np.repeat(b.column(f"c{k}").to_numpy(), size), PREVIOUS * IDS).astype(np.int64)
+        hit = np.flatnonzero(out)
+        yield pa.record_batch([pa.array(hit, pa.int32()), pa.array(out.ravel()[hit])], ["cell", "n"])
 
     # At most EXPERTS * PREVIOUS * IDS rows, whatever the input.
-    sums = learn.select(C.byte_texts(learn)).mapInArrow(rows, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    sums = counts.mapInArrow(rows, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(EXPERTS * PREVIOUS * IDS)
     n[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
     n = n.reshape(EXPERTS, PREVIOUS, IDS)
     overall = n.sum((0, 1)) + 0.01
+    share = (n.sum(1) + 0.5 * overall / overall.sum()) / (n.sum((1, 2))[:, None] + 0.5)
+    first = n[:, 0].sum(0)
+    order = np.argsort(-first, kind="stable")
+    band = np.zeros(IDS, np.int64)
+    band[order] = np.minimum((np.cumsum(first[order]) - first[order]) * BANDS / max(first.sum(), 1), BANDS - 1).astype(np.int64)
     overall /= overall.sum()
-    return np.log((n + 5 * overall) / (n.sum(2, keepdims=True) + 5)).reshape(EXPERTS, -1).astype(np.float32)
+    return np.log((n + 5 * overall) / (n.sum(2, keepdims=True) + 5)).reshape(EXPERTS, -1).astype(np.float32), np.log(share).T.astype(np.float32), band
+
+
+def _mass(counts: DataFrame, model: LanguageModel) -> np.ndarray:
+    """The sum of base over the words of each class; an unseen word adds one share of its own."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches):
+        out = np.zeros((2, CLASSES), np.int64)
+        for b in batches:
+            of = shared.value.classes(_vocabulary(b, shared.value.raw))
+            out[0] += np.bincount(of, minlength=CLASSES)
+            out[1] += np.bincount(of, b.column("c").to_numpy(), CLASSES).astype(np.int64)
+        yield pa.record_batch([pa.array(np.arange(CLASSES), pa.int32()), pa.array(out[0]), pa.array(out[1])], ["k", "v", "c"])
+
+    found = counts.mapInArrow(rows, "k int, v long, c long").groupBy("k").agg(F.sum("v").alias("v"), F.sum("c").alias("c")).toArrow()
+    v, c = np.zeros(CLASSES), np.zeros(CLASSES)
+    v[found.column("k").to_numpy()], c[found.column("k").to_numpy()] = found.column("v").to_numpy(), found.column("c").to_numpy()
+    return model.base(c + 0.1 * v)
 
 
 def _packed(batches):
@@ -318,8 +439,7 @@ def _with_rare(texts: DataFrame, model: LanguageModel, counts: DataFrame, tasks:
     it lacks none. Rows are dealt over tasks and sorted by a hash, so replicas learn alike wherever the counts lie."""
     dealt = texts.select(F.xxhash64("doc_id", "text").alias("_row"), "text")
     if len(model.h) == model.distinct:
-        none = "array<struct<h:long,c:long," + ",".join(f"c{i}:long" for i in range(EXPERTS)) + ">>"
-        return dealt.repartition(tasks, "_row").withColumn("rare", F.lit(None).cast(none)).sortWithinPartitions("_row").mapInArrow(_packed, "x binary")
+        return dealt.repartition(tasks, "_row").withColumn("rare", F.lit(None).cast("array<struct<h:long,c:long>>")).sortWithinPartitions("_row").mapInArrow(_packed, "x binary")
     shared = texts.sparkSession.sparkContext.broadcast(model.h)
 
     def rows(batches):
@@ -331,28 +451,42 @@ def _with_rare(texts: DataFrame, model: LanguageModel, counts: DataFrame, tasks:
                 u, of = C.distinct(h[out], row[out], hi - lo)
                 yield pa.record_batch([pa.array(np.repeat(b.column("_row").to_numpy()[lo:hi], np.diff(of))), pa.array(u.view(np.int64))], ["_row", "h"])
 
-    found = dealt.mapInArrow(rows, "_row long, h long").join(counts, "h").repartition(tasks, "_row")
-    rare = found.groupBy("_row").agg(F.collect_set(F.struct("h", "c", *(f"c{i}" for i in range(EXPERTS)))).alias("rare"))
+    found = dealt.mapInArrow(rows, "_row long, h long").join(counts.select("h", "c"), "h").repartition(tasks, "_row")
+    rare = found.groupBy("_row").agg(F.collect_set(F.struct("h", "c")).alias("rare"))
     return dealt.repartition(tasks, "_row").join(rare, "_row", "left").sortWithinPartitions("_row").mapInArrow(_packed, "x binary")
 
 
-def fit(learn: DataFrame, every: int = 1, replicas: int = 64, rounds: int = 2, vocabulary: str = VOCABULARY) -> tuple[LanguageModel, DataFrame]:
+def _table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the words found at least as often as lets no more than TABLE words in."""
+    tally = counts.where("c >= 2").groupBy(F.least("c", F.lit(1_000_000)).alias("c")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # a million rows at most
+    order = np.argsort(-tally.column("c").to_numpy())
+    c, n = tally.column("c").to_numpy()[order], np.cumsum(tally.column("n").to_numpy()[order])
+    once = counts.where("c < 2").count()
+    fits = c[n <= TABLE]
+    least = 1 if (n[-1] if len(n) else 0) + once <= TABLE else int(fits.min()) if len(fits) else 1 << 62
+    top = counts.where(F.col("c") >= least).select("h", F.col("c")).toArrow()
+    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def fit(learn: DataFrame, every: int = 1, replicas: int = 64, rounds: int = 1, batch: int = BATCH, rate: float = 0.01, vocabulary: str = VOCABULARY) -> tuple[LanguageModel, DataFrame]:
     """(model, table of word counts). learn: doc_id, text of the texts that may teach."""
     spark = learn.sparkSession
     some = not learn.isEmpty()
-    centers = _centers(learn) if some else None
-    counts = word_counts(learn, centers)
-    total, distinct, *sizes = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), *(F.coalesce(F.sum(f"c{i}"), F.lit(0)) for i in range(EXPERTS))).first()
+    counts = word_counts(learn, _centers(learn) if some else None)
+    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     with open(vocabulary, "rb") as f:
         raw = f.read()
-    top = counts.where(F.col("c") >= total / FREQUENT).toArrow()
-    h, c = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.argsort(h)
-    table = _experts(learn, raw, centers) if total else np.full((EXPERTS, PREVIOUS * IDS), -np.log(IDS), np.float32)
-    groups = np.stack([top.column(f"c{i}").to_numpy() for i in range(EXPERTS)], 1)[order].astype(np.float32)
-    model = LanguageModel(total, distinct, h[order], c[order], groups, np.array(sizes, float), table, Layer(), raw)
-    part = _with_rare(learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", C.byte_texts(learn)), model, counts, int(min(replicas, 1 + total // REPLICA))).persist(StorageLevel.DISK_ONLY)
-    for number in range(rounds if total else 0):
+    h, c = _table(counts)
+    model = LanguageModel(total, distinct, h, c, *_experts(counts, raw), np.ones(CLASSES), Layer(), raw)
+    model.mass = _mass(counts, model)
+    model.layer.vector[-CLASSES:] = np.log(np.maximum(model.mass, model.base(0)))  # the classes' shares, before anything is learned
+    if not total:
+        return model, counts
+    part = _with_rare(learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", C.byte_texts(learn)), model, counts, int(min(replicas, 1 + total // REPLICA)))
+    part = part.persist(StorageLevel.DISK_ONLY) if rounds > 1 else part
+    for number in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def train(batches, shared=shared, number=number):
@@ -361,39 +495,39 @@ def fit(learn: DataFrame, every: int = 1, replicas: int = 64, rounds: int = 2, v
             mean = square = np.zeros_like(layer.vector)
             step = seen = 0
             for b in (y for x in batches for z in x.column("x") for y in pa.ipc.open_stream(z.as_buffer())):
-                for lo, hi, data, bounds in C.blocks(b.column("text"), 6_000):
+                for lo, hi, data, bounds in C.blocks(b.column("text"), 400_000):
                     t = tokens(data, bounds, m.raw)
                     place, valid, scored = windows(t)
-                    known, inside = m.all_counts(t.hash, b.column("rare").slice(lo, hi - lo).flatten())  # each word without its own occurrence, as in unseen text
-                    base = (np.maximum(known, 1) - 0.9) / (m.total + 0.1 * (m.distinct + 1))
-                    p = np.concatenate([base[:, None], m.mixed(base, np.maximum(inside - 1, 0)), np.exp(m.experts(t))], 1)
-                    for lo in range(0, len(place), 64):
-                        some = slice(lo, lo + 64)
-                        z, words = inputs(t, place[some], valid[some], layer.embed(t))
-                        grad = layer.gradient(z, valid[some], scored[some], p[t.inverse[np.clip(place[some], 0, len(t.inverse) - 1)]], words, t)
+                    known = m.all_counts(t.hash, b.column("rare").slice(lo, hi - lo).flatten())  # each word without its own occurrence, as in unseen text
+                    base, kind = m.base(np.maximum(known, 1) - 1), m.classes(t)
+                    p = np.concatenate([base[:, None], (base / (m.mass + m.base(0))[kind])[:, None], m.experts(t)], 1)
+                    p = (p / p.max(1, keepdims=True)).astype(np.float32)  # only their ratios count
+                    for i in range(0, len(place), batch):
+                        some = slice(i, i + batch)
+                        z, words = inputs(t, place[some], valid[some], layer.embed_of(t, place[some]))
+                        at = t.inverse[np.clip(place[some][:, WINDOW - STEP :], 0, len(t.inverse) - 1)]
+                        grad = layer.gradient(z, valid[some], scored[some][:, WINDOW - STEP :], p[at], kind[at], words, t)
                         step += 1
                         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
-                        layer.vector -= np.float32(0.03 / (1 + 2 * number)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + np.float32(1e-6))
+                        layer.vector -= np.float32(rate / (1 + 2 * number)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + np.float32(1e-6))
                     seen += len(t.inverse)
             if seen:
                 yield pa.record_batch([pa.array([seen]), pa.array([layer.vector.astype(np.float32).tobytes()], pa.binary())], ["n", "v"])
 
         done = part.mapInArrow(train, "n long, v binary").toArrow()  # one vector for each replica
-        got = [(n, np.frombuffer(v, np.float32)) for n, v in zip(done.column("n").to_pylist(), done.column("v").to_pylist(), strict=True)]
+        got = sorted(zip(done.column("n").to_pylist(), done.column("v").to_pylist(), strict=True))
         if got:
-            model.layer = Layer(np.average([v for _, v in got], axis=0, weights=[n for n, _ in got]))
+            model.layer = Layer(np.average([np.frombuffer(v, np.float32) for _, v in got], axis=0, weights=[n for n, _ in got]))
         shared.destroy()
-    part.unpersist()
+    if rounds > 1:
+        part.unpersist()
     return model, counts
 
 
-def apply(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row."""
-    from pyspark import TaskContext
-
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FREQUENT words at most, and tables of fixed size
+def apply(docs: DataFrame, model: LanguageModel, counts: DataFrame, attend: bool = True) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row; attend=False leaves the attention out."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # TABLE words at most, and tables of fixed size
     norm = model.total + 0.1 * (model.distinct + 1)
-    groups = [f"w{i}" for i in range(EXPERTS)]
 
     def rows(batches):
         m, number = shared.value, TaskContext.get().partitionId() << 40
@@ -401,38 +535,35 @@ def apply(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
             for lo, hi, data, bounds in C.blocks(b.column("text"), 400_000):
                 t = tokens(data, bounds, m.raw)
                 place, valid, scored = windows(t)
-                (known, inside), logs, x = m.counts(t.hash), m.experts(t), m.layer.embed(t)
+                known, experts, x, kind = m.counts(t.hash), m.experts(t), m.layer.embed(t), m.classes(t)
                 n = len(t.inverse)
-                first, rest, group, each = np.empty(n), np.empty(n), np.empty(n), np.empty((n, EXPERTS), np.float32)
-                mixed = m.mixed((np.maximum(known, 0) + 0.1) / norm, inside)
+                first, rest = np.empty(n), np.empty(n)  # p(word) = first * base + rest
+                mass = (m.mass + m.base(0))[kind]
                 for a in range(0, len(place), 1024):
                     some = slice(a, a + 1024)
-                    w, _ = m.layer.weights(inputs(t, place[some], valid[some], x)[0], valid[some])
-                    at = place[some][scored[some]]
-                    w = w[scored[some]].astype(float)
-                    first[at] = w[:, 0]
-                    group[at] = (w[:, 1 : EXPERTS + 1] * mixed[t.inverse[at]]).sum(1)
-                    each[at] = w[:, 1 : EXPERTS + 1]
-                    rest[at] = (w[:, EXPERTS + 1 :] * np.exp(logs[t.inverse[at]])).sum(1)
+                    w, y, _ = m.layer.forward(inputs(t, place[some], valid[some], x)[0], valid[some], attend)
+                    mine = scored[some][:, WINDOW - STEP :]
+                    at = place[some][:, WINDOW - STEP :][mine]
+                    w, y, word = w[mine].astype(float), y[mine], t.inverse[at]
+                    first[at] = w[:, 0] + w[:, 1] * y[np.arange(len(at)), kind[word]] / mass[word]
+                    rest[at] = (w[:, 2:] * experts[word]).sum(1)
                 common = known[t.inverse] >= 0
-                c = np.maximum(known[t.inverse], 0)
+                p = m.base(np.maximum(known[t.inverse], 0))
                 row = np.repeat(np.arange(hi - lo), np.diff(t.bounds))
-                base = np.where(common, np.log10((c + 0.1) / norm), 0)
-                score = np.where(common, np.log10(first * (c + 0.1) / norm + group + rest), 0)
+                base, score = np.where(common, np.log10(p), 0), np.where(common, np.log10(first * p + rest), 0)
                 rare = np.flatnonzero(~common)
                 at = np.searchsorted(row[rare], np.arange(hi - lo + 1))
                 n = hi - lo
                 yield pa.record_batch(
-                    [pa.array(number + np.arange(n)), b.column("doc_id").slice(lo, n), pa.array(np.diff(t.bounds)), pa.array(np.bincount(row, common, n).astype(np.int64)), pa.array(np.bincount(row, base, n)), pa.array(np.bincount(row, score, n)), C.lists(t.hash[t.inverse[rare]].view(np.int64), at, pa.int64()), C.lists(first[rare].astype(np.float32), at, pa.float32()), *(C.lists(each[rare, k], at, pa.float32()) for k in range(EXPERTS)), C.lists(np.log10(rest[rare] + 1e-300).astype(np.float32), at, pa.float32())],
-                    ["row", "doc_id", "n_tokens", "known", "base", "score", "h", "first", *groups, "rest"],
+                    [pa.array(number + np.arange(n)), b.column("doc_id").slice(lo, n), pa.array(np.diff(t.bounds)), pa.array(np.bincount(row, common, n).astype(np.int64)), pa.array(np.bincount(row, base, n)), pa.array(np.bincount(row, score, n)), C.lists(t.hash[t.inverse[rare]].view(np.int64), at, pa.int64()), C.lists(first[rare].astype(np.float32), at, pa.float32()), C.lists(np.log10(rest[rare] + 1e-300).astype(np.float32), at, pa.float32())],
+                    ["row", "doc_id", "n_tokens", "known", "base", "score", "h", "first", "rest"],
                 )
                 number += n
 
-    done = C.stored(docs.select(F.col("doc_id").cast("long"), C.byte_texts(docs)).mapInArrow(rows, "row long, doc_id long, n_tokens long, known long, base double, score double, h array<long>, first array<float>, " + "".join(f"{g} array<float>, " for g in groups) + "rest array<float>"), "scored")
-    rare = done.select("row", F.explode(F.arrays_zip("h", "first", *groups, "rest")).alias("x")).select("row", "x.*")
+    done = C.stored(docs.select(F.col("doc_id").cast("long"), C.byte_texts(docs)).mapInArrow(rows, "row long, doc_id long, n_tokens long, known long, base double, score double, h array<long>, first array<float>, rest array<float>"), "scored")
+    rare = done.select("row", F.explode(F.arrays_zip("h", "first", "rest")).alias("x")).select("row", "x.*")
     p = (F.coalesce("c", F.lit(0)) + 0.1) / norm
-    middle = sum(F.col(g) * (F.coalesce(f"c{i}", F.lit(0)) + F.lit(BACKOFF) * p) / F.lit(float(model.sizes[i]) + BACKOFF) for i, g in enumerate(groups))
-    late = rare.join(counts, "h", "left").groupBy("row").agg(F.count("c").alias("k"), F.sum(F.log10(p)).alias("b"), F.sum(F.log10(F.col("first") * p + middle + F.pow(F.lit(10.0), F.col("rest").cast("double")))).alias("s"))
+    late = rare.join(counts.select("h", "c"), "h", "left").groupBy("row").agg(F.count("c").alias("k"), F.sum(F.log10(p)).alias("b"), F.sum(F.log10(F.col("first") * p + F.pow(F.lit(10.0), F.col("rest").cast("double")))).alias("s"))
     zero = F.lit(0)
     return done.select("row", "doc_id", "n_tokens", "known", "base", "score").join(late, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("k", zero)).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", zero)).alias("base_score"), (F.col("score") + F.coalesce("s", zero)).alias("score")

@@ -258,7 +258,7 @@ def test_lm_counts_and_base(spark, rows, docs, none):
 def test_lm_rare_words_are_joined_alike(spark, docs, monkeypatch):
     learn = docs.where("doc_id > 5")
     model, counts = lm.fit(learn, every=1)
-    few = lm.LanguageModel(**{**model.__dict__, "h": model.h[:0], "c": model.c[:0], "groups": model.groups[:0]})
+    few = lm.LanguageModel(**{**model.__dict__, "h": model.h[:0], "c": model.c[:0]})
     a, b = (sorted((key((r["doc_id"],)), r["n_known"], round(r["base_score"], 3)) for r in lm.apply(docs, m, counts).collect()) for m in (model, few))
     assert a == b
 
@@ -266,11 +266,11 @@ def test_lm_rare_words_are_joined_alike(spark, docs, monkeypatch):
 def test_lm_rare_words_score_alike(spark, docs, monkeypatch):
     learn = docs.where("doc_id > 5")
     model, counts = lm.fit(learn, every=1)
-    few = lm.LanguageModel(**{**model.__dict__, "h": model.h[:0], "c": model.c[:0], "groups": model.groups[:0]})
+    few = lm.LanguageModel(**{**model.__dict__, "h": model.h[:0], "c": model.c[:0]})
     a, b = (sorted((key((r["doc_id"],)), r["n_tokens"], r["score"]) for r in lm.apply(docs, m, counts).collect()) for m in (model, few))
     assert [x[:2] for x in a] == [x[:2] for x in b]
     assert [x[2] for x in a] == pytest.approx([x[2] for x in b], rel=1e-5, abs=1e-5)
-    monkeypatch.setattr(lm, "FREQUENT", model.total / np.median(model.c))
+    monkeypatch.setattr(lm, "TABLE", len(model.h) // 3)
     cut, _ = lm.fit(learn, every=1)
     assert 0 < len(cut.h) < len(model.h)
     assert cut.layer.vector == pytest.approx(model.layer.vector, rel=1e-3, abs=1e-4)
@@ -290,26 +290,36 @@ def test_lm_learns_from_every_text(spark, docs):
 
 
 def test_lm_beats_the_base_on_held_out_texts(spark):
-    got = queries.op1_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
-    assert got["score"].sum() > got["base_score"].sum()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = docs.where(C.fold(docs["doc_id"], 10) == 0)
+    model, counts = lm.fit(docs.where(C.fold(docs["doc_id"], 10) != 0).select("doc_id", "text"))
+    whole, blind = (lm.apply(held, model, counts, attend).toPandas() for attend in (True, False))
+    gain = (whole["score"] - whole["base_score"]).sum() / whole["n_tokens"].sum()
+    print("gain a token", gain, "without attention", (blind["score"] - blind["base_score"]).sum() / whole["n_tokens"].sum())
+    assert gain > 0.1
+    assert whole["score"].sum() > blind["score"].sum()
 
 
 def test_attention_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 5, 40)
     t = lm.Tokens(np.arange(5, dtype=np.uint64), h, np.array([0, 40]), np.array([3, 9, 4, 7, 2, 5]), np.array([0, 1, 2, 3, 4, 6]))
-    p = rng.random((5, 2 * lm.EXPERTS + 1))
+    p, kind = rng.random((5, lm.Layer.KINDS)), np.array([0, 3, 3, 1, 7])
     place, valid, scored = lm.windows(t)
     assert scored.sum() == 40 and sorted(place[scored].tolist()) == list(range(40))
+    last = slice(lm.WINDOW - lm.STEP, None)
+    at, mine = h[np.clip(place[:, last], 0, 39)], scored[:, last]
 
     def loss(layer):
         z, _ = lm.inputs(t, place, valid, layer.embed(t))
-        w, _ = layer.weights(z, valid)
-        return -np.log((w * p[h[np.clip(place, 0, 39)]]).sum(2))[scored].mean()
+        w, y, _ = layer.forward(z, valid)
+        q = p[at].copy()
+        q[..., 1] *= np.take_along_axis(y, kind[at][..., None], 2)[..., 0]
+        return -np.log((w * q).sum(2) * np.take_along_axis(y, kind[at][..., None], 2)[..., 0])[mine].mean()
 
     layer = lm.Layer()
-    z, words = lm.inputs(t, place, valid, layer.embed(t))
-    grad = layer.gradient(z, valid, scored, p[h[np.clip(place, 0, 39)]], words, t)
+    z, words = lm.inputs(t, place, valid, layer.embed_of(t, place))
+    grad = layer.gradient(z, valid, mine, p[at], kind[at], words, t)
     for direction in (grad, rng.standard_normal(len(grad)).astype(np.float32)):
         d = direction / np.linalg.norm(direction)
         slope = (loss(lm.Layer(layer.vector + 1e-2 * d)) - loss(lm.Layer(layer.vector - 1e-2 * d))) / 2e-2
