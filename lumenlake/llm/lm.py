@@ -33,7 +33,7 @@ from lumenlake.llm import common as C
 from lumenlake.llm import langid
 from lumenlake.llm.shards import VOCABULARY, _encoding
 
-EXPERTS, PREVIOUS, DIM, BINS = 6, 32, 16, 2048
+EXPERTS, PREVIOUS, DIM, BINS = 6, 16, 16, 2048
 #: Frequency bands of a word's first id; classes of words.
 BANDS = 6
 CLASSES = EXPERTS * BANDS
@@ -43,11 +43,11 @@ BATCH = 128
 END_OF_WORD, END_OF_TEXT, IDS = 50256, 50257, 50258
 NEWLINE = 198
 #: Words sent to the tasks, at most: 12 bytes each.
-TABLE = 2_000_000
+TABLE = 500_000
 #: Tokens of all texts for which there is one more replica.
 REPLICA = 300_000
 #: Words whose ids a task keeps, at most.
-KEPT = 300_000
+KEPT = 60_000
 #: The hash of the token that ends a text.
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 
