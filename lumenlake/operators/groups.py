@@ -12,17 +12,16 @@ from pyspark.sql import functions as F
 BITS, PARTS = 60, 5
 
 
-def fingerprint(text: Column) -> Column:
-    """A 60-bit similarity print: each bit is what most of the distinct words' hashes have there; null for no words."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
-    hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, BITS // 4), 16, 10).cast("long"))
+def fingerprints(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, p: a 60-bit similarity print of each row's text: each bit is what most of the distinct words' hashes have there.
 
-    def bit(i: Column) -> Column:
-        ones = F.aggregate(hashes, F.lit(0).cast("long"), lambda n, h: n + F.getbit(h, i).cast("long"))
-        return F.when(2 * ones > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-
-    made = F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), lambda p, i: p.bitwiseOR(bit(i)))
-    return F.when(F.size(words) > 0, made)
+    A word is hashed once and its bits are summed by key, before the shuffle where Spark can. Null texts and texts without a
+    word have a null print; keys are taken to be unique (rows that share one are read as one text); an empty table gives none."""
+    word = F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))))
+    hashed = rows.select(key, word.alias("w")).select(key, F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, BITS // 4), 16, 10).cast("long").alias("h"))
+    sums = hashed.groupBy(key).agg(F.count("h").alias("n"), *(F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(BITS)))
+    bits = sum((F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(1, BITS)), F.when(2 * F.col("b0") > F.col("n"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    return sums.select(key, F.when(F.col("n") > 0, bits).alias("p"))
 
 
 def exact_ties(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -44,10 +43,13 @@ def near_ties(rows: DataFrame, key: str, prints: str, bits: int = PARTS - 1) ->
     return cut.join(other, ["part", "value"]).where((F.col("k") < F.col("k2")) & close).select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """df written to the folder that all machines share and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="lumenlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at}/labels-{uuid.uuid4().hex}"
@@ -60,13 +62,26 @@ def components(ties: DataFrame) -> DataFrame:
 
     Labels fall to the least of the neighbours' labels, then to their label's own label, so chains halve each round; every
     round is a written table, which cuts lineage and survives lost executors."""
-    both = _written(ties.select("a", "b").union(ties.select("b", "a")).where("a <> b").distinct())
-    labels = _written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    both = written(ties.select("a", "b").union(ties.select("b", "a")).where("a <> b").distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_a")).agg(F.min("label").alias("_least"))
         lower = labels.join(seen, F.col("node") == F.col("_a")).select("node", F.col("label").alias("old"), F.least("label", "_least").alias("label"))
         hop = lower.select(F.col("node").alias("_h"), F.col("label").alias("_next"))
-        fresh = _written(lower.join(hop, F.col("label") == F.col("_h"), "left").select("node", "old", F.least("label", F.coalesce("_next", "label")).alias("label")))
+        fresh = written(lower.join(hop, F.col("label") == F.col("_h"), "left").select("node", "old", F.least("label", F.coalesce("_next", "label")).alias("label")))
         labels = fresh.drop("old")
         if fresh.where("old <> label").isEmpty():
             return labels.withColumnRenamed("label", "group_id")
+
+
+def kinds(ties: DataFrame, loosest: int) -> DataFrame:
+    """node, group_id, kind: components of ties (a, b, kind: 0 is the tightest), and of each group the loosest kind of tie it
+    cannot do without: the least kind at which its nodes are one group without any looser tie. Null ends tie nothing."""
+    ties = written(ties.where("a is not null and b is not null"))
+    whole = components(ties)
+    found = whole.withColumn("kind", F.lit(loosest))
+    for level in range(loosest - 1, -1, -1):
+        part = components(ties.where(F.col("kind") <= level)).withColumnRenamed("group_id", "at")
+        one = whole.join(part, "node", "left").groupBy("group_id").agg((F.count_distinct(F.coalesce("at", "node")) == 1).alias("one"))
+        found = found.join(one, "group_id").withColumn("kind", F.when(F.col("one"), F.lit(level)).otherwise(F.col("kind"))).drop("one")
+    return found.select("node", "group_id", "kind")

@@ -149,7 +149,7 @@ ties AS (SELECT o.k AS a, fp.doc_id AS b FROM fp JOIN one o USING (p) WHERE fp.d
 
 
 def _prints(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", groups.fingerprint(F.col("text")).alias("p"))
+    return groups.written(groups.fingerprints(_t(spark, sf, "documents"), "doc_id", "text"))
 
 
 @_query(f"WITH {_PRINTS}, one AS (SELECT p, min(doc_id) AS k FROM fp GROUP BY 1) SELECT x.k AS a, y.k AS b FROM one x JOIN one y ON x.k < y.k AND bit_count(xor(x.p, y.p)) <= 4")
@@ -163,6 +163,15 @@ def components(spark, sf):
     return groups.components(groups.exact_ties(prints, "doc_id", "p").union(groups.near_ties(prints, "doc_id", "p")))
 
 
+@_query(f"""WITH RECURSIVE {_TIES}, e AS (SELECT a, b FROM ties UNION SELECT b, a FROM ties),
+r AS (SELECT a AS node, a AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node), g AS (SELECT node, min(label) AS group_id FROM r GROUP BY 1)
+SELECT group_id, count(*) AS n, CAST(CASE WHEN count(DISTINCT p) = 1 THEN 0 ELSE 1 END AS INT) AS kind FROM g JOIN fp ON doc_id = node GROUP BY 1""")
+def group_kinds(spark, sf):
+    prints = _prints(spark, sf)
+    ties = groups.exact_ties(prints, "doc_id", "p").withColumn("kind", F.lit(0)).union(groups.near_ties(prints, "doc_id", "p").withColumn("kind", F.lit(1)))
+    return groups.kinds(ties, 1).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
+
+
 _ISLANDS = """
 g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 86400000000 THEN 1 ELSE 0 END AS cut FROM events),
 i AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM g),
