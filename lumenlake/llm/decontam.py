@@ -5,12 +5,13 @@ side that is signed is therefore the item: items are partitioned by their number
 the smallest m of its shingle hashes, m growing with its partition's size so that any text that holds the needed share of
 the item must hold one of them (of s shingles at most s - ceil(c s) may be missing). All shingles of all texts are probed
 against a bitmap of fixed size; survivors are joined with the items by hash. Pairs that met in a sketch are verified: the
-share of the item's distinct shingles in the text is counted exactly. No pair at or above the threshold is lost.
+share of the item's distinct shingles in the text is counted exactly. The join counts all shingles of an item at once; the
+sketch then says which pairs are candidates, so it rules pairs out and does not lessen the work of the join. No pair at or above the threshold is lost.
 
 Words are maximal runs of letters and digits, lower-cased, so punctuation and line breaks do not matter.
 
 Defined cases: null or wordless texts and items match nothing; an item of fewer than k words is one shingle of all its
-words, sought at that length; repeated items and rows are answered each; an empty benchmark gives no rows.
+words, sought at that length; repeated items are answered each, rows that share a doc_id as one text; an empty benchmark gives no rows.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def _bitmap(shingle: DataFrame) -> tuple[np.ndarray, list[int]]:
             yield pa.record_batch([pa.array([used.astype(np.int32).tobytes()], pa.binary()), pa.array([bits[used].tobytes()], pa.binary()), pa.array([sorted(lengths)], pa.list_(pa.int32()))], ["at", "bits", "lengths"])
 
     out, lengths = np.zeros(1 << (BITS - 3), np.uint8), set()
-    for r in shingle.coalesce(8).mapInArrow(rows, "at binary, bits binary, lengths array<int>").toLocalIterator():  # at most 8 bitmaps, one at a time
+    for r in shingle.coalesce(8).mapInArrow(rows, "at binary, bits binary, lengths array<int>").toArrow().to_pylist():  # at most 8 bitmaps, made side by side
         out[np.frombuffer(r["at"], np.int32)] |= np.frombuffer(r["bits"], np.uint8)
         lengths |= set(r["lengths"])
     return out, sorted(lengths)

@@ -2,11 +2,13 @@
 
 A page's token stream (tags, texts) is folded into a tree of elements whose runs of like siblings are one repeated group.
 Streams of one host are aligned one after the other: elements that match are merged, those that miss on one side become
-optional, neighbours that repeat become a group, texts that differ become a text slot. The order of merging does not
-matter to what is learned, so every task folds its own pages, parts of a host are merged over salts, then those over the
-host: all pages take part and no task sees a host's pages at once. A host's wrapper names the path to its main region:
+optional, neighbours that repeat become a group, texts that differ become a text slot. Every task folds its own pages,
+parts of a host are merged over salts, then those over the host: all pages take part and no task sees a host's pages at once.
+Where pages of a host differ in the order of like elements, the wrapper can depend on the order of merging. A host's wrapper names the path to its main region:
 the article or main element, or else the smallest element that holds most of the slots' text.
 
+Tags are read in one pass over the page; elements nested deeper than DEPTH are read as text of the one at that depth.
+
 Defined cases: null and empty html give an empty text; a page that its wrapper does not fit is read with a wrapper of its own;
 pages with a null or broken url share the host ''; repeated rows are answered each; extra columns are ignored.
 """
@@ -14,8 +16,10 @@ pages with a null or broken url share the host ''; repeated rows are answered ea
 from __future__ import annotations
 
 import html as entities
+import itertools
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -34,7 +38,9 @@ ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 #: Words of class, id or role that name what is not the article.
 ASIDE_WORDS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer cookie cookies consent notice notices comment comments disqus share sharing social related newsletter subscribe signup login popup modal widget toolbar pagination".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>|([^>]*)>)|([^<]+|<)", re.S | re.I)
+#: Elements nested deeper are read as part of the one at this depth: their text stays, block by block.
+DEPTH = 200
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Attributes one by one, so that names are never sought in values.
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -70,7 +76,12 @@ def parse(page: str) -> Node:
     root = Node("#")
     stack = [root]
     skip: list[str] = []
-    for raw, close, name, attrs, text in (m.groups() for m in _TOKEN.finditer(page)):
+    deep: list[str] = []
+    open_deep: Counter[str] = Counter()
+    end = page.rfind(">") + 1  # after it there is no tag; so each pattern below finds its end and none is sought twice
+    tail = page[end:]
+    tail = tail[: tail.find("<!--")] if "<!--" in tail else tail
+    for raw, close, name, attrs, rough, text in itertools.chain((m.groups() for m in _TOKEN.finditer(page, 0, end)), [(None, None, None, None, None, tail)] if tail else []):
         if raw:
             continue
         if text is not None:
@@ -79,7 +90,7 @@ def parse(page: str) -> Node:
             continue
         if name is None:
             continue
-        name = name.lower()
+        name, attrs = name.lower(), attrs if attrs is not None else rough
         if skip:
             if close and name in skip:
                 while skip.pop() != name:
@@ -87,16 +98,27 @@ def parse(page: str) -> Node:
             elif not close and name not in VOID and name == skip[0]:
                 skip.append(name)
             continue
+        if close and open_deep[name]:
+            while True:
+                last = deep.pop()
+                open_deep[last] -= 1
+                if last == name:
+                    break
+            if name not in INLINE:
+                stack[-1].kids.append("\n")
+            continue
         if close:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag.partition(".")[0] == name), 0)
             if at:
                 del stack[at:]
+                deep.clear()
+                open_deep.clear()
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and not deep:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag.partition(".")[0] == "p"), 0)
             if at and all(n.tag.partition(".")[0] in INLINE for n in stack[at + 1 :]):
                 del stack[at:]
-        elif name in ITEMS:
+        elif name in ITEMS and not deep:
             for i in range(len(stack) - 1, 0, -1):
                 t = stack[i].tag.partition(".")[0]
                 if t in ITEMS[name]:
@@ -113,6 +135,13 @@ def parse(page: str) -> Node:
             if name not in VOID:
                 skip = [name]
             continue
+        if len(stack) > DEPTH:
+            if name not in INLINE:
+                stack[-1].kids.append("\n")
+            if name not in VOID and not attrs.endswith("/"):
+                deep.append(name)
+                open_deep[name] += 1
+            continue
         node = Node(name if name in ("html", "body") or not named else name + "." + ".".join(sorted(words)))
         stack[-1].kids.append(node)
         if name not in VOID and not attrs.endswith("/"):

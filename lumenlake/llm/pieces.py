@@ -10,7 +10,7 @@ distinct chunk of a task's block is solved once, all chunks side by side in nump
 the byte pieces <0x00>..<0xFF>. Decoding joins pieces and bytes, turns markers into spaces and drops the first one.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows are encoded alike; any valid
-text decodes to itself exactly.
+text without U+2581 itself decodes to itself exactly (a U+2581 of the text comes back as a space, as the format has it).
 """
 
 from __future__ import annotations

@@ -401,6 +401,20 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_deep_and_broken_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    deep = html.parse("<body>" + "<div>a" * 100_000 + "</div>" * 100_000 + "<p>end</body>")
+    assert html.text_of(deep) == "a " * 100_000 + "end"
+    html.main_path(html.skeleton(deep))
+    assert html.text_of(html.parse("<p>x</p>" + "<a " * 350_000)).startswith("x <a")
+    for page in ("<p>x</p>" + '<a "' * 50_001 + ">", "<p>x</p>" + "<script " * 50_000, "<p>x</p>" + "<!--" * 50_000, "<p>x</p>" + "<div '\"" * 50_001 + ">"):
+        assert html.text_of(html.parse(page)).startswith("x")
+    assert html.text_of(html.parse("<div><p>one</p></span>two<b>th</b>ree</div>")) == "one twothree"
+    assert time.time() - start < 20
+
+
 def test_html_hidden_is_an_attribute_of_its_own():
     for attrs in ('class="overflow-hidden"', 'aria-hidden="false"', 'data-hidden="false"', "title='hidden'", 'data-style="display:none"'):
         assert html.text_of(html.parse(f"<body><div {attrs}><p>Shown text</p></div></body>")).strip() == "Shown text", attrs
