@@ -373,3 +373,6 @@ def similar(spark, sf):
 @_query("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_once(spark, sf):
     return arrivals.taken_in(spark, sf, "events.parquet", "event_id", "ts", "1 day").select("event_id", "user_id", "event_type")
+
+
+from lumenlake.operators import library_queries  # noqa: E402, F401  (registers its queries here)
