@@ -4,8 +4,8 @@ Texts become token ids of a public vocabulary with an end id after each. Each ta
 length without gaps, so a sequence may hold several texts or part of one, and only the last one of a task is partly empty.
 Sequences are numbered (a count for each stored part, then a running sum over the parts), and a keyed Feistel permutation of
 the numbers, walked along its cycles until it falls inside the range, gives every sequence its global slot: an order that
-needs no sort key to be stored and can be recomputed from the key. Each partition takes a range of slots, sorts it and writes
-it as shards of `per_shard` sequences of `stride` bytes, so slot s lies in shard s // per_shard at (s % per_shard) * stride
+needs no sort key to be stored and can be recomputed from the key. Each partition takes a range of slots and writes
+it, shard by shard, as files of `per_shard` sequences of `stride` bytes, so slot s lies in shard s // per_shard at (s % per_shard) * stride
 and a reader can go on from any slot. A shard is written under a name of its own and renamed, so tasks that run twice do no
 harm.
 
@@ -130,14 +130,26 @@ def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
         for b in batches:
             of, where = np.unique(b.column("stream").to_numpy(), return_inverse=True)
             slot = feistel(np.array([shared.value[x] for x in of.tolist()], np.int64)[where] + b.column("seq").to_numpy(), total, key)
-            yield pa.record_batch([pa.array(slot // per_shard), pa.array(slot), *b.columns], ["shard", "slot", *b.schema.names])
-
-    placed = seqs.mapInArrow(place, "shard long, slot long, stream long, seq long, doc_ids array<long>, n_tokens long, tokens binary")
+            order = np.argsort(slot)
+            slot, part = slot[order], b.take(pa.array(order))
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(slot // per_shard) > 0, [True]])).astype(np.int32)
+            raw = [t.as_py().ljust(stride, b"\xff") for t in part.column("tokens")]
+            packed = [codec().compress(b"".join(raw[i:j]), asbytes=True) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.record_batch(
+                [pa.array(slot[cut[:-1]] // per_shard), *(pa.ListArray.from_arrays(pa.array(cut), x) for x in (pa.array(slot), *(part.column(c) for c in ("stream", "seq", "doc_ids", "n_tokens")))), pa.array(packed, pa.binary())],
+                ["shard", "slot", "stream", "seq", "doc_ids", "n_tokens", "tokens"],
+            )
+
+    def codec():
+        return pa.Codec("zstd", compression_level=9)
+
+    # The sequences of a batch that go to one shard travel as one compressed row.
+    placed = seqs.mapInArrow(place, "shard long, slot array<long>, stream array<long>, seq array<long>, doc_ids array<array<long>>, n_tokens array<long>, tokens binary")
     # Slots are uniform over 0..total-1, so the bounds of equal ranges are known without a sample: each partition takes a run
     # of shards.
     shards = max(1, -(-total // per_shard))
     ranges = min(shards, MOST_RANGES)
-    placed = placed.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("slot")
+    placed = placed.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("shard")
 
     def write(batches):
         fs, base = pa.fs.FileSystem.from_uri(out if "://" in out or out.startswith("file:") else f"file://{out}")
@@ -152,18 +164,20 @@ def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
             fs.move(own, name)
 
         for b in batches:
-            at, slots, hashes = b.column("shard").to_pylist(), b.column("slot").to_pylist(), []
-            for s, slot, t in zip(at, slots, b.column("tokens"), strict=True):
-                raw = t.as_py()
+            for i, s in enumerate(b.column("shard").to_pylist()):
                 if s != shard:
                     if shard is not None:
                         close()
                     shard, body = s, bytearray(b"\xff" * (stride * min(per_shard, total - s * per_shard)))
-                lo = (slot % per_shard) * stride
-                body[lo : lo + len(raw)] = raw
-                hashes.append(hashlib.sha256(raw).hexdigest())
-            offset = np.array(slots, np.int64) % per_shard * stride
-            yield pa.record_batch([b.column("doc_ids"), b.column("stream"), b.column("seq"), b.column("slot"), b.column("shard"), pa.array(offset), b.column("n_tokens"), pa.array(hashes, pa.string())], ["doc_ids", "stream", "seq", "slot", "shard", "offset", "n_tokens", "tokens_sha256"])
+                meta = {c: b.column(c).slice(i, 1).flatten() for c in ("doc_ids", "stream", "seq", "slot", "n_tokens")}
+                at = meta["slot"].to_numpy() % per_shard * stride
+                raw = memoryview(codec().decompress(b.column("tokens")[i].as_py(), len(at) * stride, asbytes=True))
+                hashes = []
+                for j, (lo, n) in enumerate(zip(at.tolist(), meta["n_tokens"].to_pylist(), strict=True)):
+                    one = raw[j * stride : (j + 1) * stride]
+                    body[lo : lo + stride] = one
+                    hashes.append(hashlib.sha256(one[: 2 * n]).hexdigest())
+                yield pa.record_batch([meta["doc_ids"], meta["stream"], meta["seq"], meta["slot"], pa.array(np.full(len(at), s)), pa.array(at), meta["n_tokens"], pa.array(hashes, pa.string())], ["doc_ids", "stream", "seq", "slot", "shard", "offset", "n_tokens", "tokens_sha256"])
         if shard is not None:
             close()
 
