@@ -70,12 +70,11 @@ def cluster_sizes(spark, sf):
 @_query("""WITH m AS (SELECT label, pos, round(avg(x), 6) AS middle FROM (SELECT label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2),
 p AS (SELECT label, list(middle ORDER BY pos) AS middle FROM m GROUP BY 1),
 d AS (SELECT vec_id, p.label, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), middle) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(middle, middle))), 6) AS distance FROM embeddings, p)
-SELECT vec_id, label, round(distance, 4) AS distance, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, label) AS INT) AS place FROM d WHERE distance <= 0.95) WHERE place <= 5""")
+SELECT vec_id, label, distance, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, label) AS INT) AS place FROM d WHERE distance <= 0.95) WHERE place <= 5""")
 def prototype_neighbours(spark, sf):
     e = _t(spark, sf, "embeddings")
     middles = search.middles(e, "label", "embedding").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "middle"))), lambda x: x["middle"]).alias("middle"))
-    found = picks.prototype_neighbours(e.select("vec_id", "embedding"), "vec_id", "embedding", middles, "label", "middle", 0.95, 5)
-    return found.withColumn("distance", F.round("distance", 4))
+    return picks.prototype_neighbours(e.select("vec_id", "embedding"), "vec_id", "embedding", middles, "label", "middle", 0.95, 5)
 
 
 @_query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND event_type IN ('click', 'view') AND value BETWEEN 1 AND 50")
