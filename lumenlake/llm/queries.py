@@ -23,7 +23,7 @@ def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_token_shards(spark: SparkSession, sf: str) -> DataFrame:
-    return shards.materialise(_read(spark, sf, "documents"))[0]
+    return shards.materialise(_read(spark, sf, "documents"), stored=False)[0]
 
 
 def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:

@@ -114,8 +114,10 @@ def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
     return C.stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "stream long, seq long, doc_ids array<long>, n_tokens long, tokens binary"), "sequences")
 
 
-def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key: int = 20240229, vocabulary: str = VOCABULARY, out: str | None = None) -> tuple[DataFrame, str, int]:
-    """(one row for each sequence: doc_ids, stream, seq, slot, shard, offset, n_tokens, tokens_sha256; folder; number of sequences)."""
+def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key: int = 20240229, vocabulary: str = VOCABULARY, out: str | None = None, stored: bool = True) -> tuple[DataFrame, str, int]:
+    """With stored=False the shards are written as the rows are first read, and again, alike, whenever they are read anew.
+
+    (one row for each sequence: doc_ids, stream, seq, slot, shard, offset, n_tokens, tokens_sha256; folder; number of sequences)."""
     spark = docs.sparkSession
     out = out or f"{C.shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     stride = 2 * length
@@ -141,7 +143,7 @@ def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
             )
 
     def codec():
-        return pa.Codec("zstd", compression_level=9)
+        return pa.Codec("zstd", compression_level=5)
 
     # The sequences of a batch that go to one shard travel as one compressed row.
     placed = seqs.mapInArrow(place, "shard long, slot array<long>, stream array<long>, seq array<long>, doc_ids array<array<long>>, n_tokens array<long>, tokens binary")
@@ -182,7 +184,7 @@ def materialise(docs: DataFrame, length: int = 512, per_shard: int = 4096, key:
             close()
 
     done = placed.mapInArrow(write, "doc_ids array<long>, stream long, seq long, slot long, shard long, offset long, n_tokens long, tokens_sha256 string")
-    return C.stored(done, "index"), out, total
+    return C.stored(done, "index") if stored else done, out, total
 
 
 def read_from(folder: str, slot: int, length: int = 512, per_shard: int = 4096) -> Iterator[np.ndarray]:
