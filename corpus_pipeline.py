@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenlake.llm import pipeline as P
 
 STAGES = P.STAGES
-#: Learned models and components cannot be told in SQL: the pipeline is tested against a brute-force version.
+#: Learned models and components cannot be told in SQL: its stages are tested one by one.
 ORACLE_SQL = None
 
 
