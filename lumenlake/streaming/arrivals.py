@@ -16,7 +16,10 @@ def once(arrivals: DataFrame, key: str, time: str, late: str) -> DataFrame:
 
 def taken_in(spark: SparkSession, folder: str, name: str, key: str, time: str, late: str) -> DataFrame:
     """All files `name` of a folder that have come so far, streamed through `once` to a table in the shared folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenlake-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    at = at or tempfile.mkdtemp(prefix="lumenlake-")
     base = f"{at}/arrivals-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{folder}/{name}").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
