@@ -375,4 +375,4 @@ def stream_once(spark, sf):
     return arrivals.taken_in(spark, sf, "events.parquet", "event_id", "ts", "1 day").select("event_id", "user_id", "event_type")
 
 
-from lumenlake.operators import library_queries  # noqa: E402, F401  (registers its queries here)
+from lumenlake.operators import file_queries, fulltext_queries, library_queries  # noqa: E402, F401  (they register their queries here)
