@@ -13,7 +13,7 @@ def rows(columns, got):
     return sorted(tuple(round(r[i], 6) if isinstance(r[i], float) and not math.isnan(r[i]) else str(r[i]) for i in order) for r in got)
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_matches_sql(spark, sf, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings conversations".split():
