@@ -68,6 +68,14 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, lengthened until no column of the frames is called so (case does not tell names apart in Spark)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past the last, bytes, bounds of each row in them) of runs of rows of about size bytes; null is empty."""
     texts = texts.fill_null(b"") if texts.null_count else texts

@@ -11,7 +11,8 @@ sketch then says which pairs are candidates, so it rules pairs out and does not
 Words are maximal runs of letters and digits, lower-cased, so punctuation and line breaks do not matter.
 
 Defined cases: null or wordless texts and items match nothing; an item of fewer than k words is one shingle of all its
-words, sought at that length; repeated items are answered each, rows that share a doc_id as one text; an empty benchmark gives no rows.
+words, sought at that length; repeated items are answered each; rows that share a doc_id are measured each by itself and answered by
+the one that holds most of an item; an empty benchmark gives no rows.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, containment: float
     def rows(batches):
         bits, lengths = shared.value
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("_text").to_numpy(zero_copy_only=False)
             for lo, hi, data, bounds in C.blocks(b.column("text")):
                 w = C.split(data, bounds, space=PARTS)
                 hs, rs = [], []
@@ -118,12 +119,13 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, containment: float
                     rs.append(r[hit])
                 if hs and sum(map(len, hs)):
                     h, at = C.distinct(np.concatenate(hs), np.concatenate(rs), hi - lo)
-                    yield pa.record_batch([pa.array(np.repeat(ids[lo:hi], np.diff(at)), pa.int64()), pa.array(h.view(np.int64))], ["doc_id", "h"])
+                    yield pa.record_batch([pa.array(np.repeat(ids[lo:hi], np.diff(at)), pa.int64()), pa.array(np.repeat(texts[lo:hi], np.diff(at)), pa.int64()), pa.array(h.view(np.int64))], ["doc_id", "_text", "h"])
 
-    found = docs.select(F.col("doc_id").cast("long"), C.byte_texts(docs)).where("doc_id is not null").mapInArrow(rows, "doc_id long, h long")
-    pairs = found.distinct().join(shingle, "h").groupBy("doc_id", "_item").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("n_shingles"), F.max("sketched").alias("met"))
+    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("_text"), C.byte_texts(docs)).where("doc_id is not null").mapInArrow(rows, "doc_id long, _text long, h long")
+    pairs = found.distinct().join(shingle, "h").groupBy("doc_id", "_text", "_item").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("n_shingles"), F.max("sketched").alias("met"))
     least = F.ceil(F.col("n_shingles") * F.lit(containment) - 1e-9)
     repeats = items.where("item_id is not null").groupBy(F.col("item_id").cast("long").alias("_item")).count().where("count > 1")
     if not repeats.isEmpty():  # rows that share an item_id would add up
         pairs = pairs.join(repeats, "_item", "left").withColumn("n", F.least("n", "n_shingles")).drop("count")
-    return pairs.where(F.col("met") & (F.col("n") >= least)).select("doc_id", F.col("_item").alias("item_id"), "n_shingles", F.col("n").alias("n_shared"), (F.col("n") / F.col("n_shingles")).alias("containment"))
+    best = pairs.where(F.col("met") & (F.col("n") >= least)).groupBy("doc_id", "_item").agg(F.max("n").alias("n"), F.max("n_shingles").alias("n_shingles"))
+    return best.select("doc_id", F.col("_item").alias("item_id"), "n_shingles", F.col("n").alias("n_shared"), (F.col("n") / F.col("n_shingles")).alias("containment"))

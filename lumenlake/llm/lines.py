@@ -10,6 +10,8 @@ document and null doc_id as one more; repeated rows get the same answer each; ex
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,10 +57,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     return word.groupBy("_doc", "_text_hash").agg(F.collect_list(F.struct("word", "bits")).alias("lost"))
 
 
-def dedup_text(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, long_words: int | None = None, long_docs: int = 2) -> DataFrame:
-    """docs with _kept (the text without its lost lines), _n_lines and _n_dropped."""
+def dedup_text(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, long_words: int | None = None, long_docs: int = 2, names: Sequence[str] = ("_kept", "_n_lines", "_n_dropped")) -> DataFrame:
+    """docs with the text without its lost lines, its number of lines and of lost ones, under `names`, which no column of docs may
+    have. Other columns of docs may be called anything."""
     bitmaps = keep_bitmaps(docs, min_docs, keep_first, long_words, long_docs)
-    left = docs.select(docs["*"], *_row_key(docs))
+    left = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)), docs["text"].alias("text"), *_row_key(docs))
     on = left["_doc"].eqNullSafe(bitmaps["_doc"]) & (left["_text_hash"] == bitmaps["_text_hash"])
     joined = left.join(bitmaps.withColumnRenamed("lost", "_lost"), on, "left").drop("_doc", "_text_hash")
     text = F.coalesce(joined["text"].cast("string"), F.lit(""))
@@ -70,10 +73,10 @@ def dedup_text(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, lo
     dropped = F.aggregate("_lost", F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x["bits"]))
     n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     return out.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        F.when(F.col("_lost").isNull(), text).otherwise(kept).alias("_kept"),
-        n_lines.cast("long").alias("_n_lines"),
-        F.coalesce(dropped, F.lit(0).cast("long")).alias("_n_dropped"),
+        *(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)),
+        F.when(F.col("_lost").isNull(), text).otherwise(kept).alias(names[0]),
+        n_lines.cast("long").alias(names[1]),
+        F.coalesce(dropped, F.lit(0).cast("long")).alias(names[2]),
     )
 
 

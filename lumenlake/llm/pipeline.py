@@ -12,32 +12,34 @@ from lumenlake.llm import decontam, jaccard, lines, pieces, toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of a half or more go; null and empty texts stay."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.apply(docs, model, keep=docs.columns)
-    return scored.where((F.col("_score") < 0.5) | F.coalesce(F.length("text") == 0, F.lit(True))).select(*docs.columns)
+    score = C.fresh("_score", docs)
+    scored = toxicity.apply(docs, model, docs.columns, score)
+    return scored.where((F.col(score) < 0.5) | F.coalesce(F.length("text") == 0, F.lit(True))).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more stay in the first one only, whole equal lines of over 50 words that two documents
     share too (not passages broken over lines, wrapped otherwise or inside a longer line); a document that loses all its words goes, one that had none stays. n_chars follows the text."""
-    done = lines.dedup_text(docs, min_docs=10, keep_first=True, long_words=50, long_docs=2)
-    left = done.where((F.col("_n_dropped") == 0) | (F.length(F.trim(F.col("_kept"), F.lit(lines.SPACE))) > 0))
-    changed = F.col("_n_dropped") > 0
-    values = {"text": F.when(changed, F.col("_kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    names = kept, _, dropped = [C.fresh(n, docs) for n in ("_kept", "_n_lines", "_n_dropped")]
+    done = lines.dedup_text(docs, min_docs=10, keep_first=True, long_words=50, long_docs=2, names=names)
+    left = done.where((F.col(dropped) == 0) | (F.length(F.trim(F.col(kept), F.lit(lines.SPACE))) > 0))
+    changed = F.col(dropped) > 0
+    values = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(kept).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return left.select(*(values[c].alias(c) if values.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays; rows that repeat it go."""
     found = jaccard.near_components(docs, k=5, percent=80)
-    gone = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(C.fresh("_gone", docs))).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == F.col(gone.columns[0]), "left_anti")
     return C.stored(left, "near").dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold four fifths or more of a benchmark item's shingles go."""
-    hit = decontam.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == F.col("_hit"), "left_anti")
+    hit = decontam.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(C.fresh("_hit", docs))).distinct()
+    return docs.join(hit, docs["doc_id"].cast("long") == F.col(hit.columns[0]), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -237,8 +237,9 @@ def fit(learn: DataFrame, labels: DataFrame, sample: int = 2400) -> ToxicityMode
     return ToxicityModel(letters, floor, weights, coef, bias)
 
 
-def apply(docs: DataFrame, model: ToxicityModel | None, keep: list[str] | None = None) -> DataFrame:
-    """doc_id and score for each row; with keep, those columns of docs instead of doc_id."""
+def apply(docs: DataFrame, model: ToxicityModel | None, keep: list[str] | None = None, score: str = "_score") -> DataFrame:
+    """doc_id and score for each row; with keep, those columns of docs instead of doc_id, and the score under a name that is not
+    among them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the sample's vocabulary, and the trigrams of letters
 
     def scores(texts: pa.Array) -> pa.Array:
@@ -253,11 +254,11 @@ def apply(docs: DataFrame, model: ToxicityModel | None, keep: list[str] | None =
 
     def whole(batches):
         for b in batches:
-            yield pa.record_batch([*(b.column(c) for c in keep), scores(b.column("_bytes"))], [*keep, "_score"])
+            yield pa.record_batch([*b.columns[:-1], scores(b.columns[-1])], [*keep, score])
 
     if keep is None:
         return docs.select(F.col("doc_id").cast("long"), C.byte_texts(docs)).mapInArrow(rows, "doc_id long, score double")
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.select(*keep, docs["text"].cast("binary").alias("_bytes")).mapInArrow(whole, schema)
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(score, T.DoubleType())])
+    return docs.select(*keep, docs["text"].cast("binary").alias(C.fresh("_bytes", docs))).mapInArrow(whole, schema)

@@ -161,6 +161,23 @@ def test_line_dedup_keeps_first_and_long_passages(spark):
     assert got == {1: f"a\n{passage}", 2: "b", 3: "", 4: "short", 5: "short"}
 
 
+def test_clashing_names(spark):
+    extra = ["_doc", "_text_hash", "_lost", "_bits", "_lines", "_kept", "_n_lines", "_N_dropped", "_bytes", "_score", "_gone", "_hit"]
+    d = spark.createDataFrame([(1, "a b c\nx", *range(12)), (2, "A B C\ny", *range(12))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in extra))
+    got = lines.dedup_text(d, 2, names=("k", "n", "lost"))
+    assert got.columns == [*d.columns, "k", "n", "lost"] and {(r["doc_id"], r["k"], r["n"], r["lost"], r["_doc"], r["_lines"]) for r in got.collect()} == {(1, "x", 2, 1, 0, 4), (2, "y", 2, 1, 0, 4)}
+    assert toxicity.apply(d, None, d.columns, "s").columns == [*d.columns, "s"] and toxicity.apply(d, None, d.columns, "s").count() == 2
+    for stage in (pipeline.drop_lines, pipeline.drop_near):
+        assert stage(spark, d, "").columns == d.columns and stage(spark, d, "").count() == 2
+
+
+def test_rows_with_one_doc_id_do_not_add_up(spark):
+    w = [f"w{i}" for i in range(24)]
+    d = spark.createDataFrame([(1, " ".join(w[:14])), (1, " ".join(w[10:])), (2, " ".join(w)), (2, " ".join(w[:23]))], "doc_id long, text string")
+    got = decontam.contained(d, spark.createDataFrame([(9, " ".join(w))], "item_id long, text string"))
+    assert [tuple(r) for r in got.collect()] == [(2, 9, 20, 20, 1.0)]
+
+
 def test_contained(spark, rows, docs, none):
     items = [(1, rows[0][1]), (2, rows[5][1].upper()), (3, "one"), (4, "no such words anywhere in it"), (5, None), (6, ""), (7, rows[0][1])]
     got = decontam.contained(docs, spark.createDataFrame(items, "item_id long, text string"))
