@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm import common as C
-from lumenlake.llm import decontam, html, jaccard, langid, lines, lm, pieces, quality, shards, toxicity
+from lumenlake.llm import decontam, divergence, fim, html, jaccard, langid, lines, lm, pieces, quality, shards, toxicity, urls
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -62,5 +62,23 @@ def op10_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html.extract(_read(spark, sf, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_token_shards, op3_sentencepiece, op4_quality_rules, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_toxicity, op10_html_extraction)}
-ORACLES: dict[str, str] = {"op8_line_dedup": lines.ORACLE}
+#: The rules of op11, fixed by its contract.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op11_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(_read(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fim.transform(_read(spark, sf, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_token_shards, op3_sentencepiece, op4_quality_rules, op5_benchmark_decontamination, op6_ngram_jaccard_join, op7_language_id, op8_line_dedup, op9_toxicity, op10_html_extraction, op11_url_filters, op12_fill_in_middle, op13_source_divergence)}
+ORACLES: dict[str, str] = {"op8_line_dedup": lines.ORACLE, "op11_url_filters": urls.oracle(URL_RULES), "op12_fill_in_middle": fim.ORACLE, "op13_source_divergence": divergence.ORACLE}
