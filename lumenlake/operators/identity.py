@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenlake.operators import vectors
+from lumenlake.operators.groups import written
 from lumenlake.operators.picks import _cosine, first_of
 
 # Distances and bars.
@@ -78,17 +80,54 @@ def assigned(faces: DataFrame, prototypes: DataFrame, rejected: DataFrame) -> Da
     MIDDLE where the face is not good), 'suggested' (within LIKELY) of the nearest person that is not ruled out.
 
     Ruled out are those of rejected (face, person) and those already in the medium. prototypes: person, middle; a few for each
-    person, their number follows the persons and not the faces. One pass; faces named in it do not rule each other out."""
+    person. Faces meet an index of them, so only persons within LIKELY come up. One pass; faces named in it do not rule each
+    other out."""
     free = faces.where(F.col("person").isNull()).select("face", "medium", "vector", "pixels", "score")
-    d = free.join(prototypes.select("person", "middle"), F.lit(True)).groupBy("face", "medium", "pixels", "score", "person").agg(F.min(F.round(_cosine(F.col("vector"), F.col("middle")), 6)).alias("distance"))
-    there = faces.where(F.col("person").isNotNull()).select("medium", "person").distinct()
-    open_ = d.where(F.col("distance") <= LIKELY).join(there, ["medium", "person"], "left_anti").join(rejected.select("face", "person").distinct(), ["face", "person"], "left_anti")
+    numbered = written(prototypes.select("person", "middle").withColumn("_id", F.monotonically_increasing_id()))
+    met = vectors.neighbours(vectors.build(numbered, "_id", "middle"), free, "face", "vector", LIKELY)
+    d = met.join(numbered.select(F.col("_id").alias("found"), "person"), "found").groupBy(F.col("question").alias("face"), "person").agg(F.min("distance").alias("distance"))
+    d = d.join(free.drop("vector"), "face")
+    open_ = _not_ruled_out(d, faces, rejected)
     best = first_of(open_, ["face"], [F.col("distance"), F.col("person")])
     fine = good(F.col("pixels"), F.col("score"))
     outcome = F.when((F.col("distance") <= SAFE) & fine, "trusted").when(F.col("distance") <= F.when(fine, SURE).otherwise(MIDDLE), "auto").otherwise("suggested")
     return best.select("face", "person", "distance", outcome.alias("outcome"))
 
 
+def _not_ruled_out(met: DataFrame, faces: DataFrame, rejected: DataFrame) -> DataFrame:
+    there = faces.where(F.col("person").isNotNull()).select("medium", "person").distinct()
+    return met.join(there, ["medium", "person"], "left_anti").join(rejected.select("face", "person").distinct(), ["face", "person"], "left_anti")
+
+
+def named(faces: DataFrame, prototypes: DataFrame, rejected: DataFrame, sure: float = SURE, safe: float = SAFE, middle: float = MIDDLE, likely: float = LIKELY, asked: int = 10) -> DataFrame:
+    """face, person, distance, outcome of faces that no user named, where a person comes up: first asked are the vouching faces
+    (within `sure`: 'trusted' if within `safe` and the face is good, else 'auto'), then the middles (within `middle`: 'auto'),
+    then all named faces (within `likely`: 'suggested').
+
+    Each list holds the `asked` nearest (of the middles 5), of which those ruled out fall away: rejected (face, person), and
+    persons on another face of the medium. A face does not speak for itself. faces: face, medium, vector, pixels, score, person,
+    assigned_by, trusted. One pass: all faces see the names as they were before it. Null vectors come up with nothing."""
+    f = faces.select("face", "medium", "vector", "pixels", "score", "person", "assigned_by", "trusted")
+    asking = f.where(~F.coalesce(F.col("assigned_by") == "user", F.lit(False)))
+    index = vectors.build(f.where("person is not null"), "face", "vector", keep=["person", "pixels", "score", "assigned_by", "trusted"])
+    vouches = F.coalesce(F.col("assigned_by") == "user", F.lit(False)) | (F.coalesce("trusted", F.lit(False)) & good(F.col("pixels"), F.col("score")))
+    of = index.table.select(F.col("face").alias("found"), "person").distinct()
+    lists = []
+    for place, condition, radius in ((0, vouches, sure), (2, None, likely)):
+        lists.append(vectors.neighbours(index, asking, "face", "vector", radius, asked, itself=False, where=condition).join(of, "found").select(F.col("question").alias("face"), "person", "distance", F.lit(place).alias("list")))
+    numbered = written(prototypes.select("person", "middle").withColumn("_id", F.monotonically_increasing_id()))
+    near = vectors.neighbours(vectors.build(numbered, "_id", "middle"), asking, "face", "vector", middle, 5)
+    lists.append(near.join(numbered.select(F.col("_id").alias("found"), "person"), "found").select(F.col("question").alias("face"), "person", "distance", F.lit(1).alias("list")))
+    met = lists[0].unionByName(lists[1]).unionByName(lists[2]).join(asking.select("face", "medium", "pixels", "score"), "face")
+    others = f.where("person is not null").select("medium", "person", F.col("face").alias("_other")).groupBy("medium", "person").agg(F.min("_other").alias("_lo"), F.max("_other").alias("_hi"))
+    met = met.join(others, ["medium", "person"], "left").where("_lo is null or (_lo = face and _hi = face)")
+    met = met.join(rejected.select("face", "person").distinct(), ["face", "person"], "left_anti")
+    best = first_of(met, ["face"], [F.col("list"), F.col("distance"), F.col("person")])
+    trusted = (F.col("distance") <= safe) & good(F.col("pixels"), F.col("score"))
+    outcome = F.when(F.col("list") == 2, "suggested").when((F.col("list") == 0) & trusted, "trusted").otherwise("auto")
+    return best.select("face", "person", "distance", outcome.alias("outcome"))
+
+
 def collapsed(faces: DataFrame) -> DataFrame:
     """The faces, each person left on one face of a medium (a user's first, then the clearest), guesses dropped that the medium
     has answered, and one open question for each person and medium (the nearest, then the clearest)."""

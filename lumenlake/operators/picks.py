@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenlake.operators import vectors as vectors_
+from lumenlake.operators.groups import written
+
 
 def first_of(rows: DataFrame, group: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first k rows of each group in an order, with their place."""
@@ -68,7 +71,9 @@ def _cosine(a: Column, b: Column) -> Column:
 
 
 def prototype_neighbours(vectors: DataFrame, key: str, vector: str, prototypes: DataFrame, name: str, middle: str, radius: float, k: int) -> DataFrame:
-    """key, name, distance, place: the k nearest prototypes within radius of each row. Prototypes are few (one for each name)
-    and are joined by Spark as it sees fit; rows without a vector, or with one of no length, have none."""
-    pairs = vectors.join(prototypes, F.lit(True)).select(key, name, F.round(_cosine(F.col(vector), F.col(middle)), 6).alias("distance"))
-    return first_of(pairs.where(F.col("distance") <= radius), [key], [F.col("distance"), F.col(name)], k)
+    """key, name, distance, place: the k nearest prototypes within radius of each row, by an index of the prototypes. key is a
+    whole number; rows without a vector, or with one of no length, have none."""
+    numbered = written(prototypes.select(name, middle).withColumn("_id", F.monotonically_increasing_id()))
+    pairs = vectors_.neighbours(vectors_.build(numbered, "_id", middle), vectors, key, vector, radius)
+    named = pairs.join(numbered.select(F.col("_id").alias("found"), name), "found").select(F.col("question").alias(key), name, "distance")
+    return first_of(named, [key], [F.col("distance"), F.col(name)], k)
