@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a fingerprint, and the parts it is blocked by: prints that differ in at most PARTS - 1 bits share a part.
@@ -43,18 +43,23 @@ def near_ties(rows: DataFrame, key: str, prints: str, bits: int = PARTS - 1) ->
     return cut.join(other, ["part", "value"]).where((F.col("k") < F.col("k2")) & close).select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the folder that all machines share and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
+def shared_path(spark: SparkSession) -> str:
+    """A fresh name in the folder of spark.checkpoint.dir, which all machines share. Where that is unset, a temporary folder in
+    local mode; on a cluster an error, for a machine's own folder would lose data."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         at = tempfile.mkdtemp(prefix="lumenlake-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/labels-{uuid.uuid4().hex}"
+    return f"{at}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the folder that all machines share and read again: cuts lineage, survives lost executors."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(ties: DataFrame) -> DataFrame:
