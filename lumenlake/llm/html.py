@@ -35,9 +35,11 @@ ASIDE = frozenset("nav header footer aside form menu dialog button head script s
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
-#: Words of class, id or role that name what is not the article.
+#: Names of class, id or role for what is not the article.
 ASIDE_WORDS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs header footer cookie cookies consent notice notices comment comments disqus share sharing social related newsletter subscribe signup login popup modal widget toolbar pagination".split())
 
+COMMENTS = frozenset("comment comments disqus".split())
+
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*+)>|([^>]*)>)|([^<]+|<)", re.S | re.I)
 #: Elements nested deeper are read as part of the one at this depth: their text stays, block by block.
 DEPTH = 200
@@ -54,10 +56,12 @@ BROADCAST_HOSTS = 20_000
 
 
 class Node:
-    __slots__ = ("tag", "kids")
+    """An element; aside is 2 if a name of it says that it is not the article, 1 if only a part of a name does (no-sidebar)."""
+
+    __slots__ = ("tag", "kids", "aside")
 
-    def __init__(self, tag: str):
-        self.tag, self.kids = tag, []
+    def __init__(self, tag: str, aside: int = 0):
+        self.tag, self.kids, self.aside = tag, [], aside
 
 
 def hidden(attrs: str) -> bool:
@@ -72,7 +76,8 @@ def hidden(attrs: str) -> bool:
 
 
 def parse(page: str) -> Node:
-    """The element tree; text tokens are strings. Asides are one leaf tagged '-'. End tags that HTML lets authors omit are implied."""
+    """The element tree; text tokens are strings. Asides are one leaf tagged '-' (settled). End tags that HTML lets authors omit are
+    implied."""
     root = Node("#")
     stack = [root]
     skip: list[str] = []
@@ -127,14 +132,19 @@ def parse(page: str) -> Node:
                     del stack[i:]
                     break
         named = [a or b or c for a, b, c in _NAMED.findall(attrs)] if "=" in attrs else []
+        names = set(" ".join(named).lower().split())
         words = set(_WORD.findall(" ".join(named).lower()))
         inside = any(n.tag.partition(".")[0] in ("article", "main") for n in stack)
-        aside = name in ASIDE and not (name == "header" and inside)
-        if aside or (name not in ("html", "body", "article", "main") and (words & ASIDE_WORDS or (attrs and hidden(attrs)))):
+        if (name in ASIDE and not (name == "header" and inside)) or (name not in ("html", "body", "article", "main") and attrs and hidden(attrs)):
             stack[-1].kids.append(Node("-"))
             if name not in VOID:
                 skip = [name]
             continue
+        aside = 2 if names & ASIDE_WORDS else 1 if words & ASIDE_WORDS and not inside else 0
+        if name in ("html", "body", "main") or (name == "article" and not (aside == 2 and (inside or names & COMMENTS))):
+            aside = 0
+        if aside == 2 and names & COMMENTS:
+            aside = 3
         if len(stack) > DEPTH:
             if name not in INLINE:
                 stack[-1].kids.append("\n")
@@ -142,10 +152,36 @@ def parse(page: str) -> Node:
                 deep.append(name)
                 open_deep[name] += 1
             continue
-        node = Node(name if name in ("html", "body") or not named else name + "." + ".".join(sorted(words)))
+        node = Node(name if name in ("html", "body") or not named else name + "." + ".".join(sorted(words)), aside)
         stack[-1].kids.append(node)
         if name not in VOID and not attrs.endswith("/"):
             stack.append(node)
+    return settled(root)
+
+
+def settled(root: Node) -> Node:
+    """The tree with its asides made leaves. Reader comments always are. What is named an aside stays if it holds an article or a
+    main element or half of the page's text; what only has such a word within a name, also if it holds an h1."""
+    order: list[tuple[Node, Node | None]] = []
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
+    while stack:
+        x, parent = stack.pop()
+        order.append((x, parent))
+        stack += [(k, x) for k in x.kids if isinstance(k, Node)]
+    mass: dict[int, int] = {}
+    holds: dict[int, int] = {}  # 1: an h1, 2: an article or main
+    for x, parent in reversed(order):  # what is below comes first
+        mine = sum(len(k.strip()) for k in x.kids if isinstance(k, str)) + mass.get(id(x), 0)
+        name = x.tag.partition(".")[0]
+        has = max(holds.get(id(x), 0), 2 if name in ("article", "main") and not x.aside else 1 if name == "h1" else 0)
+        mass[id(x)], holds[id(x)] = mine, has
+        if parent is not None and x.aside < 3:
+            mass[id(parent)] = mass.get(id(parent), 0) + mine
+            holds[id(parent)] = max(holds.get(id(parent), 0), has)
+    whole = mass[id(root)]
+    for x, _ in order:
+        if x.aside == 3 or (x.aside and 2 * mass[id(x)] < whole and holds[id(x)] < x.aside):
+            x.tag, x.kids = "-", []
     return root
 
 
@@ -206,6 +242,49 @@ def _append(kids: list, w: list) -> None:
         kids.append(w)
 
 
+#: Cells of the table that two runs of siblings are aligned by; longer ones are aligned in one pass.
+CELLS = 250_000
+
+
+def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence: like ends first, then the longest one of what lies between; where that is too long for a
+    table, each tag with its next like one, which takes time in proportion."""
+    lo, n, m = 0, len(x), len(y)
+    while lo < min(n, m) and x[lo] == y[lo]:
+        lo += 1
+    while n > lo and m > lo and x[n - 1] == y[m - 1]:
+        n, m = n - 1, m - 1
+    out = [(i, i) for i in range(lo)]
+    a, b = x[lo:n], y[lo:m]
+    if len(a) * len(b) > CELLS:
+        at: dict[str, list[int]] = {}
+        for j in range(len(b) - 1, -1, -1):
+            at.setdefault(b[j], []).append(j)
+        j = -1
+        for i, tag in enumerate(a):
+            later = at.get(tag, [])
+            while later and later[-1] <= j:
+                later.pop()
+            if later and later[-1] - j <= len(a) - i + 16:  # not so far that little of the rest is left
+                j = later.pop()
+                out.append((lo + i, lo + j))
+    elif a and b:
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.append((lo + i, lo + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return out + [(n + k, m + k) for k in range(len(x) - n)]
+
+
 def merge(a: list, b: list) -> list:
     """Aligns two wrappers of one element: siblings in common by their longest common sequence, the others optional."""
     texts = [a[4][0] + b[4][0], a[4][1] if a[4][1] == b[4][1] else None]
@@ -214,21 +293,14 @@ def merge(a: list, b: list) -> list:
     if [k[0] for k in x] == [k[0] for k in y]:
         kids = [merge(p, q) for p, q in zip(x, y, strict=True)]
     else:
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
         kids = []
         i = j = 0
-        while i < n or j < m:
-            if i < n and j < m and x[i][0] == y[j][0]:
-                k = merge(x[i], y[j])
-                i, j = i + 1, j + 1
-            elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-                k, i = [*x[i][:2], True, *x[i][3:]], i + 1
-            else:
-                k, j = [*y[j][:2], True, *y[j][3:]], j + 1
-            _append(kids, k)
+        for p, q in [*_common([k[0] for k in x], [k[0] for k in y]), (n, m)]:
+            for k in (*x[i:p], *y[j:q]):  # found on one side alone
+                _append(kids, [*k[:2], True, *k[3:]])
+            if p < n:
+                _append(kids, merge(x[p], y[q]))
+            i, j = p + 1, q + 1
     return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], texts, kids]
 
 
@@ -239,18 +311,23 @@ def _mass(w: list) -> int:
 
 
 def main_path(w: list) -> list[str]:
-    """Tags from below the root to the main region."""
-    found: list[tuple[int, int, list[str]]] = []
+    """Tags from below the root to the main region: of the outermost article and main elements the one with the most text, and
+    within it the one that holds more than half of that. Without any, the smallest element that holds most of the text."""
 
-    def walk(x: list, path: list[str]) -> None:
+    def outermost(x: list, path: list[str]) -> list[tuple[int, list[str], list]]:
         if x[0].partition(".")[0] in ("article", "main") or ".main" in x[0]:
-            found.append((1 if x[0].startswith("article") else 0, _mass(x), path))
-        for k in x[5]:
-            walk(k, [*path, k[0]])
+            return [(_mass(x), path, x)]
+        return [f for k in x[5] for f in outermost(k, [*path, k[0]])]
 
-    walk(w, [])
-    if found:
-        return max(found, key=lambda f: (f[0], f[1], -len(f[2])))[2]
+    best, found = None, outermost(w, [])
+    while found:
+        mass, path, x = max(found, key=lambda f: f[0])  # of equals the first in the page
+        if best is not None and 2 * mass <= best[0]:
+            break
+        best = (mass, path)
+        found = [f for k in x[5] for f in outermost(k, [*path, k[0]])]
+    if best is not None:
+        return best[1]
     path, total = [], _mass(w)
     while w[5]:
         top = max(w[5], key=_mass)
