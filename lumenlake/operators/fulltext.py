@@ -17,7 +17,8 @@ from lumenlake.operators import search
 # Words for kinds and months in a query, and words that join.
 KINDS = {"photo": "image", "photos": "image", "foto": "image", "fotos": "image", "video": "video", "videos": "video", "film": "video"}
 MONTHS = ["januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"]
-SEASONS = {"frühling": (3, 6), "sommer": (6, 9), "herbst": (9, 12)}
+SHORT = {"jan": 1, "feb": 2, "maerz": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "okt": 10, "nov": 11, "dez": 12}
+SEASONS = {"frühling": (3, 6), "fruehling": (3, 6), "frühjahr": (3, 6), "sommer": (6, 9), "herbst": (9, 12), "winter": (12, 15)}
 JOINING = ["und", "mit", "in", "im", "aus", "von", "bei", "&"]
 
 
@@ -114,10 +115,10 @@ class Understood:
 
 
 def understood(query: str, known: DataFrame | None = None, name: str = "name") -> Understood:
-    """Years ('2019', '2019-2021'), months and seasons with a year, a kind, and names of up to three words out of a table, the
+    """Years ('2019', '2019-2021', '2019 bis 2021'), months and seasons with a year (winter reaches into the next), a kind, and names of up to three words out of a table, the
     longest first from left to right; joining words that are left at an end go. Only names that hold a word of the query
     are read from the table, no more than the query has runs of words."""
-    words = query.split()
+    words = re.sub(r"(?<!\S)(\d{4})\s*(?:-|–|\sbis\s)\s*(\d{4})(?!\S)", r"\1-\2", query).split()
     runs = [" ".join(words[i : i + n]).lower() for n in (3, 2, 1) for i in range(len(words) - n + 1)]
     hits = {r[0] for r in known.where(F.lower(F.col(name)).isin(runs)).select(F.lower(F.col(name))).distinct().collect()} if known is not None and runs else set()
     out, rest, i = Understood(""), [], 0
@@ -131,10 +132,12 @@ def understood(query: str, known: DataFrame | None = None, name: str = "name") -
         year = re.fullmatch(r"((?:19|20)\d\d)(?:-((?:19|20)\d\d))?", w)
         if year and not out.since:
             a, z, first, last = int(year[1]), int(year[2] or year[1]), 1, 13
-            if rest and not year[2] and (rest[-1].lower() in MONTHS or rest[-1].lower() in SEASONS):
-                part = rest.pop().lower()
-                first, last = SEASONS[part] if part in SEASONS else (MONTHS.index(part) + 1, MONTHS.index(part) + 2)
-            out.since, out.until = f"{min(a, z)}-{first:02d}-01", f"{max(a, z) + last // 13}-{(last - 1) % 12 + 1:02d}-01"
+            part = rest[-1].lower() if rest and not year[2] else ""
+            if part in MONTHS or part in SHORT or part in SEASONS:
+                rest.pop()
+                month = SHORT.get(part) or (MONTHS.index(part) + 1 if part in MONTHS else 0)
+                first, last = SEASONS.get(part) or (month, month + 1)
+            out.since, out.until = f"{min(a, z)}-{first:02d}-01", f"{max(a, z) + (last - 1) // 12}-{(last - 1) % 12 + 1:02d}-01"
         elif w in KINDS and not out.kind:
             out.kind = KINDS[w]
         else:
@@ -158,8 +161,8 @@ def find(query: str, sources: list[tuple[float, DataFrame]], media: DataFrame, p
         keep = keep.where((F.col("at") >= F.lit(said.since).cast("timestamp")) & (F.col("at") < F.lit(said.until).cast("timestamp")))
     if said.kind:
         keep = keep.where(F.col("kind") == said.kind)
-    for person in said.names:
-        keep = keep.where(F.lower("person") == person)
+    if said.names:  # all of them in one medium, which has a row for each
+        keep = keep.join(search.all_of(keep.select("key", F.lower("person").alias("_who")), "key", "_who", sorted(set(said.names))), "key", "left_semi")
     if not said.rest:
         return said, keep.select("key", F.lit(0.0).alias("score"), F.lit(None).cast("long").alias("moment")).distinct()
     keys = keep.select("key").distinct()
