@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumenlake.operators.groups import written
+
 
 @dataclass
 class Bundle:
@@ -61,14 +63,21 @@ def fixed_windows(rows: DataFrame, key: str, time: str, seconds: int, limit: int
     return rows.where(F.col(time).isNotNull()).groupBy(key, start.alias("start_at")).agg(F.count(F.lit(1)).alias("n")).withColumn("over", F.col("n") > limit)
 
 
-def closure(edges: DataFrame, child: str, parent: str, depth: int = 50) -> DataFrame:
-    """node, ancestor, depth of a tree of parents, each node its own ancestor at depth 0; stops at `depth` steps, so a loop ends."""
-    spark, name = edges.sparkSession, "_closure_edges"
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView(name)
-    return spark.sql(
-        f"""WITH RECURSIVE up(node, ancestor, depth) AS (SELECT c, c, 0 FROM {name} UNION ALL
-        SELECT node, p, depth + 1 FROM up JOIN {name} ON c = ancestor WHERE p IS NOT NULL AND depth < {depth}) SELECT node, ancestor, depth FROM up"""
-    )
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """node, ancestor, depth of a tree of parents, however deep, each node its own ancestor at depth 0. Each round doubles the steps
+    that are known and is a written table; a node above itself raises an error. Null children are left out, repeats count once;
+    a parent without a row of its own is an ancestor all the same."""
+    up = written(edges.where(F.col(child).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct())
+    known, reach = written(up.where("ancestor is not null").withColumn("depth", F.lit(1))), 1
+    while True:
+        if not known.where("node = ancestor").isEmpty():
+            raise ValueError("a node lies above itself")
+        far = known.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("_a"))
+        on = known.select(F.col("node").alias("_a"), "ancestor", F.col("depth").alias("_d"))
+        more = written(far.join(on, "_a").select("node", "ancestor", (F.col("_d") + reach).alias("depth")).distinct())
+        if more.isEmpty():
+            return known.unionByName(up.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).distinct())
+        known, reach = written(known.unionByName(more)), 2 * reach
 
 
 def mentions(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:

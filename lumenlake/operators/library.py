@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenlake.operators.filters import closure
+from lumenlake.operators.groups import written
 from lumenlake.operators.picks import first_of, most_common
 
 
@@ -37,10 +38,20 @@ def ways(paths: DataFrame, path: str, known: DataFrame) -> DataFrame:
 
 
 def threads(comments: DataFrame) -> DataFrame:
-    """comment, parent, deleted of the comments to show, at most one level deep: an answer to an answer goes to the first comment.
-    A deleted comment stays as a mark only while an answer to it is shown. comments: comment, parent, deleted."""
-    over = comments.select(F.col("comment").alias("parent"), F.col("parent").alias("_up"))
-    flat = comments.join(over, "parent", "left").select("comment", F.coalesce("_up", "parent").alias("parent"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    """comment, parent, deleted of the comments to show, at most one level deep: every answer goes to the comment that began its
+    thread, however deep it was (found by doubling, each round a written table; a ring raises an error). A deleted comment
+    stays as a mark only while an answer to it is shown. comments: comment, parent, deleted."""
+    ties = comments.where("comment is not null and parent is not null").select("comment", "parent")
+    over = written(ties.join(ties.select(F.col("comment").alias("parent")).distinct(), "parent", "left_semi"))  # answers to answers
+    tops, rounds = written(ties), 0
+    while not over.isEmpty():
+        up = tops.select(F.col("comment").alias("parent"), F.col("parent").alias("_up"))
+        tops = written(tops.join(up, "parent", "left").select("comment", F.coalesce("_up", "parent").alias("parent")))
+        over, rounds = tops.join(ties.select(F.col("comment").alias("parent")).distinct(), "parent", "left_semi"), rounds + 1
+        if rounds > 40:  # 2 ** 40 answers above one another
+            raise ValueError("comments answer one another in a ring")
+    first = tops.select("comment", F.col("parent").alias("_top")).distinct()
+    flat = comments.join(first, "comment", "left").select("comment", F.coalesce("_top", "parent").alias("parent"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
     answered = flat.where(~F.col("deleted") & F.col("parent").isNotNull()).select(F.col("parent").alias("comment"), F.lit(True).alias("_answered")).distinct()
     return flat.join(answered, "comment", "left").where(~F.col("deleted") | F.col("_answered")).select("comment", "parent", "deleted")
 
@@ -143,14 +154,31 @@ def stage_states(media: DataFrame, key: str, stages: Sequence[tuple[str, Column,
     return wide.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("stage"), c.alias("state")) for n, c in state.items()))).alias("s")).select(key, "s.*")
 
 
+def _one_a_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of rows with the same keys (nulls are alike) the least in the order of all columns."""
+    return first_of(rows, list(keys), [F.col(c) for c in rows.columns]).select(*rows.columns)
+
+
+def _without(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows whose keys other has not; a null key equals a null."""
+    there = other.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
+    same = [rows[k].eqNullSafe(there[f"_k{i}"]) for i, k in enumerate(keys)]
+    return rows.join(there, same, "left_anti")
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """old with new's rows in place of those with their keys; repeated keys of new are taken as they are."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns).unionByName(new)
+    """old with new's rows in place of those with their keys. Of repeated keys in new the least row counts; null keys are alike."""
+    return _without(old, new, keys).select(*old.columns).unionByName(_one_a_key(new, keys))
+
+
+def replaced(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """old with all of new's rows in place of those with their keys: a key may have several rows, before and after."""
+    return _without(old, new, keys).select(*old.columns).unionByName(new.select(*old.columns))
 
 
 def written_once(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """old and those of new's rows whose keys it has not: what was written first stays."""
-    return old.unionByName(new.join(old.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns))
+    """old and, for keys that it has not, new's row (the least of several): what was written first stays. Null keys are alike."""
+    return old.unionByName(_one_a_key(_without(new, old, keys), keys).select(*old.columns))
 
 
 def in_box(lat: Column, lon: Column, place_lat: Column, place_lon: Column, box: tuple[float, float, float, float]) -> Column:
