@@ -26,9 +26,15 @@ def test_matches(spark):
 
 
 def test_names_and_dates(spark):
-    want = {"IMG_20120814_153012.jpg": datetime(2012, 8, 14, 15, 30, 12), "2009-07 Italien": datetime(2009, 7, 1), "Sommer 2009": datetime(2009, 1, 1), "x": None, "20110231": datetime(2011, 2, 1), "120093": None, None: None}
+    want = {"IMG_20120814_153012.jpg": datetime(2012, 8, 14, 15, 30, 12), "2009-07 Italien": datetime(2009, 7, 1), "Sommer 2009": datetime(2009, 1, 1), "x": None, "20110231": None, "120093": None, "PXL_20230101235959999.mp4": datetime(2023, 1, 1, 23, 59, 59), "a2012.08.14t24:00:00": datetime(2012, 8, 14), "x12012-07-1": datetime(2012, 7, 1), "1969 2050": None, "12011 2012": datetime(2012, 1, 1), None: None}
     got = spark.createDataFrame([(k,) for k in want], "n string").select("n", files.date_in(F.col("n")).alias("d")).collect()
-    assert {r["n"]: r["d"] for r in got if r["n"] != "20110231"} == {k: v for k, v in want.items() if k != "20110231"}
+    assert {r["n"]: r["d"] for r in got} == want
+    paths = {"2001/Juli 2002/x": datetime(2002, 1, 1), "2001-05/Rom/20110231": datetime(2001, 5, 1), "a/b": None, "": None, None: None}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in paths], "p string").select("p", files.date_in_folders(F.col("p"))).collect()} == paths
+    rows = [("2012:08:14 15:30:12", None, None, "IMG_20100101.jpg", "2009/x.jpg", None), (None, "2011:01:01 00:00:00", None, "n", "x", None), ("0000:00:00 00:00:00", None, "2010:02:03 04:05:06", "20090101", "x", None), (None, None, None, "IMG_20090102.jpg", "2001/y", datetime(2024, 1, 1)), (None, None, None, "2009.jpg", "2001-03/y/2009.jpg", datetime(2024, 1, 1)), (None, None, None, "2009.jpg", "2009.jpg", datetime(2024, 1, 1)), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, gps string, name string, path string, m timestamp")
+    got = [tuple(r[0]) for r in df.select(files.captured([F.col("a"), F.col("b")], F.col("gps"), F.col("name"), F.col("path"), F.col("m"))).collect()]
+    assert got == [(datetime(2012, 8, 14, 15, 30, 12), "exif"), (datetime(2011, 1, 1), "exif"), (datetime(2010, 2, 3, 4, 5, 6), "gps"), (datetime(2009, 1, 2), "filename"), (datetime(2001, 3, 1), "folder_name"), (datetime(2024, 1, 1), "file_mtime"), (None, None)]
     exif = spark.createDataFrame([("2012:08:14 15:30:12",), ("2012:08:14 15:30:12.25+02:00",), ("0000:00:00 00:00:00",), ("junk",), (None,)], "t string")
     assert [r[0] for r in exif.select(files.exif_time(F.col("t"))).collect()] == [datetime(2012, 8, 14, 15, 30, 12), datetime(2012, 8, 14, 13, 30, 12, 250000), None, None, None]
 
