@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlake.operators import library
-from lumenlake.operators.queries import QUERIES, _query, _t
+from lumenlake.operators.registry import QUERIES, _query, _t
 
 
 def _albums(spark, sf):

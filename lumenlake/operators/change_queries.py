@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenlake.operators import decisions, refresh
 from lumenlake.operators.groups import shared_path
 from lumenlake.operators.identity_queries import _FACES, _faces
-from lumenlake.operators.queries import _query, _t
+from lumenlake.operators.registry import _query, _t
 from lumenlake.sources.folders import FolderSource
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlake.operators import files
-from lumenlake.operators.queries import _query, _t
+from lumenlake.operators.registry import _query, _t
 
 _FILES = """f AS (SELECT 'F' || (p_partkey // 30) AS folder, CASE WHEN p_size % 11 = 0 THEN '.' ELSE '' END || CASE p_partkey % 4 WHEN 0 THEN 'IMG_' ELSE 'Pic' END || (p_partkey // 3) || '.' ||
 CASE p_partkey % 3 WHEN 0 THEN ['JPG', 'heic', 'png', 'txt'][p_size % 4 + 1] WHEN 1 THEN ['cr2', 'MOV', 'mp4', 'nef'][p_size % 4 + 1] ELSE ['jpeg', 'mts', 'dng', 'tiff'][p_size % 4 + 1] END AS name, p_size AS size, CAST(floor(p_retailprice) AS BIGINT) AS mtime, p_partkey AS id, p_name FROM part)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenlake.operators import finder, gazetteer, postings, trigrams
 from lumenlake.operators.groups import shared_path
 from lumenlake.operators.index_queries import _texts
-from lumenlake.operators.queries import QUERIES, _query, _t
+from lumenlake.operators.registry import QUERIES, _query, _t
 
 _LETTERS = ("0123456789_#", "abcdefghij  ")
 _SPELL = lambda c: f"translate({c}, '{_LETTERS[0]}', '{_LETTERS[1]}')"

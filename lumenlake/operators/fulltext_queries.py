@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlake.operators import fulltext, search
-from lumenlake.operators.queries import _Q, VECTOR, _query, _t
+from lumenlake.operators.registry import _Q, VECTOR, _query, _t
 
 _PAD = "' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '  ') || ' '"
 _N = lambda w: f"CAST(floor((length(p) - length(replace(p, ' {w} ', ''))) / {len(w) + 2}) AS INT)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlake.operators import identity
-from lumenlake.operators.queries import QUERIES, _query, _t
+from lumenlake.operators.registry import QUERIES, _query, _t
 
 _FACES = """f AS (SELECT vec_id AS face, vec_id // 4 AS medium, embedding AS vector, CAST(vec_id * 37 % 160 AS BIGINT) AS pixels, (vec_id * 13 % 50) / 50.0 AS score, CASE WHEN vec_id % 3 > 0 THEN CAST(label AS BIGINT) END AS person,
 CASE WHEN vec_id % 3 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN 'user' ELSE 'auto' END AS assigned_by, vec_id % 2 = 0 AS trusted, CASE WHEN vec_id % 3 = 0 THEN CAST(label AS BIGINT) END AS suggested, (vec_id * 7 % 40) / 100.0 AS distance FROM embeddings)"""

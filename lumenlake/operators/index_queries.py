@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlake.operators import postings, trigrams
-from lumenlake.operators.queries import QUERIES, _query, _t
+from lumenlake.operators.registry import QUERIES, _query, _t
 
 _ASK = 'the "of the" -der OR src3 de OR widget'
 _WEIGHTS = {"documents": 1.0, "turns": 0.9, "parts": 0.5}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlake.operators import filters, picks, search
-from lumenlake.operators.queries import _query, _t
+from lumenlake.operators.registry import _query, _t
 
 
 @_query("SELECT o_orderkey, month, place FROM (SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(row_number() OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY o_totalprice DESC, o_orderkey DESC) AS INT) AS place FROM orders) WHERE place <= 4")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.operators import files, listings
 from lumenlake.operators.identity_queries import _FACES, _faces
-from lumenlake.operators.queries import _query, _t
+from lumenlake.operators.registry import _query, _t
 
 _SHOWN = "s AS (SELECT medium, TIMESTAMP '2020-01-01' + to_days(CAST(medium * 37 % 1500 AS INT)) AS \"at\" FROM f WHERE medium % 7 > 0 GROUP BY 1)"
 

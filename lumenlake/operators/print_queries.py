@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlake.operators import prints
-from lumenlake.operators.queries import _query, _t
+from lumenlake.operators.registry import _query, _t
 
 _GREY = "CAST(greatest(0, least(255, floor(128 + 900 * {x} * {y}))) AS INT)"
 _PX = f"list_transform(range(1024), lambda i: {_GREY.format(x='e[1 + i // 32]', y='e[33 + i % 32]')})"

@@ -2,31 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.operators import changes, chapters, groups, places, search, timeline
+from lumenlake.operators.registry import _Q, ORACLES, QUERIES, VECTOR, _query, _t  # noqa: F401
 from lumenlake.streaming import arrivals
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-VECTOR = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
-_Q = str(VECTOR)
-
-
-def _query(sql: str):
-    def put(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return put
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
 
 @_query("SELECT event_id, ts, user_id FROM events WHERE ts < TIMESTAMP '2024-01-20' OR (ts = TIMESTAMP '2024-01-20' AND event_id < 500) ORDER BY ts DESC, event_id DESC LIMIT 60")
 def keyset_page(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenlake.operators.groups import shared_path
-from lumenlake.operators.queries import _query, _t
+from lumenlake.operators.registry import _query, _t
 from lumenlake.streaming import states
 
 _LOOK, _SPAN, _WINDOW, _STEP = 6 * 3600, 24 * 60, 3600, 600

