@@ -84,7 +84,8 @@ def build(texts: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("id"), F.col("source").cast("string").alias("source"), F.col("key").cast("bigint").alias("key"), F.col("moment").cast("double").alias("moment"), F.coalesce(F.col("german"), F.lit(False)).alias("german"),
         F.transform(fields, lambda x: F.regexp_extract_all(F.lower(F.coalesce(x["text"], F.lit(""))), F.lit(_WORD), F.lit(0))).alias("words"), F.transform(fields, one).alias("counts"), F.transform(fields, lambda x: x["start"]).alias("starts"),
     )
-    return written(rows.where("key is not null").mapInArrow(_analysed, _INDEX).repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+    made = written(rows.where("key is not null").mapInArrow(_analysed, _INDEX))  # once: the range partitioning reads a sample of it first
+    return written(made.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
 
 
 def parsed(phrase: str) -> list[list[tuple[bool, list[str]]]]:
