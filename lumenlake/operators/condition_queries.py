@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenlake.operators import conditions, filters, timeline
+from lumenlake.operators import conditions, filters, places, timeline
 from lumenlake.operators.registry import _query, _t
 
 
@@ -64,3 +64,34 @@ def mentions_found(spark, sf):
     k = F.col("event_id")
     text = F.concat(F.lit("Hi @nation_"), (k % 30).cast("string"), F.lit(", ask @NATION_"), (k * 3 % 30).cast("string"), F.lit("! mail@nation_1"))
     return filters.mentions(_t(spark, sf, "events").select("event_id", text.alias("text")), "event_id", "text", _t(spark, sf, "nation").select(F.col("n_name").alias("name")), "name")
+
+
+_STAGES = ["metadata", "derive", "transcript", "analysis", "caption"]
+
+
+@_query("""WITH r AS (SELECT event_id AS medium, unnest(['metadata', 'derive', 'transcript', 'analysis', 'caption']) AS stage FROM events WHERE event_type <> 'error'),
+c AS (SELECT user_id * 3 AS medium, CASE WHEN user_id % 2 = 0 THEN 'transcript' ELSE 'analysis' END AS stage FROM events)
+SELECT medium, stage FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.medium = r.medium AND ((c.stage = 'transcript' AND r.stage IN ('analysis', 'caption')) OR (c.stage = 'analysis' AND r.stage = 'caption')))""")
+def results_invalidated(spark, sf):
+    e = _t(spark, sf, "events")
+    results = e.where("event_type <> 'error'").select(F.col("event_id").alias("medium"), F.explode(F.array(*map(F.lit, _STAGES))).alias("stage"))
+    changed = e.select((F.col("user_id") * 3).alias("medium"), F.when(F.col("user_id") % 2 == 0, "transcript").otherwise("analysis").alias("stage"))
+    return conditions.invalidated(results, changed, {"analysis": "transcript", "caption": "analysis"})
+
+
+_LAT, _LON = "((s_suppkey * 7919 % 1200) / 10.0 - 60)", "((s_suppkey * 104729 % 3400) / 10.0 - 170)"
+
+
+@_query(f"""WITH t AS (SELECT s_suppkey AS town, {_LAT} AS lat, {_LON} AS lon FROM supplier),
+m AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 > 0 THEN {_LAT.replace('s_suppkey', 'o_custkey')} + 0.05 END AS lat, {_LON.replace('s_suppkey', 'o_custkey')} AS lon, 'a' || o_custkey % 5 || '/b' || o_custkey % 3 AS path, o_orderkey % 4 AS version FROM orders),
+d AS (SELECT key, town, 2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians(t.lat - m.lat) / 2), 2) + cos(radians(m.lat)) * cos(radians(t.lat)) * power(sin(radians(t.lon - m.lon) / 2), 2)))) AS km FROM m JOIN t ON abs(t.lat - m.lat) < 2 AND m.version < 3),
+n AS (SELECT key, arg_min(town, (round(km, 6), town)) AS town FROM d WHERE round(km, 6) <= 50 GROUP BY 1)
+SELECT m.key, CASE WHEN version >= 3 THEN -1 ELSE coalesce(n.town, CASE WHEN lat IS NULL THEN CASE WHEN path IN ('a1/b1', 'a2/b0') THEN 900 WHEN path[1:2] IN ('a1', 'a3') THEN 800 END END) END AS place, version < 3 AND lat IS NULL AND (path = 'a2/b0' OR path[1:2] IN ('a1', 'a3')) AS estimated FROM m LEFT JOIN n ON n.key = m.key""")
+def media_placed_anew(spark, sf):
+    at = lambda c, n, m, off: (F.col(c) * n % m) / 10.0 - off
+    towns = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("town"), at("s_suppkey", 7919, 1200, 60).alias("lat"), at("s_suppkey", 104729, 3400, 170).alias("lon"))
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    path = F.concat(F.lit("a"), (cust % 5).cast("string"), F.lit("/b"), (cust % 3).cast("string"))
+    media = _t(spark, sf, "orders").select(k.alias("key"), F.when(k % 3 > 0, at("o_custkey", 7919, 1200, 60) + 0.05).alias("lat"), at("o_custkey", 104729, 3400, 170).alias("lon"), path.alias("path"), F.lit(-1).cast("long").alias("place"), F.lit(False).alias("estimated"), (k % 4).alias("version"))
+    folders = towns.select(F.explode(F.array(*(F.struct(F.lit(f).alias("folder"), F.lit(p).cast("long").alias("town")) for f, p in (("a1/b1", 900), ("a2/b0", 900), ("a1", 800), ("a3", 800))))).alias("o")).select("o.*").distinct()
+    return places.placed_anew(media, towns, folders, 3, 50.0).select("key", "place", "estimated")

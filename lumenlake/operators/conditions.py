@@ -70,3 +70,22 @@ def newest_lines(log: DataFrame, most: int, album: str | None = None) -> DataFra
     """The newest lines of a change log (at, line), of one album and what lies below it if asked for; ties by the larger line."""
     rows = log if album is None else log.where(under(F.col("album"), album))
     return rows.where("at is not null").orderBy(F.desc("at"), F.desc("line")).limit(most)
+
+
+def invalidated(results: DataFrame, changed: DataFrame, needs: dict[str, str]) -> DataFrame:
+    """results (medium, stage) without those that rest on something new: changed (medium, stage) are results that were replaced, or
+    whose source was; needs names for each stage the one it rests on. The replaced results themselves stay. Stages are few; a
+    ring among them ends where it began. Null keys rest on nothing."""
+    rests: dict[str, list[str]] = {}
+    for stage in needs:
+        below, at = [], needs.get(stage)
+        while at is not None and at not in below and at != stage:
+            below.append(at)
+            at = needs.get(at)
+        for b in below:
+            rests.setdefault(b, []).append(stage)
+    if not rests:
+        return results
+    lost = F.coalesce(*(F.when(F.col("stage") == b, F.array(*map(F.lit, stages))) for b, stages in rests.items()))
+    gone = changed.select("medium", F.explode(lost).alias("stage")).distinct()
+    return results.join(gone, ["medium", "stage"], "left_anti").select(results.columns)

@@ -58,3 +58,19 @@ def longest_prefix(rows: DataFrame, key: str, path: str, owners: DataFrame, fold
     up = rows.select(key, F.explode(path_prefixes(F.col(path))).alias(folder))
     hit = up.join(owners.select(folder, value), folder)
     return hit.groupBy(key).agg(F.max_by(value, F.length(folder)).alias(value))
+
+
+def placed_anew(media: DataFrame, towns: DataFrame, owners: DataFrame, version: int, km: float) -> DataFrame:
+    """media with place, estimated and version as a gazetteer's version gives them, where theirs is older or missing; others stay.
+
+    A medium with a position takes the nearest town within km; one without takes the place that the deepest folder above it has
+    (owners: folder, town), which is an estimate; without either it has none, but is of this version. media: key, lat, lon, path,
+    place, estimated, version (keys are unique); towns: town, lat, lon. Only media that are due meet the towns."""
+    due = F.coalesce(F.col("version") < version, F.lit(True))
+    open_ = media.where(due)
+    near = nearest_town(open_.select("key", "lat", "lon"), "key", towns, "town", km).select("key", F.col("town").alias("_near"))
+    lent = longest_prefix(open_.where("(lat is null or lon is null) and path is not null"), "key", "path", owners, "folder", "town").select("key", F.col("town").alias("_lent"))
+    new = media.join(near, "key", "left").join(lent, "key", "left")
+    kind = dict(media.dtypes)["place"]
+    out = {"place": F.coalesce("_near", "_lent").cast(kind), "estimated": F.col("_near").isNull() & F.col("_lent").isNotNull(), "version": F.lit(version).cast(dict(media.dtypes)["version"])}
+    return new.select(*(F.when(due, out[c]).otherwise(F.col(c)).alias(c) if c in out else F.col(c) for c in media.columns))

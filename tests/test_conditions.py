@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from lumenlake.operators import conditions
+from lumenlake.operators import conditions, places
 
 
 def test_conditions_are_never_null(spark):
@@ -38,3 +38,20 @@ def test_newest_lines(spark):
     at = dt.datetime(2024, 1, 1)
     log = spark.createDataFrame([(1, at, "a"), (2, at, "a/b"), (3, None, "a"), (4, at, "ab"), (5, at, None)], "line long, at timestamp, album string")
     assert [r["line"] for r in conditions.newest_lines(log, 9, "a").collect()] == [2, 1] and [r["line"] for r in conditions.newest_lines(log, 2).collect()] == [5, 4]
+
+
+def test_results_that_rest_on_something_new(spark):
+    results = spark.createDataFrame([(m, s, 1) for m in (1, 2) for s in ("t", "a", "c", "x")] + [(None, "a", 1)], "medium long, stage string, n int")
+    changed = spark.createDataFrame([(1, "t"), (1, "t"), (2, "a"), (None, "t"), (3, "t")], "medium long, stage string")
+    got = {(r["medium"], r["stage"]) for r in conditions.invalidated(results, changed, {"a": "t", "c": "a"}).collect()}
+    assert got == {(1, "t"), (1, "x"), (2, "t"), (2, "a"), (2, "x"), (None, "a")}
+    assert conditions.invalidated(results, changed, {}).count() == 9 and conditions.invalidated(results, changed, {"a": "c", "c": "a"}).count() == 8
+
+
+def test_places_of_a_new_version(spark):
+    media = spark.createDataFrame([(1, 10.0, 10.0, "a/b", 5, False, 1), (2, None, None, "a/b/c", None, None, None), (3, None, 1.0, "x", 7, True, 1), (4, 10.0, 10.0, "a", 5, False, 2), (5, 50.0, 50.0, "a", 5, False, 1), (6, None, None, None, 5, True, 0)], "key long, lat double, lon double, path string, place long, estimated boolean, version int")
+    towns = spark.createDataFrame([(70, 10.1, 10.1), (71, 10.3, 10.0), (72, None, 3.0)], "town long, lat double, lon double")
+    owners = spark.createDataFrame([("a", 80), ("a/b", 81)], "folder string, town long")
+    got = {r["key"]: (r["place"], r["estimated"], r["version"]) for r in places.placed_anew(media, towns, owners, 2, 50.0).collect()}
+    assert got == {1: (70, False, 2), 2: (81, True, 2), 3: (None, False, 2), 4: (5, False, 2), 5: (None, False, 2), 6: (None, False, 2)}
+    assert places.placed_anew(media.limit(0), towns, owners, 2, 50.0).count() == 0
