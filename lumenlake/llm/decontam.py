@@ -4,9 +4,10 @@ A short item inside a long text has a Jaccard similarity near zero, so a text's
 side that is signed is therefore the item: items are partitioned by their number of shingles, and the sketch of an item is
 the smallest m of its shingle hashes, m growing with its partition's size so that any text that holds the needed share of
 the item must hold one of them (of s shingles at most s - ceil(c s) may be missing). All shingles of all texts are probed
-against a bitmap of fixed size; survivors are joined with the items by hash. Pairs that met in a sketch are verified: the
-share of the item's distinct shingles in the text is counted exactly. The join counts all shingles of an item at once; the
-sketch then says which pairs are candidates, so it rules pairs out and does not lessen the work of the join. No pair at or above the threshold is lost.
+against two bitmaps of fixed size, of the sketches and of all item shingles; what is in neither is read once and forgotten.
+Only shingles of sketches are joined with the items, which gives the candidate pairs; then the other shingles of these pairs are
+looked up and the share of the item's distinct shingles in the text is counted exactly. A phrase of many items in many texts
+that is in no sketch meets nothing. No pair at or above the threshold is lost.
 
 Words are maximal runs of letters and digits, lower-cased, so punctuation and line breaks do not matter.
 
@@ -99,14 +100,16 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def contained(docs: DataFrame, items: DataFrame, k: int = 5, containment: float = 0.8) -> DataFrame:
-    """doc_id, item_id, n_shingles (of the item), n_shared, containment of every pair at or above the threshold."""
+def contained(docs: DataFrame, items: DataFrame, k: int = 5, containment: float = 0.8, by_text: bool = False) -> DataFrame:
+    """doc_id, item_id, n_shingles (of the item), n_shared, containment of every pair at or above the threshold. With by_text a row
+    for each text of a doc_id that holds an item, with text_hash, its xxhash64."""
     shingle = C.stored(item_shingles(items, k, containment), "items")
     bits, lengths = _bitmap(shingle)
-    shared = docs.sparkSession.sparkContext.broadcast((bits, lengths))
+    sketch = shingle.where("sketched")
+    shared = docs.sparkSession.sparkContext.broadcast((bits, _bitmap(sketch)[0], lengths))
 
     def rows(batches):
-        bits, lengths = shared.value
+        bits, sketched, lengths = shared.value
         for b in batches:
             ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("_text").to_numpy(zero_copy_only=False)
             for lo, hi, data, bounds in C.blocks(b.column("text")):
@@ -119,13 +122,17 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, containment: float
                     rs.append(r[hit])
                 if hs and sum(map(len, hs)):
                     h, at = C.distinct(np.concatenate(hs), np.concatenate(rs), hi - lo)
-                    yield pa.record_batch([pa.array(np.repeat(ids[lo:hi], np.diff(at)), pa.int64()), pa.array(np.repeat(texts[lo:hi], np.diff(at)), pa.int64()), pa.array(h.view(np.int64))], ["doc_id", "_text", "h"])
+                    yield pa.record_batch([pa.array(np.repeat(ids[lo:hi], np.diff(at)), pa.int64()), pa.array(np.repeat(texts[lo:hi], np.diff(at)), pa.int64()), pa.array(h.view(np.int64)), pa.array(_in(sketched, h))], ["doc_id", "_text", "h", "probe"])
 
-    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("_text"), C.byte_texts(docs)).where("doc_id is not null").mapInArrow(rows, "doc_id long, _text long, h long")
-    pairs = found.distinct().join(shingle, "h").groupBy("doc_id", "_text", "_item").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("n_shingles"), F.max("sketched").alias("met"))
+    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("_text"), C.byte_texts(docs)).where("doc_id is not null").mapInArrow(rows, "doc_id long, _text long, h long, probe boolean")
+    found = C.stored(found, "found")
+    candidates = found.where("probe").join(sketch.select("h", "_item"), "h").select("doc_id", "_text", "_item").distinct()
+    wanted = candidates.join(shingle.select("_item", "h", "size"), "_item")
+    pairs = wanted.join(found.select("doc_id", "_text", "h").distinct(), ["doc_id", "_text", "h"]).groupBy("doc_id", "_text", "_item").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("n_shingles"))
     least = F.ceil(F.col("n_shingles") * F.lit(containment) - 1e-9)
     repeats = items.where("item_id is not null").groupBy(F.col("item_id").cast("long").alias("_item")).count().where("count > 1")
     if not repeats.isEmpty():  # rows that share an item_id would add up
         pairs = pairs.join(repeats, "_item", "left").withColumn("n", F.least("n", "n_shingles")).drop("count")
-    best = pairs.where(F.col("met") & (F.col("n") >= least)).groupBy("doc_id", "_item").agg(F.max("n").alias("n"), F.max("n_shingles").alias("n_shingles"))
-    return best.select("doc_id", F.col("_item").alias("item_id"), "n_shingles", F.col("n").alias("n_shared"), (F.col("n") / F.col("n_shingles")).alias("containment"))
+    per = ["doc_id", *(["_text"] if by_text else []), "_item"]
+    best = pairs.where(F.col("n") >= least).groupBy(*per).agg(F.max("n").alias("n"), F.max("n_shingles").alias("n_shingles"))
+    return best.select("doc_id", *([F.col("_text").alias("text_hash")] if by_text else []), F.col("_item").alias("item_id"), "n_shingles", F.col("n").alias("n_shared"), (F.col("n") / F.col("n_shingles")).alias("containment"))

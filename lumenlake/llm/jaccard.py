@@ -61,6 +61,20 @@ def sets_of(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, n
     return h, at, f
 
 
+def set_hashes(docs: DataFrame, k: int, name: str) -> DataFrame:
+    """docs with the fingerprint of each text's shingle set under a name that no column of docs has."""
+    from pyspark.sql import types as T
+
+    def rows(batches):
+        for b in batches:
+            found = [sets_of(data, bounds, k)[2].view(np.int64) for _, _, data, bounds in C.blocks(b.columns[-1])]
+            yield pa.record_batch([*b.columns[:-1], pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names)
+
+    names = [*docs.columns, name]
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+    return docs.select("*", docs["text"].cast("binary").alias(name)).mapInArrow(rows, schema)
+
+
 def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """(sets, SKETCH / 64) words: the parity of the shingles that fall on each bit."""
     n = len(at) - 1
@@ -363,8 +377,8 @@ def _windows(regions: DataFrame, percent: int) -> DataFrame:
     return cut.join(sides, ["p", "g"]).where("side = 1 or open = 1")
 
 
-def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+def near_components(docs: DataFrame, k: int = 4, percent: int = 85, by_set: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text); with by_set also set_hash, as set_hashes tells it."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("_id"), C.byte_texts(docs))
     shared = spark.sparkContext.broadcast(_common(slim, k))  # of a bounded sample
@@ -404,4 +418,4 @@ def near_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     named = rows.select("_id", "f", "n").join(final.select(F.col("node").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
     lowest = C.stored(named.where("n > 0 and _id is not null").groupBy("component").agg(F.min("_id").alias("component_id")), "lowest")
     out = named.join(lowest, "component", "left")
-    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("_id").isNotNull(), F.col("component_id"))).otherwise(F.col("_id")).alias("component_id"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("_id").isNotNull(), F.col("component_id"))).otherwise(F.col("_id")).alias("component_id"), *([F.col("f").alias("set_hash")] if by_set else []))

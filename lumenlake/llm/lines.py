@@ -1,8 +1,10 @@
 """Line deduplication with DataFrame functions only.
 
-Hashes of line keys are range-partitioned and sorted by document and position for storage; the first occurrence of a key in
-each document is then found by grouping on key and document, and counted, which does not use that order. What comes back for a
-document is a compressed bitmap of the lines it loses (64-bit words, those without a loss left out), not text.
+Hashes of line keys are range-partitioned by (key, document) and sorted by key, document and position. One pass over that
+order marks the first line of each key in each document: a window over the same columns asks for no other shuffle or sort. A key
+whose documents lie in several ranges (a hot key does) is joined by its ends: each range hands on one row a key, with the number
+of its documents and its first line. What comes back for a document is a compressed bitmap of the lines it loses (64-bit words,
+those without a loss left out), not text.
 
 Defined cases: null and empty text are one empty line; blank lines are never dropped; rows with one doc_id count as one
 document and null doc_id as one more; repeated rows get the same answer each; extra columns pass through `dedup_text`.
@@ -36,6 +38,13 @@ def _row_key(docs: DataFrame) -> list[Column]:
     return [docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(_text(docs)).alias("_text_hash")]
 
 
+def marked(hashed: DataFrame, parts: int) -> DataFrame:
+    """hashed (h, h2, _doc, pos, ...) in the order of key, document and position, with once: whether a line is the first of its
+    key in its document. Of rows with one doc_id and equal positions one is the first."""
+    order = W.partitionBy("h", "h2", "_doc").orderBy("pos")
+    return hashed.repartitionByRange(parts, "h", "h2", "_doc").sortWithinPartitions("h", "h2", "_doc", "pos").withColumn("once", F.row_number().over(order) == 1)
+
+
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, long_words: int | None = None, long_docs: int = 2) -> DataFrame:
     """_doc, _text_hash, lost: array of (word, bits) for the documents that lose a line. A line goes if its key is found in
     at least min_docs documents (long_docs, if it has more than long_words words); with keep_first, the key's first line by
@@ -45,10 +54,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     long = F.size(F.regexp_extract_all("k", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))) > long_words if long_words else F.lit(False)
     hashed = keyed.select(F.xxhash64("k").alias("h"), F.xxhash64(F.lit(7), "k").alias("h2"), "_doc", "_text_hash", "pos", long.alias("long"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = C.stored(hashed.repartitionByRange(parts, "h", "h2", "_doc").sortWithinPartitions("h", "h2", "_doc", "pos"), "lines")
-    # Grouping by hash takes the place of streaming the sorted order.
-    firsts = lines.groupBy("h", "h2", "_doc").agg(F.min("pos").alias("pos"), F.first("long").alias("long"))
-    keys = firsts.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_doc", "pos")).alias("first"), F.first("long").alias("long"))
+    lines = C.stored(marked(hashed, parts), "lines")
+    # Of each range one row a key is shuffled, not one for each document.
+    keys = lines.where("once").groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_doc", "pos")).alias("first"), F.first("long").alias("long"))
     keys = keys.where((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= long_docs))).drop("long")
     hit = lines.join(keys, ["h", "h2"])
     if keep_first:

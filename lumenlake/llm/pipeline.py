@@ -29,17 +29,30 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; rows that repeat it go."""
-    found = jaccard.near_components(docs, k=5, percent=80)
-    gone = found.where("component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(C.fresh("_gone", docs))).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col(gone.columns[0]), "left_anti")
+    """Of each group of near duplicates the document with the smallest doc_id stays; rows that repeat it go. Rows that share a
+    doc_id and are not alike are documents of their own."""
+    mark = C.fresh("_gone", docs)
+    found = jaccard.near_components(docs, k=5, percent=80, by_set=True).where("component_id is not null")
+    gone = F.col("doc_id") != F.col("component_id")
+    some = C.stored(found.groupBy("doc_id").agg(F.bool_and(gone).alias("all"), F.bool_or(gone).alias("any")).where("any"), "gone")
+    lost = lambda rows, name: rows.select(F.col("doc_id").alias(name))
+    left = docs.join(lost(some, mark), docs["doc_id"].cast("long") == F.col(mark), "left_anti")
+    mixed = some.where("not all")
+    if not mixed.isEmpty():  # doc_ids of which some texts stay: these are told apart by their sets
+        text = C.fresh("_set", docs)
+        shared = docs.join(lost(mixed, mark), docs["doc_id"].cast("long") == F.col(mark), "left_semi")
+        shared = jaccard.set_hashes(shared, 5, text)
+        sets = found.where(gone).select(F.col("doc_id").alias(mark), F.col("set_hash").alias(f"{mark}_set")).distinct()
+        kept = shared.join(sets, (shared["doc_id"].cast("long") == F.col(mark)) & (F.col(text) == F.col(f"{mark}_set")), "left_anti")
+        left = left.unionByName(kept.select(*docs.columns))
     return C.stored(left, "near").dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold four fifths or more of a benchmark item's shingles go."""
-    hit = decontam.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(C.fresh("_hit", docs))).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == F.col(hit.columns[0]), "left_anti")
+    """Documents that hold four fifths or more of a benchmark item's shingles go; another text under their doc_id stays."""
+    mark = C.fresh("_hit", docs)
+    hit = decontam.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_text=True).select(F.col("doc_id").alias(mark), F.col("text_hash").alias(f"{mark}_text")).distinct()
+    return docs.join(hit, (docs["doc_id"].cast("long") == F.col(mark)) & (F.xxhash64(docs["text"]) == F.col(f"{mark}_text")), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenlake.llm import common as C
 from lumenlake.llm import decontam, graph, html, jaccard, langid, lines, lm, pieces, pipeline, quality, queries, shards, toxicity
@@ -161,6 +162,22 @@ def test_line_dedup_keeps_first_and_long_passages(spark):
     assert got == {1: f"a\n{passage}", 2: "b", 3: "", 4: "short", 5: "short"}
 
 
+def test_line_order_is_streamed_without_another_shuffle(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 2, 3] + [9] * 6), rng.choice([0, 7]), rng.choice([None, *range(40)]), rng.randrange(9)) for _ in range(3000)]
+    d = spark.createDataFrame(rows, "h long, h2 long, _doc long, pos int")
+    got = lines.marked(d, 6)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+    where = got.select("*", F.spark_partition_id().alias("part")).collect()
+    assert len({r["part"] for r in where if r["h"] == 9}) > 1  # the hot key lies in several ranges
+    once = Counter((r["h"], r["h2"], r["_doc"], r["pos"]) for r in where if r["once"])
+    least = {}
+    for h, h2, doc, pos in rows:
+        least[h, h2, doc] = min(pos, least.get((h, h2, doc), pos))
+    assert once == Counter((*k, v) for k, v in least.items())
+
+
 def test_clashing_names(spark):
     extra = ["_doc", "_text_hash", "_lost", "_bits", "_lines", "_kept", "_n_lines", "_N_dropped", "_bytes", "_score", "_gone", "_hit"]
     d = spark.createDataFrame([(1, "a b c\nx", *range(12)), (2, "A B C\ny", *range(12))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in extra))
@@ -178,6 +195,29 @@ def test_rows_with_one_doc_id_do_not_add_up(spark):
     assert [tuple(r) for r in got.collect()] == [(2, 9, 20, 20, 1.0)]
 
 
+def test_a_text_that_holds_an_item_meets_its_sketch(spark, monkeypatch):
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n + 4))) for n in (1, 2, 3, 4, 5, 7, 8, 9, 16, 31, 40, 100, 257)]
+    found = decontam.item_shingles(spark.createDataFrame(items, "item_id long, text string"), 5, 0.8).collect()
+    for n, _ in items:
+        mine = [r for r in found if r["_item"] == n]
+        sketch = sum(r["sketched"] for r in mine)
+        assert len(mine) == n and sketch > n - -(-4 * n // 5) and sketch <= max(1, 0.4 * n + 1)  # so many may be missing, and one more
+    docs = spark.createDataFrame([(n, f"before {t} after") for n, t in items], "doc_id long, text string")
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contained(docs, frame).collect()} == {(n, n) for n, _ in items}
+    real = decontam.item_shingles
+    monkeypatch.setattr(decontam, "item_shingles", lambda *a: real(*a).withColumn("sketched", F.col("sketched") & F.lit(False)))
+    assert decontam.contained(docs, frame).count() == 0  # pairs come through the sketches only
+
+
+def test_stages_keep_unlike_rows_of_one_doc_id(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    d = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, f"{b} more"), (4, c), (4, a + " tail"), (None, a)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in pipeline.drop_near(spark, d, "").where("doc_id is not null").collect()) == [(1, a), (2, b), (4, c)]
+    spark.createDataFrame([(1, b)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in pipeline.drop_leaks(spark, d, str(tmp_path)).collect()) == [(0, a), (1, a), (2, a), (4, a + " tail"), (4, c)]
+
+
 def test_contained(spark, rows, docs, none):
     items = [(1, rows[0][1]), (2, rows[5][1].upper()), (3, "one"), (4, "no such words anywhere in it"), (5, None), (6, ""), (7, rows[0][1])]
     got = decontam.contained(docs, spark.createDataFrame(items, "item_id long, text string"))
