@@ -356,4 +356,4 @@ def stream_once(spark, sf):
     return arrivals.taken_in(spark, sf, "events.parquet", "event_id", "ts", "1 day").select("event_id", "user_id", "event_type")
 
 
-from lumenlake.operators import album_queries, book_queries, change_queries, condition_queries, file_queries, finder_queries, fulltext_queries, identity_queries, index_queries, library_queries, listing_queries, print_queries, stream_queries, vector_queries  # noqa: E402, F401  (they register their queries here)
+from lumenlake.operators import album_queries, book_queries, change_queries, condition_queries, file_queries, finder_queries, fulltext_queries, identity_queries, index_queries, library_queries, listing_queries, print_queries, story_queries, stream_queries, vector_queries  # noqa: E402, F401  (they register their queries here)
