@@ -126,10 +126,14 @@ def report(rows: DataFrame, sections: dict[str, tuple[Column, Column]], tops: di
     null keys count nowhere. tops: sections of which only so many keys are told, the fullest first."""
     parts = F.array(*(F.struct(F.lit(name).alias("section"), k.cast("string").alias("key"), v.cast("double").alias("v")) for name, (k, v) in sections.items()))
     each = rows.select(F.explode(parts).alias("p")).select("p.*").where("key is not null").groupBy("section", "key").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
-    limit = F.lit(1 << 30)
+    if not tops:
+        return each
+    each, limit = written(each), F.lit(0)
     for name, most in tops.items():
         limit = F.when(F.col("section") == name, most).otherwise(limit)
-    return each.withColumn("_r", F.row_number().over(W.partitionBy("section").orderBy(F.desc("n"), "key"))).where(F.col("_r") <= limit).drop("_r")
+    cut = each.where(F.col("section").isin(*tops)).withColumn("_r", F.row_number().over(W.partitionBy("section").orderBy(F.desc("n"), "key")))
+    cut = cut.where(F.col("_r") <= max(tops.values())).where(F.col("_r") <= limit).drop("_r")  # by the first, tasks drop rows before the shuffle
+    return each.where(~F.col("section").isin(*tops)).unionByName(cut)
 
 
 def backlog(media: DataFrame, done: DataFrame, key: str, time: str, model: str, version: int, most: int, failed: DataFrame | None = None) -> DataFrame:
