@@ -36,20 +36,25 @@ def placed(shots: DataFrame, gap: int = GAP) -> DataFrame:
     """Shots with a guessed time at the end of the moment of dated ones that has the shot most like theirs (Jaccard of tags, 0
     without any), the earliest of equals. A book without dated shots stays as it is.
 
-    Only shots that share a tag meet, and of a moment each set of tags once."""
+    A set of tags is looked at once a book, on either side: of its shots only the first moment can be the answer. Where a book has
+    a dated shot with the same set, that is the home; only other sets meet, those that share a tag."""
     shots = written(clean(shots).withColumn("guessed", F.coalesce("guessed", F.lit(False))))
     some = F.array_sort(F.array_distinct(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull() & (t != ""))))
-    dated = written(moments(shots.where("not guessed"), gap).withColumn("_t", some))
+    own, loose = shots.where("not guessed"), shots.where("guessed").withColumn("_t", some)
+    dated = written(moments(own, gap).select("book", "moment", "taken_at", some.alias("_t")))
     ends = dated.groupBy("book", "moment").agg(F.max("taken_at").alias("_end"))
     first = ends.where("moment = 0").select("book", F.col("_end").alias("_first"))
-    sets = dated.where(F.size("_t") > 0).select("book", "moment", "_t").distinct()
-    asks = shots.where("guessed").withColumn("_t", some).select("book", "id", F.size("_t").alias("_m"), F.explode("_t").alias("tag"))
-    met = asks.join(sets.select("book", "moment", F.xxhash64("_t").alias("_s"), F.size("_t").alias("_n"), F.explode("_t").alias("tag")), ["book", "tag"])
-    like = met.groupBy("book", "id", "moment", "_s", "_n", "_m").agg(F.count(F.lit(1)).alias("_c")).withColumn("_like", F.col("_c") / (F.col("_m") + F.col("_n") - F.col("_c")))
-    home = like.groupBy("book", "id").agg(F.min_by("moment", F.struct(-F.col("_like"), F.col("moment"))).alias("moment"))
-    at = home.join(ends, ["book", "moment"]).select("book", "id", "_end")
-    out = shots.join(at, ["book", "id"], "left").join(first, "book", "left")
-    return out.withColumn("taken_at", F.when(F.col("guessed"), F.coalesce("_end", "_first", "taken_at")).otherwise(F.col("taken_at"))).drop("_end", "_first")
+    number = F.monotonically_increasing_id()
+    sets = written(dated.where(F.size("_t") > 0).groupBy("book", "_t").agg(F.min("moment").alias("moment")).withColumn("_s", number))
+    same = sets.select("book", "_t", "moment")
+    asks = written(loose.where(F.size("_t") > 0).select("book", "_t").distinct().join(same, ["book", "_t"], "left_anti").withColumn("_a", number))
+    of = lambda df, n, *names: df.select("book", *names, F.size("_t").alias(n), F.explode("_t").alias("tag"))
+    met = of(asks, "_m", "_a").join(of(sets, "_n", "_s"), ["book", "tag"])
+    like = met.groupBy("_a", "_s", "_n", "_m").agg(F.count(F.lit(1)).alias("_c")).select("_a", "_s", (F.col("_c") / (F.col("_m") + F.col("_n") - F.col("_c"))).alias("_like"))
+    near = like.join(sets.select("_s", "moment"), "_s").groupBy("_a").agg(F.min_by("moment", F.struct(-F.col("_like"), F.col("moment"))).alias("moment"))
+    home = same.unionByName(asks.join(near, "_a").select("book", "_t", "moment")).join(ends, ["book", "moment"]).select("book", "_t", "_end")
+    found = loose.join(home, ["book", "_t"], "left").join(first, "book", "left").withColumn("taken_at", F.coalesce("_end", "_first", "taken_at"))
+    return own.unionByName(found.select(own.columns))
 
 
 def worth() -> Column:

@@ -150,3 +150,16 @@ def test_books_of_nothing(spark):
     assert all(f(none).count() == 0 for f in (books.placed, books.chosen, books.pages))
     one = frame(spark, album(1, 1)).where(F.col("book") == 1)
     assert books.chosen(one).count() == 1 and books.pages(one).count() == 4
+
+
+def test_placing_looks_at_a_set_of_tags_once(spark, monkeypatch):
+    from lumenlake.operators import books as B
+
+    rows = [(1, i, dt.datetime(2024, 5, 1) + dt.timedelta(hours=2 * i), False, ["a", "b"]) for i in range(200)]  # each a moment
+    rows += [(1, 1000 + i, dt.datetime(2024, 1, 1), True, ["b", "a", "a"]) for i in range(200)] + [(1, 2000 + i, dt.datetime(2024, 1, 1), True, ["b"]) for i in range(200)]
+    rows += [(1, 3000, dt.datetime(2024, 1, 1), True, ["c"])]
+    counts, real = [], B.written
+    monkeypatch.setattr(B, "written", lambda df: (counts.append((t := real(df)).count()), t)[1])
+    got = B.placed(spark.createDataFrame(rows, "book long, id long, taken_at timestamp, guessed boolean, tags array<string>")).collect()
+    assert {r["taken_at"] for r in got if r["guessed"]} == {dt.datetime(2024, 5, 1)} and len(got) == 601
+    assert counts == [601, 200, 1, 2]  # one set of dated shots; of the others only those that no dated shot has
