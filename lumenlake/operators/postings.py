@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ from lumenlake.operators.groups import written
 COUNTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 LIMIT = 1.64493406685
 FIELDS = "array<struct<label:string,text:string,start:double>>"
-_WORD = r"[\p{L}\p{N}]+"
+_GAP = r"[^\p{L}\p{N}]+"
+#: Bytes of text that are worked on together, and the shares of its rows that a term is dealt to.
+BLOCK, SPREAD = 1_000_000, 64
 _INDEX = "term string, id bigint, source string, key bigint, moment double, german boolean, length int, places array<int>, counts array<double>, spans array<struct<first:int,start:double>>"
 
 
@@ -35,36 +38,62 @@ def field(label: str, text: Column, start: Column | None = None) -> Column:
     return F.struct(F.lit(label).alias("label"), text.cast("string").alias("text"), (F.lit(None) if start is None else start).cast("double").alias("start"))
 
 
+_stem = lru_cache(1 << 16)(stems.german)
+
+
 def _lexemes(words: list[str], german: bool) -> list[str | None]:
-    return [None if w in stems.STOP else stems.german(w) for w in words] if german else list(words)
+    return [None if w in stems.STOP else _stem(w) for w in words] if german else list(words)
+
+
+def _blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of about BLOCK bytes of text, a row at least: what a task holds follows the longest row."""
+    per_row = pc.list_value_length(b.column("texts")).to_numpy(zero_copy_only=False)
+    size = np.concatenate([[0], np.cumsum(pc.binary_length(b.column("texts").flatten()).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    before = size[np.cumsum(per_row) - per_row]
+    edges = [0, *(np.flatnonzero(np.diff(before // BLOCK)) + 1).tolist(), b.num_rows]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if lo < hi:
+            yield b.slice(lo, hi - lo)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and how many each has."""
+    parts = pc.split_pattern_regex(texts, _GAP)
+    full = pc.not_equal(parts.flatten(), "")
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return parts.flatten().filter(full), np.diff(before[bounds])
 
 
 def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of texts as a row for each distinct term, and one without a term that tells of the text as a whole."""
-    for b in batches:
-        col = b.column("words")
-        per_row = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
-        inner = col.flatten()
-        per_field = pc.list_value_length(inner).fill_null(0).to_numpy(zero_copy_only=False)
-        coded = inner.flatten().dictionary_encode()
-        vocabulary, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    for b in (part for whole in batches for part in _blocks(whole)):
+        per_row = pc.list_value_length(b.column("texts")).to_numpy(zero_copy_only=False)
+        words, per_field = _words(b.column("texts").flatten())
+        coded = words.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         row_of_field = np.repeat(np.arange(b.num_rows), per_row)
         row = np.repeat(row_of_field, per_field)
         counts = np.repeat(b.column("counts").flatten().to_numpy(zero_copy_only=False), per_field)
         starts = np.searchsorted(row, np.arange(b.num_rows))
         place = np.arange(len(row)) - starts[row] + 1
         german = b.column("german").to_numpy(zero_copy_only=False).astype(bool)
-        number: dict[str, int] = {}
-        term_of = np.array([[-1 if t is None else number.setdefault(t, len(number)) for t in _lexemes(vocabulary, g)] for g in (False, True)], np.int64).reshape(2, -1)
-        term = term_of[german[row].astype(int), code]
+        number, term = coded.dictionary, code
+        if german.any():
+            vocabulary = number.to_pylist()
+            known = {t: i for i, t in enumerate(vocabulary)}
+            used = np.unique(code[german[row]])
+            stemmed = np.arange(len(vocabulary))
+            stemmed[used] = [-1 if t is None else known.setdefault(t, len(known)) for t in _lexemes([vocabulary[c] for c in used.tolist()], True)]
+            number, term = pa.array(list(known), pa.string()), np.where(german[row], stemmed[code], code)
         keep = np.flatnonzero(term >= 0)
         length = np.bincount(row[keep], minlength=b.num_rows).astype(np.int32)
-        keep = keep[np.lexsort((place[keep], term[keep], row[keep]))]
+        keep = keep[np.argsort(row[keep] * max(len(number), 1) + term[keep], kind="stable")]  # they are in the order of their places
         new = np.ones(len(keep), bool)
         new[1:] = (row[keep][1:] != row[keep][:-1]) | (term[keep][1:] != term[keep][:-1])
         bounds = np.append(np.flatnonzero(new), len(keep)).astype(np.int32)
         at = row[keep][new]
-        terms = pa.array(list(number) or [""], pa.string()).take(pa.array(term[keep][new]))
+        terms = number.take(pa.array(term[keep][new]))
         about = [b.column(c) for c in ("id", "source", "key", "moment", "german")]
         lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x[keep])) for x in (place.astype(np.int32), counts)]
         names = ["term", "id", "source", "key", "moment", "german", "length", "places", "counts", "spans"]
@@ -76,16 +105,17 @@ def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build(texts: DataFrame) -> DataFrame:
-    """The index of texts: source, key, moment, german, fields. It is dealt and sorted by term (and row, so that a word that most
-    texts hold is not one part), and written. Each term of a text is a row; one row without a term tells the text's length."""
+    """The index of texts: source, key, moment, german, fields. It is dealt by term (and SPREAD shares of the rows, so that a word
+    that most texts hold is not one part), sorted by term in each part, and written once. Each term of a text is a row; one row
+    without a term tells the text's length."""
     one = lambda x: F.coalesce(*(F.when(x["label"] == k, F.lit(v)) for k, v in COUNTS.items()), F.lit(COUNTS["D"]))
     fields = F.coalesce(F.col("fields").cast(FIELDS), F.array().cast(FIELDS))
     rows = texts.select(
         F.monotonically_increasing_id().alias("id"), F.col("source").cast("string").alias("source"), F.col("key").cast("bigint").alias("key"), F.col("moment").cast("double").alias("moment"), F.coalesce(F.col("german"), F.lit(False)).alias("german"),
-        F.transform(fields, lambda x: F.regexp_extract_all(F.lower(F.coalesce(x["text"], F.lit(""))), F.lit(_WORD), F.lit(0))).alias("words"), F.transform(fields, one).alias("counts"), F.transform(fields, lambda x: x["start"]).alias("starts"),
+        F.transform(fields, lambda x: F.lower(F.coalesce(x["text"], F.lit("")))).alias("texts"), F.transform(fields, one).alias("counts"), F.transform(fields, lambda x: x["start"]).alias("starts"),
     )
-    made = written(rows.where("key is not null").mapInArrow(_analysed, _INDEX))  # once: the range partitioning reads a sample of it first
-    return written(made.repartitionByRange("term", "id").sortWithinPartitions("term", "id"))
+    made = rows.where("key is not null").mapInArrow(_analysed, _INDEX)
+    return written(made.repartition("term", F.pmod("id", F.lit(SPREAD))).sortWithinPartitions("term", "id"))
 
 
 def parsed(phrase: str) -> list[list[tuple[bool, list[str]]]]:

@@ -149,3 +149,16 @@ def test_names_are_alike_by_their_best_stretch(spark):
     assert trigrams.alike(index, "word", most=2).count() == 2
     assert "In(gram" in trigrams.alike(index, "word")._jdf.queryExecution().toString()
     assert trigrams.alike(trigrams.build(spark.createDataFrame([], "key long, name string"), "key", ["name"]), "word").count() == 0
+
+
+def test_texts_are_worked_on_in_blocks_of_bounded_size():
+    import pyarrow as pa
+
+    texts = [["ab " * (5 + i % 7), ""] for i in range(40)] + [["xy zz " * 200_000, "ab"], ["", ""], []] + [["ab, ärger²"] for _ in range(30)]
+    n = len(texts)
+    b = pa.record_batch([pa.array(range(n)), pa.array(["s"] * n), pa.array(range(n)), pa.array([0.0] * n), pa.array([i % 2 == 0 for i in range(n)]), pa.array(texts, pa.list_(pa.string())), pa.array([[1.0] * len(t) for t in texts]), pa.array([[None] * len(t) for t in texts], pa.list_(pa.float64()))], ["id", "source", "key", "moment", "german", "texts", "counts", "starts"])
+    out = list(postings._analysed(iter([b])))
+    assert len(out) > 2  # the long text parts the batch
+    got = {(r["id"], r["term"]): (r["length"], r["places"]) for part in out for r in part.to_pylist()}
+    assert got[40, "xy"][0] == 400_001 and got[40, "ab"][1] == [400_001] and got[41, None] == (0, None) and got[42, None] == (0, None)
+    assert got[43, "ärger²"][1] == [2] and got[44, "arger²"][1] == [2] and got[3, "ab"][1] == list(range(1, 9)) and sum(t is None for _, t in got) == n
