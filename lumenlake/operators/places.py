@@ -27,17 +27,21 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 def nearest_town(points: DataFrame, key: str, towns: DataFrame, town: str, km: float) -> DataFrame:
     """key, town, km: the nearest town within `km` of each point; both sides have lat and lon. An equi-join on squares of a
-    degree: a point looks in as many squares as the radius reaches at its latitude. Radii up to a degree of latitude."""
+    degree: a point looks in as many squares as the radius reaches at its latitude. Radii up to a degree of latitude. Points that
+    share a place ask once, and of the towns that share one the smallest takes part."""
     if km > DEGREE_KM:
         raise ValueError("the radius is at most a degree of latitude")
+    known = "lat is not null and lon is not null"
     reach = F.least(F.lit(180), F.ceil(km / (DEGREE_KM * F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + 1))), F.lit(1e-3)))).cast("int"))
-    looks = points.where("lat is not null and lon is not null").select(key, "lat", "lon", F.explode(F.array(*(F.floor("lat") + i for i in (-1, 0, 1)))).alias("row"), reach.alias("reach"))
-    turn = F.pmod(F.floor("lon") + F.col("step"), F.lit(360))
-    looks = looks.withColumn("step", F.explode(F.sequence(-F.col("reach"), F.col("reach")))).select(key, "lat", "lon", "row", turn.alias("col")).distinct()
-    at = towns.where("lat is not null and lon is not null").select(F.col(town), F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), F.floor("lat").alias("row"), F.pmod(F.floor("lon"), F.lit(360)).alias("col"))
+    looks = points.where(known).select("lat", "lon").distinct().select("lat", "lon", F.explode(F.array(*(F.floor("lat") + i for i in (-1, 0, 1)))).alias("row"), reach.alias("reach"))
+    step = F.explode(F.sequence(-F.col("reach"), F.least("reach", F.lit(359) - F.col("reach"))))  # once around at most
+    looks = looks.withColumn("step", step).select("lat", "lon", "row", F.pmod(F.floor("lon") + F.col("step"), F.lit(360)).alias("col"))
+    at = towns.where(known).groupBy(F.col("lat").alias("tlat"), F.col("lon").alias("tlon")).agg(F.min(town).alias(town))
+    at = at.select(town, "tlat", "tlon", F.floor("tlat").alias("row"), F.pmod(F.floor("tlon"), F.lit(360)).alias("col"))
     far = F.round(distance_km(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon")), 6)
-    near = looks.join(at, ["row", "col"]).select(key, town, far.alias("km")).where(F.col("km") <= km)
-    best = near.groupBy(key).agg(F.min(F.struct("km", town)).alias("b"))
+    near = looks.join(at, ["row", "col"]).select("lat", "lon", town, far.alias("km")).where(F.col("km") <= km)
+    found = near.groupBy("lat", "lon").agg(F.min(F.struct("km", town)).alias("b"))
+    best = points.select(key, "lat", "lon").join(found, ["lat", "lon"]).groupBy(key).agg(F.min("b").alias("b"))
     return best.select(key, F.col(f"b.{town}").alias(town), F.col("b.km").alias("km"))
 
 

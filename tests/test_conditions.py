@@ -55,3 +55,16 @@ def test_places_of_a_new_version(spark):
     got = {r["key"]: (r["place"], r["estimated"], r["version"]) for r in places.placed_anew(media, towns, owners, 2, 50.0).collect()}
     assert got == {1: (70, False, 2), 2: (81, True, 2), 3: (None, False, 2), 4: (5, False, 2), 5: (None, False, 2), 6: (None, False, 2)}
     assert places.placed_anew(media.limit(0), towns, owners, 2, 50.0).count() == 0
+
+
+def test_points_and_towns_of_one_place_meet_once(spark):
+    """Without that, 3.6 thousand million pairs."""
+    import time
+
+    began = time.monotonic()
+    at = lambda lon: F.struct(F.lit(89.5).alias("lat"), lon.alias("lon"))
+    points = spark.range(60_000).select(F.col("id").alias("key"), at(F.when(F.col("id") % 2 == 0, -179.9).otherwise(10.0)).alias("x")).select("key", "x.*")
+    towns = spark.range(60_000).select((F.col("id") + 7).alias("town"), at(F.when(F.col("id") < 30_000, 179.9).otherwise(10.0)).alias("x")).select("town", "x.*")
+    got = places.nearest_town(points, "key", towns, "town", 50.0).groupBy(F.col("key") % 2, "town").agg(F.count(F.lit(1)), F.max("km")).collect()
+    assert sorted((r[0], r[1], r[2], r[3] < 1) for r in got) == [(0, 7, 30_000, True), (1, 30_007, 30_000, True)]
+    assert time.monotonic() - began < 60
