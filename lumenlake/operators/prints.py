@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 # Edge of a picture that is printed, frequencies kept each way, the difference that is a change.
 SIZE, LOW, CHANGE = 32, 8, 6.0
-#: Widths of the parts that prints of 64 bits are cut into: of two that differ in four bits at most, one part is equal, and of the
-#: four others one differs in one bit at most.
+#: Widths of the parts that prints of 64 bits are cut into: of two that differ in four bits at most, two parts are equal, or one
+#: is and each other one differs in one bit.
 WIDTHS = (13, 13, 13, 13, 12)
 _COSINES = np.cos(np.pi / (2 * SIZE) * np.outer(np.arange(LOW), 2 * np.arange(SIZE) + 1))
 
@@ -112,25 +112,36 @@ def apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def blocks(bits: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
+    """(kind, part, other part, bits to flip in that) of the blocks that a print lies in, and of those that it asks."""
+    n = len(WIDTHS)
+    equal = [(i * n + j, i, j, 0) for i in range(n) for j in range(i + 1, n)]
+    near = [(n * n + i, i, (i + 1) % n) for i in range(n)] if bits == n - 1 else []
+    return equal + [(*x, 0) for x in near], equal + [(*x, 1 << f) for x in near for f in range(WIDTHS[x[2]])]
+
+
 def close_ties(rows: DataFrame, key: str, prints_: str, bits: int = 4) -> DataFrame:
     """a, b: pairs of different prints no more than `bits` (4 at most) apart, each by its smallest key; equal ones are a tie of
     another kind (groups.exact_ties). Null prints tie nothing.
 
-    Blocks have two levels: one part is equal, and another is equal or differs in one bit, which one side tries out. So a block
-    holds two parts' bits (25 or more), and prints that agree in one part alone never meet."""
-    if bits > len(WIDTHS) - 1:
-        raise ValueError(f"prints are blocked for up to {len(WIDTHS) - 1} bits")
-    starts = [sum(WIDTHS[:i]) for i in range(len(WIDTHS))]
+    Of two such prints two parts are equal, or one is and each of the four others differs in one bit. So a block holds two parts'
+    bits (25 or more): those of any two parts, or those of a part and the next one, of which one side tries out each bit. Prints
+    that agree in one part alone never meet by it. Only prints and a block's number are shuffled."""
+    n = len(WIDTHS)
+    if bits > n - 1:
+        raise ValueError(f"prints are blocked for up to {n - 1} bits")
+    starts = [sum(WIDTHS[:i]) for i in range(n)]
     one = rows.where(F.col(prints_).isNotNull()).groupBy(F.col(prints_).alias("p")).agg(F.min(key).alias("k"))
-    pairs = [(i, j) for i in range(len(WIDTHS)) for j in range(len(WIDTHS)) if i != j]
-
-    def keyed(flips: list[tuple[int, int, int]], k: str, p: str) -> DataFrame:
-        """Each print with a key for each (equal part, near part, bits to flip in that)."""
-        entries = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in (("at", i * len(WIDTHS) + j), ("si", starts[i]), ("mi", (1 << WIDTHS[i]) - 1), ("sj", starts[j]), ("mj", (1 << WIDTHS[j]) - 1), ("flip", flip)))) for i, j, flip in flips))
-        each = one.select(F.col("k").alias(k), F.col("p").alias(p), F.explode(entries).alias("e"))
-        return each.selectExpr(k, p, "e.at", f"shiftright({p}, e.si) & e.mi AS same", f"(shiftright({p}, e.sj) & e.mj) ^ e.flip AS near")
-
-    held = keyed([(i, j, 0) for i, j in pairs], "b", "q")
-    asks = keyed([(i, j, 1 << f if f >= 0 else 0) for i, j in pairs for f in range(-1, WIDTHS[j])], "a", "p")
-    near = asks.join(held, ["at", "same", "near"]).where((F.col("a") < F.col("b")) & (apart(F.col("p"), F.col("q")) <= bits))
-    return near.select("a", "b").distinct()
+    held_in, asked_in = blocks(bits)
+
+    def keyed(flips: list[tuple[int, int, int, int]], p: str) -> DataFrame:
+        """Each print with the number of each of its blocks, made of (kind, part, other part, bits to flip in that)."""
+        part = lambda i: F.shiftright("p", starts[i]).bitwiseAND(F.lit((1 << WIDTHS[i]) - 1))
+        wide = max(WIDTHS)
+        number = lambda at, i, j, flip: F.lit(at << 2 * wide).cast("long") + F.shiftleft(part(i), wide) + part(j).bitwiseXOR(F.lit(flip).cast("long"))
+        return one.select(F.col("p").alias(p), F.explode(F.array(*(number(*f) for f in flips))).alias("block"))
+
+    met = keyed(asked_in, "p").join(keyed(held_in, "q"), "block").where((F.col("p") != F.col("q")) & (apart(F.col("p"), F.col("q")) <= bits))
+    met = met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    near = met.join(one.select("p", F.col("k").alias("_k")), "p").join(one.select(F.col("p").alias("q"), F.col("k").alias("_l")), "q")
+    return near.select(F.least("_k", "_l").alias("a"), F.greatest("_k", "_l").alias("b"))

@@ -79,3 +79,18 @@ def test_close_ties_find_all_pairs(spark):
         assert {tuple(r) for r in prints.close_ties(spark.createDataFrame(rows, "k long, p long"), "k", "p", bits).collect()} == want and want
     with pytest.raises(ValueError):
         prints.close_ties(spark.createDataFrame(rows, "k long, p long"), "k", "p", 5)
+
+
+def test_few_blocks_find_prints_that_differ_in_each_part_but_one(spark):
+    rng, rows, want = random.Random(9), [], set()
+    at = [sum(prints.WIDTHS[:i]) for i in range(len(prints.WIDTHS))]
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    for same in range(len(prints.WIDTHS)):
+        for n in range(20):
+            p, flips = rng.getrandbits(64), sum(1 << (at[i] + rng.randrange(w)) for i, w in enumerate(prints.WIDTHS) if i != same)
+            k = same * 100 + n * 2
+            rows += [(k, signed(p)), (k + 1, signed(p ^ flips))]
+            want.add((k, k + 1))
+    got = prints.close_ties(spark.createDataFrame(rows, "k long, p long"), "k", "p").collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
+    assert sum(map(len, prints.blocks(4))) < 100  # were 276 and 20
