@@ -1,7 +1,7 @@
 """What is wrong with written pages of a book: fourteen weighted rules over each draft, and the best draft of a page.
 
 A draft is a row of book, page, draft, headline, story, lines (one for each captioned picture), names (of the persons known to be
-there), used (headlines of other pages) and wanted (the number of lines a page needs). Everything is one expression over a row, so
+there), used (headlines of other pages) and wanted (the number of lines a page needs). Everything is told from a row by itself, so
 drafts of any number are judged where they lie. Null texts, arrays and names are empty; a draft without a headline or a story has
 that one fault. Ties between drafts go to the smaller draft; an empty table gives no rows.
 """
@@ -42,44 +42,57 @@ def has(text: Column, words: list[str]) -> Column:
 
 
 def people_numbered(text: Column) -> Column:
-    """Whether a number stands right before a word for people, both as whole words."""
-    words = F.split(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]+", "\u0000 "), r"\s+")  # a sign between two words parts them
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    number = lambda a: F.array_contains(F.array(*map(F.lit, NUMBERS)), a) | F.rlike(a, F.lit(r"^\d+$"))
-    return F.exists(pairs, lambda p: F.coalesce(number(p["a"]) & F.array_contains(F.array(*map(F.lit, PEOPLE)), F.translate(p["b"], "\u0000", "")), F.lit(False)))
+    """Whether a number stands right before a word for people, both as whole words. Only texts with such a word are matched."""
+    edge = r"[\p{L}\p{N}_]"
+    return has(text, PEOPLE) & F.rlike(text, F.lit(rf"(?<!{edge})(?:{'|'.join(NUMBERS)}|\d+)\s+(?:{'|'.join(PEOPLE)})(?!{edge})"))
 
 
-def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+def words_above(text: Column, most: int) -> Column:
+    """Whether a text has more than `most` words, told at the word after those, in one pass."""
+    return F.rlike(text, F.lit(rf"^\s*+\S++(?:\s++\S++){{{most}}}"))
 
 
-def faults() -> Column:
-    """The names of a draft's faults, in the order of COSTS."""
+def bare(text: Column) -> Column:
+    """A text without white space at its ends; null is empty."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+
+
+def _prepared(drafts: DataFrame) -> DataFrame:
+    """drafts with what the rules look at. The columns are made one step after the other, as each is used by many rules: within
+    one expression each rule would trim, join and lower the whole texts anew for each of its words."""
     texts = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")))
-    bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", "")
-    headline, story, lines = bare("headline"), bare("story"), texts("lines")
-    names = F.filter(texts("names"), lambda x: x != "")
-    everything = F.lower(F.array_join(F.concat(F.array(headline, story), lines), " "))
-    text = F.lower(F.array_join(F.concat(F.array(story), lines), " "))
-    opens = F.exists(F.concat(F.array(headline), lines), lambda x: F.lower(x).rlike("^(" + "|".join(COUNTING) + ")"))
+    out = drafts.withColumns({"_headline": bare(F.col("headline")), "_story": bare(F.col("story")), "_lines": texts("lines"), "_names": F.filter(texts("names"), lambda x: x != ""), "_used": texts("used")})
+    return out.withColumns({"_all": F.lower(F.array_join(F.concat(F.array("_headline", "_story"), "_lines"), " ")), "_text": F.lower(F.array_join(F.concat(F.array("_story"), "_lines"), " ")), "_title": F.lower("_headline")})
+
+
+def _rules() -> dict[str, Column]:
+    """Whether a prepared draft has each fault but the missing text."""
+    everything, text, title, lines = (F.col(c) for c in ("_all", "_text", "_title", "_lines"))
+    start = max(map(len, COUNTING))  # lower-casing leaves no letter out, so a line's beginning tells how its lower-cased form begins
     wanted = F.coalesce(F.col("wanted"), F.lit(0))
-    rules = {
+    return {
         "counted": has(everything, COUNTED) | people_numbered(everything),
-        "counting": opens,
-        "posing_headline": has(F.lower(headline), POSING),
+        "counting": F.exists(F.concat(F.array("_headline"), lines), lambda x: F.lower(F.substring(x, 1, start)).rlike("^(" + "|".join(COUNTING) + ")")),
+        "posing_headline": has(title, POSING),
         "posing_text": has(text, POSING),
-        "nameless": (F.size(names) > 0) & ~F.exists(names, lambda n: F.contains(everything, F.lower(n))),
+        "nameless": (F.size("_names") > 0) & ~F.exists("_names", lambda n: F.contains(everything, F.lower(n))),
         "felt": has(everything, FELT),
         "jargon": has(everything, JARGON),
         "unknown": has(everything, UNKNOWN),
         "hedging": has(everything, HEDGING),
-        "long_headline": word_count(headline) > HEADLINE_WORDS,
-        "used": F.exists(texts("used"), lambda u: F.lower(u) == F.lower(headline)),
+        "long_headline": words_above(F.col("_headline"), HEADLINE_WORDS),
+        "used": F.exists("_used", lambda u: F.lower(u) == title),
         "line_number": (wanted > 0) & (F.size(lines) != wanted),
-        "long_line": F.exists(lines, lambda x: word_count(x) > LINE_WORDS),
+        "long_line": F.exists(lines, lambda x: words_above(x, LINE_WORDS)),
     }
-    found = F.filter(F.array(*(F.when(rules[n], n) for n in COSTS if n != "missing")), lambda x: x.isNotNull())
-    return F.when((headline == "") | (story == ""), F.array(F.lit("missing"))).otherwise(found)
+
+
+def faulted(drafts: DataFrame) -> DataFrame:
+    """drafts with faults: the names of a draft's faults, in the order of COSTS."""
+    rules = _rules()
+    looked = _prepared(drafts).select(*drafts.columns, ((F.col("_headline") == "") | (F.col("_story") == "")).alias("_missing"), *(r.alias(f"_is_{n}") for n, r in rules.items()))
+    found = F.array_compact(F.array(*(F.when(F.col(f"_is_{n}"), n) for n in COSTS if n != "missing")))
+    return looked.select(*drafts.columns, F.when(F.col("_missing"), F.array(F.lit("missing"))).otherwise(found).alias("faults"))
 
 
 def cost(names: Column) -> Column:
@@ -90,7 +103,7 @@ def cost(names: Column) -> Column:
 
 def judged(drafts: DataFrame) -> DataFrame:
     """drafts with faults, cost and worst (the fault that costs most, of equals the first; null without any)."""
-    out = drafts.withColumn("faults", faults())
+    out = faulted(drafts.drop("faults"))
     dearest = F.array_sort(F.transform("faults", lambda n, i: F.struct((-cost(F.array(n))).alias("c"), i.alias("i"), n.alias("n"))))
     return out.withColumn("cost", cost(F.col("faults"))).withColumn("worst", F.try_element_at(dearest, F.lit(1))["n"])
 

@@ -84,6 +84,6 @@ def drafts_judged(spark, sf):
     headline = F.concat(F.element_at(F.array(*map(F.lit, _BEGINS)), (key % 8 + 1).cast("int")), F.array_join(F.slice(F.split(text, " "), 1, 5), " "))
     d = _t(spark, sf, "documents").select(
         "doc_id", headline.alias("headline"), F.col("text").alias("story"), F.when(text != "", F.split(text, "\n")).alias("lines"), F.array("source").alias("names"),
-        F.when(key % 5 == 0, F.array(F.regexp_replace(headline, r"^\s+|\s+$", ""))).alias("used"), (key % 4).alias("wanted"),
+        F.when(key % 5 == 0, F.array(drafts.bare(headline))).alias("used"), (key % 4).alias("wanted"),
     )
     return drafts.judged(d).select("doc_id", F.array_join("faults", ",").alias("faults"), "cost", "worst")

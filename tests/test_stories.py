@@ -125,3 +125,14 @@ def test_faults(spark):
         want[r["page"]] = min(want.get(r["page"], (999, 0)), (r["cost"], i))
     assert {r["page"]: (r["cost"], r["draft"]) for r in drafts.best(frame).collect()} == want
     assert drafts.best(frame.limit(0)).count() == 0
+
+
+def test_a_draft_is_joined_and_lowered_once(spark):
+    frame = spark.createDataFrame([(1, 1, 1, "Am Meer", "Da.", [], [], [], 0)], DRAFT)
+    plan = drafts.judged(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(array_join(") <= 2 and plan.count("trim(") <= 2  # not once for each word of each rule
+    texts = ["x" + " " * 300_000 + "y", "x-zwei\u0085  leute", "x²12 leute", "12 leute_", "vier\n(leute", " " + "a " * 9 + "\n", "Ein moment", "ein\u00a0moment"]
+    lines = [(1, 1, i, "Am Meer", t, [t], [], [], 1) for i, t in enumerate(texts)]
+    got = {r["draft"]: r["faults"] for r in drafts.judged(spark.createDataFrame(lines, DRAFT)).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [], 4: [], 5: [], 6: ["counting"], 7: []}
+    assert drafts.judged(spark.createDataFrame([(1, 1, 0, "Am Meer", "x-zwei \n leute?", [], [], [], 0)], DRAFT)).first()["faults"] == ["counted"]
