@@ -3,8 +3,9 @@ leaves a chance.
 
 A row lies in the cell of its nearest centroid, and in a ring of that cell by its distance (the chord between directions) from
 it. A search of some radius reads the rings that meet the shell around a centroid in which its answers must lie; the rings it
-skips hold none. Large rings are dealt to pieces of about `piece` rows, so that a piece and a batch of questions is all that a
-task holds, however many rows are alike.
+skips hold none. Rings lie together in shares of at most `piece` rows, and larger ones are dealt to several, so that a share and a
+batch of questions is all that a task holds, however many rows are alike. A question's vector goes to each share once and a row's
+to each part of the questions, so what is shuffled grows with the shares and not with the rings.
 
 Distances are cosine distances rounded to six places. A vector that is null, has a null, NaN or infinite part, has no length or
 not the index's number of dimensions is near to nothing. Keys are whole numbers; rows with a null key are left out, rows that
@@ -29,7 +30,9 @@ from lumenlake.operators.search import cosine_distance
 
 #: Vectors that centroids are fitted on, at most; only how much is skipped depends on them, never an answer.
 SAMPLE = 4096
-CELLS, RING, PIECE = 64, 0.05, 4096
+CELLS, RING, PIECE = 64, 0.05, 65_536
+#: Shares that an index has at least, if they have so many rows; numbers that a share's vectors have at most; tasks of a search.
+SHARES, LEAST, VALUES, TASKS = 8, 512, 1 << 22, 64
 #: What rounding of distances and of bounds may hide.
 SLACK = 1e-6
 
@@ -79,6 +82,20 @@ class Index:
     rings: pd.DataFrame
     piece: int
 
+    def dealt(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """The first share of each ring, the number of shares it is dealt to (1 for all but rings larger than a share), and the
+        number of shares: runs of rings of about as many rows each, of which none has more than a share may have."""
+        n = self.rings["n"].to_numpy(np.int64)
+        fits = max(1, min(self.piece, VALUES // max(1, self.centroids.shape[1])))
+        size = min(fits, max(LEAST, -(-int(n.sum()) // SHARES)))
+        first, pieces, share, full = np.zeros(len(n), np.int64), np.ones(len(n), np.int64), 0, 0
+        for r, rows in enumerate(n.tolist()):
+            if full and full + rows > size:
+                share, full = share + 1, 0
+            first[r], pieces[r] = share, max(1, -(-rows // size))
+            share, full = (share + int(pieces[r]), 0) if rows > size else (share, full + rows)
+        return first, pieces, share + (full > 0)
+
     def shells(self, units: np.ndarray, radius: float) -> np.ndarray:
         """For each unit vector and ring, whether a row of the ring can lie within the radius."""
         reach = np.sqrt(2 * (min(max(radius, 0.0), 2.0) + SLACK)) + SLACK
@@ -89,6 +106,50 @@ class Index:
         return near & (d <= far.min(1, keepdims=True) + 2 * reach)  # beyond that, another centroid is nearer to all that is within reach
 
 
+class _Held:
+    """The rows of a share in the order of their rings, for questions that pass by."""
+
+    def __init__(self, index: Index, got: list[tuple[np.ndarray, ...]]) -> None:
+        keys, cell, ring, units = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((ring, cell))
+        self.keys, self.units = keys[order], units[order]
+        code = cell[order].astype(np.int64) << 32 | ring[order]
+        self.bounds = np.concatenate([np.flatnonzero(np.diff(code, prepend=-1)), [len(code)]])
+        known = index.rings["cell"].to_numpy(np.int64) << 32 | index.rings["ring"].to_numpy(np.int64)
+        self.index = Index(None, index.key, index.vector, index.centroids, index.rings.iloc[np.searchsorted(known, code[self.bounds[:-1]])], index.piece)
+
+    def nearest(self, k: np.ndarray, u: np.ndarray, radius: float, most: int | None, itself: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of questions, keys found and distances; one lot if `most` is asked for, else one for each ring."""
+        near, limit = self.index.shells(u, radius), np.full(len(k), float(radius))
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for r in np.flatnonzero(near.any(0)).tolist():
+            lo, hi, of = self.bounds[r], self.bounds[r + 1], np.flatnonzero(near[:, r])
+            for a in range(lo, hi, 4096):
+                dots = u[of] @ self.units[a : min(a + 4096, hi)].T
+                q, f = np.nonzero(dots >= (1 - SLACK - limit[of])[:, None])
+                if not len(q):
+                    continue
+                d = np.round(1 - dots[q, f], 6) + 0.0  # no negative zero
+                q, f = of[q], self.keys[a + f]
+                hit = d <= limit[q]
+                if not itself:
+                    hit &= k[q] != f
+                q, f, d = q[hit], f[hit], d[hit]
+                if most is None:
+                    yield q, f, d
+                    continue
+                q, f, d = (np.concatenate(x) for x in zip(kept, (q, f, d), strict=True))
+                order = np.lexsort((f, d, q))
+                q, f, d = q[order], f[order], d[order]
+                ok = np.arange(len(q)) - np.searchsorted(q, q) < most
+                q, f, d = kept = q[ok], f[ok], d[ok]
+                last = np.searchsorted(q, np.arange(len(k))) + most - 1
+                full = (last < len(q)) & (q[np.minimum(last, len(q) - 1)] == np.arange(len(k))) if len(q) else np.zeros(len(k), bool)
+                limit[full] = d[last[full]]
+        if most is not None:
+            yield kept
+
+
 def build(rows: DataFrame, key: str, vector: str, cells: int = CELLS, piece: int = PIECE, keep: Sequence[str] = ()) -> Index:
     """An index of all rows with a direction; columns of `keep` go with them and can be asked for by a condition."""
     centroids = fitted(rows.where(F.col(key).isNotNull()), key, vector, cells)
@@ -134,71 +195,67 @@ def neighbours(index: Index, questions: DataFrame, key: str, vector: str, radius
     """question, found, distance: of each row of questions, the rows of the index within the radius (where a condition on kept
     columns holds), the `most` nearest if asked for; ties go to the smallest key. Without itself, equal keys do not meet.
 
-    Questions go to the pieces of the rings that may hold an answer. A task holds a piece and passes the questions by in
-    batches; with `most`, no piece answers more than that."""
+    Questions go to the shares that hold a ring in which an answer may lie, once to each; the questions of a share are dealt to
+    parts. A task holds a share and passes the questions of a part by in batches, each by the rings that it needs; with `most`,
+    no share answers more than that, and what is farther than the `most` found so far is not looked at again."""
     spark, dims, rings = questions.sparkSession, index.centroids.shape[1], index.rings
-    pieces = np.maximum(1, -(-rings["n"].to_numpy(np.int64) // index.piece)) if len(rings) else np.zeros(0, np.int64)
-    cell, ring = (rings[c].to_numpy(np.int32) for c in ("cell", "ring"))
-    kind = index.table.schema[index.vector].dataType.simpleString()
+    first, pieces, shares = index.dealt()
+    parts = max(1, -(-TASKS // max(1, shares)))
+    holds = np.zeros((len(rings), shares), np.float32)  # which shares have rows of a ring
+    for r, (f, n) in enumerate(zip(first.tolist(), pieces.tolist(), strict=True)):
+        holds[r, f : f + n] = 1
+    bare = Index(None, index.key, index.vector, index.centroids, rings, index.piece)  # what tasks need of it
+    float_ = "array<float>" if {index.table.schema[index.vector].dataType.simpleString(), questions.schema[vector].dataType.simpleString()} == {"array<float>"} else "array<double>"
+    sent = pa.list_(pa.float32() if float_ == "array<float>" else pa.float64())
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows if len(rings) else 0, 256):
-                part = b.slice(lo, 256)
-                at, u = directions(part.column(1), dims)
-                q, r = np.nonzero(index_shells(u)) if len(at) else (np.zeros(0, np.int64),) * 2
-                n = pieces[r]
-                q, r = np.repeat(q, n), np.repeat(r, n)
-                no = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
-                for some in range(0, len(q), 4096):  # a question's vector is sent to each of its pieces
+                block = b.slice(lo, 256)
+                at, u = directions(block.column(1), dims)
+                q, share = np.nonzero(bare.shells(u, radius).astype(np.float32) @ holds) if len(at) else (np.zeros(0, np.int64),) * 2
+                for some in range(0, len(q), 4096):  # a question's vector is sent to each of its shares
                     s = slice(some, some + 4096)
-                    got = part.take(pa.array(at[q[s]]))
-                    yield pa.RecordBatch.from_arrays([got.column(0), got.column(1).cast(pa.list_(pa.float64())), pa.array(cell[r[s]]), pa.array(ring[r[s]]), pa.array(no[s].astype(np.int32)), pa.array(np.ones(len(got), np.int8))], ["k", "v", "cell", "ring", "piece", "asks"])
+                    got = block.take(pa.array(at[q[s]]))
+                    part = (got.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
+                    blank = pa.array(np.full(len(got), -1, np.int32))
+                    yield pa.RecordBatch.from_arrays([got.column(0), got.column(1).cast(sent), blank, blank, pa.array(share[s].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.ones(len(got), np.int8))], ["k", "v", "cell", "ring", "share", "part", "asks"])
 
-    bare = Index(None, index.key, index.vector, index.centroids, rings, index.piece)  # what tasks need of it
-    index_shells = lambda u: bare.shells(u, radius)
-    shape = "k bigint, v array<double>, cell int, ring int, piece int, asks tinyint"
+    shape = f"k bigint, v {float_}, cell int, ring int, share int, part int, asks tinyint"
     rows = index.table if where is None else index.table.where(where)
-    number = spark.createDataFrame(pd.DataFrame({"cell": cell, "ring": ring, "_n": pieces}), "cell int, ring int, _n bigint")
-    held = rows.join(F.broadcast(number), ["cell", "ring"]).select(F.col(index.key).alias("k"), F.col(index.vector).cast("array<double>").alias("v"), "cell", "ring", F.pmod("salt", "_n").cast("int").alias("piece"), F.lit(0).cast("tinyint").alias("asks"))
-    asks = questions.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    number = spark.createDataFrame(pd.DataFrame({"cell": rings["cell"].to_numpy(np.int32), "ring": rings["ring"].to_numpy(np.int32), "_f": first, "_n": pieces}), "cell int, ring int, _f bigint, _n bigint")
+    held = rows.join(F.broadcast(number), ["cell", "ring"]).select(
+        F.col(index.key).alias("k"), F.col(index.vector).cast(float_).alias("v"), "cell", "ring", (F.col("_f") + F.pmod("salt", "_n")).cast("int").alias("share"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).cast("tinyint").alias("asks"),
+    )
+    asks = questions.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(vector).cast(float_).alias("v"))
     asks = asks.mapInArrow(asked, shape)
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, units = None, [], []
+        now, got, held_ = None, [], None
         for b in batches:
-            place = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("cell", "ring", "piece", "asks")])
+            place = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("share", "part", "asks")])
             edges = np.concatenate([[0], np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1, [b.num_rows]])
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if lo == hi:
                     continue
-                where = tuple(place[:3, lo].tolist())
+                where = tuple(place[:2, lo].tolist())
                 if where != now:
-                    now, keys, units = where, [], []
+                    now, got, held_ = where, [], None
                 at, u = directions(b.column("v").slice(lo, hi - lo), dims)
-                k = b.column("k").slice(lo, hi - lo).to_numpy()[at]
-                if not place[3, lo]:
-                    keys.append(k)
-                    units.append(u)
+                k, cell, ring = (b.column(c).slice(lo, hi - lo).to_numpy()[at] for c in ("k", "cell", "ring"))
+                if not place[2, lo]:
+                    got.append((k, cell, ring, u))
                     continue
-                if not units:
+                if not got:
                     continue
-                keys, units = [np.concatenate(keys)], [np.concatenate(units)]
+                if held_ is None:
+                    held_, got = _Held(bare, got), got[:1]  # what came is copied once, in the order of its rings
                 for s in range(0, len(k), 256):
-                    d = np.round(1 - u[s : s + 256] @ units[0].T, 6)
-                    hit = d <= radius
-                    if not itself:
-                        hit &= k[s : s + 256, None] != keys[0][None, :]
-                    q, f = np.nonzero(hit)
-                    d = d[q, f] + 0.0  # no negative zero
-                    if most is not None and len(q):
-                        order = np.lexsort((keys[0][f], d, q))
-                        q, f, d = q[order], f[order], d[order]
-                        ok = np.arange(len(q)) - np.searchsorted(q, q) < most
-                        q, f, d = q[ok], f[ok], d[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(k[s : s + 256][q]), pa.array(keys[0][f]), pa.array(d)], ["question", "found", "distance"])
-
-    at = ["cell", "ring", "piece"]
+                    for q, found, d in held_.nearest(k[s : s + 256], u[s : s + 256], radius, most, itself):
+                        yield pa.RecordBatch.from_arrays([pa.array(k[s : s + 256][q]), pa.array(found), pa.array(d)], ["question", "found", "distance"])
+
+    at = ["share", "part"]
     pairs = held.unionByName(asks).repartition(*at).sortWithinPartitions(*at, "asks").mapInArrow(answered, "question bigint, found bigint, distance double")
     if most is None:
         return pairs

@@ -229,3 +229,21 @@ def test_motifs_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "id long, v array<double>")
     assert motifs.motifs(df, "id", "v", 3).count() == 0
     assert groups.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_question_is_sent_once_to_each_share(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(3000)] + [(3000 + i, [1.0] * 8) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    index = vectors.build(df, "id", "v")
+    first, pieces, shares = index.dealt()
+    assert len(index.rings) > 100 and shares <= 10 and pieces.max() == 2 and first.max() + 1 == shares
+    asks = vectors.neighbours(index, df, "id", "v", 2.0, 3)
+    got = {}
+    for r in asks.collect():
+        got.setdefault(r["question"], []).append((r["distance"], r["found"]))
+    some = [rows[i] for i in (0, 77, 2999, 3000, 3699)]
+    units = {k: unit(v) for k, v in rows}
+    for k, _ in some:
+        want = sorted((gap(units[k], u), o) for o, u in units.items())[:3]
+        assert [x[1] for x in sorted(got[k])] == [x[1] for x in want] and all(abs(a[0] - b[0]) < 2e-6 for a, b in zip(sorted(got[k]), want, strict=True))
