@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumenlake.operators import prints
+from lumenlake.operators.prints import SIZE
 from lumenlake.operators.registry import _query, _t
 
 _GREY = "CAST(greatest(0, least(255, floor(128 + 900 * {x} * {y}))) AS INT)"
@@ -12,20 +17,46 @@ _PX = f"list_transform(range(1024), lambda i: {_GREY.format(x='e[1 + i // 32]',
 _COS = "c AS (SELECT u, x, cos((2 * x + 1) * u * pi() / 64) AS w FROM range(8) a(u), range(32) b(x))"
 
 
+def _greyed(rows):
+    """rows with grey in place of e, a list of 64 numbers: a picture of 32 x 32, the first half down, the second half across. Where a
+    number is null the picture is white."""
+    names = [*(c for c in rows.columns if c != "e"), "grey"]
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                flat = b.column("e").flatten()
+                x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 64)
+                none = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, 64)
+                with np.errstate(all="ignore"):
+                    value = np.nan_to_num(np.clip(np.floor(128 + 900 * x[:, :32, None] * x[:, None, 32:]), 0, 255))
+                value[none[:, :32, None] | none[:, None, 32:]] = 255
+                greys = value.astype(np.uint8).reshape(-1, SIZE * SIZE)
+                ends = pa.py_buffer(np.arange(len(greys) + 1, dtype=np.int32) * (SIZE * SIZE))
+                grey = pa.Array.from_buffers(pa.binary(), len(greys), [None, ends, pa.py_buffer(np.ascontiguousarray(greys))])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), grey], names)
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names[:-1])
+    return rows.mapInArrow(drawn, f"{kinds}, grey binary")
+
+
+def _numbers(spark, sf, key):
+    """The embeddings' key, label and 64 numbers; what a list lacks is null."""
+    e = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("embedding", i).cast("double"))
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias(key), "label", e.alias("e"))
+
+
 def _grey(spark, sf):
     """Pictures of 32 x 32: an embedding's first half down, its second half across."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 900 * F.get("v", F.floor(i / 32).cast("int")) * F.get("v", 32 + i % 32)))).cast("int"))
-    hexed = F.array_join(F.transform(at, lambda x: F.lpad(F.hex(x), 2, "0")), "")
-    return _t(spark, sf, "embeddings").withColumn("v", v).select("vec_id", "label", F.unhex(hexed).alias("grey"))
+    return _greyed(_numbers(spark, sf, "vec_id"))
 
 
 def _frames(spark, sf):
     """Videos of 40 frames each; some frames repeat the one before them."""
-    g = _grey(spark, sf)
     number = (F.col("vec_id") - F.when(F.col("vec_id") % 40 % 3 == 2, 1).otherwise(0)).alias("shown")
     shows = _t(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 40).alias("medium"), (F.col("vec_id") % 40).alias("second"), number)
-    return shows.join(g.select(F.col("vec_id").alias("shown"), "grey"), "shown").select("medium", "second", "grey")
+    return _greyed(shows.join(_numbers(spark, sf, "shown"), "shown").select("medium", "second", "e"))
 
 
 @_query(f"""WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), g AS (SELECT vec_id, {_PX} AS px FROM e),

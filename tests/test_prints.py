@@ -94,3 +94,21 @@ def test_few_blocks_find_prints_that_differ_in_each_part_but_one(spark):
     got = prints.close_ties(spark.createDataFrame(rows, "k long, p long"), "k", "p").collect()
     assert sorted((r["a"], r["b"]) for r in got) == sorted(want)
     assert sum(map(len, prints.blocks(4))) < 100  # were 276 and 20
+
+
+def test_pictures_of_lists_as_their_sql_draws_them(spark, tmp_path):
+    import numpy as np
+
+    from lumenlake.operators import print_queries as Q
+
+    lists = [[(-1) ** i * i / 64 for i in range(64)], [0.5] * 63 + [None], [0.5] * 40, None, [float("nan")] + [0.2] * 63, [float("inf")] * 64, [0.0] + [float("-inf")] * 63]
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(lists)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    frame = Q._grey(spark, str(tmp_path))
+    assert "hex" not in frame._jdf.queryExecution().optimizedPlan().toString()  # no list of 1,024 texts for each picture
+    got = {r["vec_id"]: bytes(r["grey"]) for r in frame.collect()}
+    for k, v in enumerate(lists):
+        e = [None if x is None else float(np.float32(x)) for x in [*(v or []), *[None] * 64][:64]]
+        for i in range(1024):
+            a, b = e[i // 32], e[32 + i % 32]
+            x = 255.0 if a is None or b is None else 128 + 900 * a * b
+            assert got[k][i] == (0 if math.isnan(x) else int(max(0, min(255, math.floor(x) if math.isfinite(x) else x)))), (k, i)
