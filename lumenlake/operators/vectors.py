@@ -33,6 +33,8 @@ SAMPLE = 4096
 CELLS, RING, PIECE = 64, 0.05, 65_536
 #: Shares that an index has at least, if they have so many rows; numbers that a share's vectors have at most; tasks of a search.
 SHARES, LEAST, VALUES, TASKS = 8, 512, 1 << 22, 64
+#: Rows of small rings that meet a batch of questions together.
+BLOCK = 1024
 #: What rounding of distances and of bounds may hide.
 SLACK = 1e-6
 
@@ -114,23 +116,30 @@ class _Held:
         order = np.lexsort((ring, cell))
         self.keys, self.units = keys[order], units[order]
         code = cell[order].astype(np.int64) << 32 | ring[order]
+        self.short = self.units.astype(np.float32)
         self.bounds = np.concatenate([np.flatnonzero(np.diff(code, prepend=-1)), [len(code)]])
+        # small rings are looked at together, BLOCK rows or one ring at least
+        self.blocks = [0]
+        for r in range(1, len(self.bounds)):
+            if r == len(self.bounds) - 1 or self.bounds[r + 1] - self.bounds[self.blocks[-1]] > BLOCK:
+                self.blocks.append(r)
         known = index.rings["cell"].to_numpy(np.int64) << 32 | index.rings["ring"].to_numpy(np.int64)
         self.index = Index(None, index.key, index.vector, index.centroids, index.rings.iloc[np.searchsorted(known, code[self.bounds[:-1]])], index.piece)
 
     def nearest(self, k: np.ndarray, u: np.ndarray, radius: float, most: int | None, itself: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Places of questions, keys found and distances; one lot if `most` is asked for, else one for each ring."""
-        near, limit = self.index.shells(u, radius), np.full(len(k), float(radius))
-        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        """Places of questions, keys found and distances; one lot if `most` is asked for, else several."""
+        near, limit = np.logical_or.reduceat(self.index.shells(u, radius), self.blocks[:-1], axis=1), np.full(len(k), float(radius))
+        kept, short, slack = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), u.astype(np.float32), SLACK + 1.3e-7 * u.shape[1]
         for r in np.flatnonzero(near.any(0)).tolist():
-            lo, hi, of = self.bounds[r], self.bounds[r + 1], np.flatnonzero(near[:, r])
-            for a in range(lo, hi, 4096):
-                dots = u[of] @ self.units[a : min(a + 4096, hi)].T
-                q, f = np.nonzero(dots >= (1 - SLACK - limit[of])[:, None])
+            lo, hi, of = self.bounds[self.blocks[r]], self.bounds[self.blocks[r + 1]], np.flatnonzero(near[:, r])
+            for a in range(lo, hi, 4096):  # by short numbers first; what they leave is measured in full
+                dots = short[of] @ self.short[a : min(a + 4096, hi)].T
+                q, f = np.nonzero(dots >= (1 - slack - limit[of]).astype(np.float32)[:, None])
                 if not len(q):
                     continue
-                d = np.round(1 - dots[q, f], 6) + 0.0  # no negative zero
-                q, f = of[q], self.keys[a + f]
+                q, f = of[q], a + f
+                d = np.concatenate([np.round(1 - np.einsum("ij,ij->i", u[q[i : i + 65536]], self.units[f[i : i + 65536]]), 6) for i in range(0, len(q), 65536)]) + 0.0  # no negative zero
+                f = self.keys[f]
                 hit = d <= limit[q]
                 if not itself:
                     hit &= k[q] != f
