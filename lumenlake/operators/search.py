@@ -91,8 +91,15 @@ def equal_groups(rows: DataFrame, key: str, value: Column) -> DataFrame:
     return rows.groupBy(F.sha2(value.cast("string"), 256).alias("_h")).agg(F.min(key).alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and _h is not null").drop("_h")
 
 
+#: Rows of links that a task of together() pairs.
+LINKS = 200_000
+
+
 def together(links: DataFrame, owner: str, item: str, least: int) -> DataFrame:
-    """a, b, n: items that share at least `least` owners."""
-    x = links.select(owner, item).distinct()
+    """a, b, n: items that share at least `least` owners. Owners are dealt to as many tasks as the links need, so that what one
+    task sorts and counts does not grow with the input."""
+    x = links.select(owner, item).where(F.col(owner).isNotNull() & F.col(item).isNotNull())
+    tasks = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-x.count() // LINKS))
+    x = x.repartition(tasks, owner).distinct()
     pairs = x.select(owner, F.col(item).alias("a")).join(x.select(owner, F.col(item).alias("b")), owner).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lumenlake.operators import filters, library
+from lumenlake.operators import filters, library, search
 
 
 def test_a_chain_deeper_than_any_bound(spark):
@@ -33,3 +33,16 @@ def test_replacing_writes(spark):
     assert rows(library.written_once(old, new, key)) == sorted([(1, "x", 1), (None, "y", 2), (3, None, 3), (3, None, 4), (None, None, 5)], key=repr)
     assert rows(library.replaced(old, new, key)) == sorted([(1, "x", 9), (1, "x", 8), (None, "y", 7), (3, None, 3), (3, None, 4), (None, None, 5), (None, None, 6)], key=repr)
     assert rows(library.upserted(old, new.limit(0), key)) == rows(old) and rows(library.written_once(old.limit(0), old, key)) == sorted([(1, "x", 1), (None, "y", 2), (3, None, 3)], key=repr)
+
+
+def test_pairs_are_dealt_to_as_many_tasks_as_the_links_need(spark, monkeypatch):
+    monkeypatch.setattr(search, "LINKS", 5, raising=False)
+    rows = [(i // 3, i % 7) for i in range(300)] + [(None, 1), (None, 2), (5, None), (0, 0)]
+    found = search.together(spark.createDataFrame(rows, "o long, i long"), "o", "i", 2)
+    assert "hashpartitioning(o" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 61)" in plan
+    sets = {}
+    for o, i in rows:
+        if o is not None and i is not None:
+            sets.setdefault(o, set()).add(i)
+    want = {(a, b): n for a in range(7) for b in range(a + 1, 7) if (n := sum({a, b} <= s for s in sets.values())) >= 2}
+    assert {(r["a"], r["b"]): r["n"] for r in found.collect()} == want
