@@ -12,7 +12,8 @@ _LOOK, _SPAN, _WINDOW, _STEP = 6 * 3600, 24 * 60, 3600, 600
 
 
 def _streamed(spark, rows, time, transform):
-    return states.run(spark, states.dealt(rows, time), rows.schema, transform, shared_path(spark))
+    source, files = states.dealt(rows, time)
+    return states.run(spark, source, rows.schema, transform, shared_path(spark), files)
 
 
 @_query(f"""WITH o AS (SELECT CAST(user_id % 100 AS VARCHAR) AS path, event_id % 3 // 2 AS size, ts, event_id FROM events),
