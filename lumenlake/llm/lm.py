@@ -21,6 +21,7 @@ null held_out; with no learning text the counts are 0 and the model is the base.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,12 +43,14 @@ WINDOW, STEP = 32, 16
 BATCH = 128
 END_OF_WORD, END_OF_TEXT, IDS = 50256, 50257, 50258
 NEWLINE = 198
+#: Values beyond it are no longer taken to exp as they are.
+FAR = 60
 #: Words sent to the tasks, at most: 12 bytes each.
 TABLE = 500_000
 #: Tokens of all texts for which there is one more replica.
 REPLICA = 300_000
 #: Words whose ids a task keeps, at most.
-KEPT = 60_000
+KEPT = 200_000
 #: The hash of the token that ends a text.
 END = np.uint64(0xE0F0E0F0E0F0E0F1)
 
@@ -72,29 +75,40 @@ def hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[C.Words, np.ndarray, n
     return w, out, np.concatenate([[0], np.cumsum(per + 1)])
 
 
-_KNOWN: dict[int, tuple[int, ...]] = {}
-
-
-def word_ids(hash: np.ndarray, words: list[bytes], raw: bytes) -> list[tuple[int, ...]]:
-    """The ids of each word and END_OF_WORD. A task remembers the words it has met."""
-    if len(_KNOWN) > KEPT:
-        _KNOWN.clear()
-    keys = hash.tolist()
-    out = [_KNOWN.get(k) for k in keys]
-    fresh = [i for i, x in enumerate(out) if x is None]
-    if fresh:
-        enc = _encoding(raw)
-        text = [words[i].decode("utf-8", "replace") for i in fresh]
-        ids = np.array(enc.encode_ordinary("\n".join(text) + "\n"), np.int64)  # no word holds a line break
-        ends = np.flatnonzero(ids == NEWLINE)
-        if len(ends) == len(text):
-            parts = [x.tolist() for x in np.split(ids, ends + 1)[:-1]]
-            parts = [(*x[:-1], END_OF_WORD) for x in parts]
-        else:
-            parts = [(*enc.encode_ordinary(x), END_OF_WORD) for x in text]
-        for i, x in zip(fresh, parts, strict=True):
-            out[i] = _KNOWN[keys[i]] = x
-    return out
+#: Words that a task has met: hashes in order, where the ids of each begin in the last array, how many they are, the ids.
+_NONE = (np.array([END], np.uint64), np.array([0]), np.array([1]), np.array([END_OF_TEXT], np.int32))
+_met = _NONE
+
+
+def _encoded(words: list[bytes], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of the words, END_OF_WORD after each, how many each has)."""
+    enc = _encoding(raw)
+    ids = enc.encode_to_numpy((b"\n".join(words) + b"\n").decode("utf-8", "replace"), disallowed_special=()).astype(np.int32)  # no word holds a line break
+    ends = np.flatnonzero(ids == NEWLINE)
+    if len(ends) == len(words):
+        ids[ends] = END_OF_WORD
+        return ids, np.diff(ends, prepend=-1)
+    parts = [(*enc.encode_ordinary(x.decode("utf-8", "replace")), END_OF_WORD) for x in words]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.fromiter(itertools.chain.from_iterable(parts), np.int32, int(size.sum())), size
+
+
+def word_ids(hash: np.ndarray, words: Callable[[np.ndarray], list[bytes]], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(the ids of distinct words and END_OF_WORD after each, bounds of each word's). words gives the bytes of those at some
+    places; it is asked for words only that the task has not met, and never for the end of a text."""
+    global _met
+    known, first, size, pool = _met
+    fresh = np.flatnonzero(known[np.minimum(np.searchsorted(known, hash), len(known) - 1)] != hash)
+    if len(fresh):
+        ids, n = _encoded(words(fresh), raw)
+        known, first, size = np.append(known, hash[fresh]), np.append(first, len(pool) + np.cumsum(n) - n), np.append(size, n)
+        order, pool = np.argsort(known, kind="stable"), np.append(pool, ids)
+        known, first, size = known[order], first[order], size[order]
+        _met = (known, first, size, pool) if len(known) <= KEPT else _NONE
+    at = np.searchsorted(known, hash)
+    n = size[at]
+    ends = np.cumsum(n)
+    return pool[np.repeat(first[at] - (ends - n), n) + np.arange(n.sum())].astype(np.int64), np.append(0, ends)
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray, raw: bytes) -> Tokens:
@@ -102,13 +116,8 @@ def tokens(data: np.ndarray, bounds: np.ndarray, raw: bytes) -> Tokens:
     u, inverse = np.unique(h, return_inverse=True)
     where = np.full(len(u), -1, np.int64)
     where[inverse[np.arange(len(w.hash)) + w.row]] = np.arange(len(w.hash))
-    real = np.flatnonzero(where >= 0)
     text = w.data.tobytes()
-    ids: list[tuple[int, ...]] = [(END_OF_TEXT,)] * len(u)
-    for i, x in zip(real.tolist(), word_ids(u[real], [text[a:z] for a, z in zip(w.start[where[real]].tolist(), w.end[where[real]].tolist(), strict=True)], raw), strict=True):
-        ids[i] = x
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    return Tokens(u, inverse, rows, np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)]))
+    return Tokens(u, inverse, rows, *word_ids(u, lambda some: [text[a:z] for a, z in zip(w.start[where[some]].tolist(), w.end[where[some]].tolist(), strict=True)], raw))
 
 
 def cells(t: Tokens) -> np.ndarray:
@@ -147,11 +156,13 @@ class Layer:
     def embed_of(self, t: Tokens, place: np.ndarray) -> np.ndarray:
         """embed(t), filled in only for the words before these places."""
         at = np.clip(place, 0, len(t.inverse) - 1)
-        u = np.unique(t.inverse[np.maximum(at - 1, 0)])
+        mark = np.zeros(len(t.hash), bool)
+        mark[t.inverse[np.maximum(at - 1, 0)]] = True
+        u = np.flatnonzero(mark)
         size = np.diff(t.at)[u]
         ends = np.cumsum(size)
         ids = t.ids[np.repeat(t.at[u] - (ends - size), size) + np.arange(ends[-1])]
-        out = np.zeros((len(t.hash), DIM), np.float32)
+        out = np.empty((len(t.hash), DIM), np.float32)
         out[u] = np.add.reduceat(self.parts(self.vector)[0][ids % BINS], ends - size) / size[:, None].astype(np.float32)
         return out
 
@@ -160,17 +171,14 @@ class Layer:
         probability of each class, and what backward needs. attend=False leaves the attention out."""
         _, wq, wk, wv, wz, wo, g, g0, u, u0 = self.parts(self.vector)
         last = np.ascontiguousarray(z[:, WINDOW - STEP :])
-        q, k, v = last @ wq, z @ wk, z @ wv
+        kv, qh = _times(z, np.concatenate([wk, wv], 1)), _times(last, np.concatenate([wq, wz], 1))
+        q, k, v = qh[..., :DIM], kv[..., :DIM], kv[..., DIM:]
         s = q @ k.transpose(0, 2, 1)
         s /= np.float32(np.sqrt(DIM))
-        s += self.MASK
-        s += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(2, keepdims=True)
-        np.exp(s, s)
-        s /= s.sum(2, keepdims=True)
+        s = _softmax(s, self.MASK, np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :])
         o = s @ v if attend else np.zeros_like(q)
-        h = np.tanh(last @ wz + o @ wo)
-        return _softmax(h @ g + g0), _softmax(h @ u + u0), (last, q, k, v, s, o, h)
+        h = np.tanh(qh[..., DIM:] + _times(o, wo))
+        return _softmax(_times(h, g) + g0), _softmax(_times(h, u) + u0), (last, q, k, v, s, o, h)
 
     def gradient(self, z: np.ndarray, valid: np.ndarray, scored: np.ndarray, p: np.ndarray, kind: np.ndarray, words: np.ndarray, t: Tokens) -> np.ndarray:
         """Of the mean negative log probability of the word, plus that of its class, at the scored places of the last STEP. p: the probability of the word there
@@ -189,39 +197,61 @@ class Layer:
         out = np.zeros_like(self.vector)
         de, dwq, dwk, dwv, dwz, dwo, dg, dg0, du, du0 = self.parts(out)
         flat = lambda x: x.reshape(-1, x.shape[-1])
+        each = np.ones(flat(dx).shape[0], np.float32)
         dg += flat(h).T @ flat(dx)
-        dg0 += flat(dx).sum(0)
+        dg0 += each @ flat(dx)
         du += flat(h).T @ flat(dy)
-        du0 += flat(dy).sum(0)
-        dh = (dx @ g.T + dy @ u.T) * (1 - h * h)
-        dwz += flat(last).T @ flat(dh)
+        du0 += each @ flat(dy)
+        dqh, dkv = np.empty((*h.shape[:2], 2 * DIM), np.float32), np.empty((*z.shape[:2], 2 * DIM), np.float32)
+        dq, dh = dqh[..., :DIM], dqh[..., DIM:]
+        np.multiply(_times(dx, g.T) + _times(dy, u.T), 1 - h * h, out=dh)
         dwo += flat(o).T @ flat(dh)
-        do = dh @ wo.T
+        do = _times(dh, wo.T)
         da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(2, keepdims=True)) / np.float32(np.sqrt(DIM))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dwq += flat(last).T @ flat(dq)
-        dwk += flat(z).T @ flat(dk)
-        dwv += flat(z).T @ flat(dv)
-        dz = dk @ wk.T + dv @ wv.T
-        dz[:, WINDOW - STEP :] += dh @ wz.T + dq @ wq.T
+        np.matmul(a.transpose(0, 2, 1), do, out=dkv[..., DIM:])
+        da -= np.einsum("wij,wij->wi", da, a)[..., None]
+        da *= a
+        da *= np.float32(1 / np.sqrt(DIM))
+        np.matmul(da, k, out=dq)
+        np.matmul(da.transpose(0, 2, 1), q, out=dkv[..., :DIM])
+        of_last, of_all = flat(last).T @ flat(dqh), flat(z).T @ flat(dkv)
+        dwq += of_last[:, :DIM]
+        dwz += of_last[:, DIM:]
+        dwk += of_all[:, :DIM]
+        dwv += of_all[:, DIM:]
+        dz = _times(dkv, np.concatenate([wk, wv], 1).T)
+        dz[:, WINDOW - STEP :] += _times(dqh, np.concatenate([wq, wz], 1).T)
         known = words >= 0
-        u_, at = np.unique(words[known], return_inverse=True)
+        mark, place = np.zeros(len(t.hash), bool), np.empty(len(t.hash), np.int64)
+        mark[words[known]] = True
+        u_ = np.flatnonzero(mark)
+        place[u_] = np.arange(len(u_))
+        at = place[words[known]]
         grad = dz[known]
         dword = np.stack([np.bincount(at, grad[:, i], len(u_)) for i in range(DIM)], 1) / np.diff(t.at)[u_][:, None]
         size = np.diff(t.at)[u_]
         ids = t.ids[np.repeat(t.at[u_] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())] % BINS
-        each = np.repeat(dword, size, axis=0)
+        dids = np.repeat(dword, size, axis=0)
         for i in range(DIM):
-            de[:, i] += np.bincount(ids, each[:, i], BINS)
+            de[:, i] += np.bincount(ids, dids[:, i], BINS)
         return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(2, keepdims=True)
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w as one product, not one for each window."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
+
+
+def _softmax(x: np.ndarray, *masks: np.ndarray) -> np.ndarray:
+    """Of the last axis plus the masks, in place. The largest of each row is only taken off where a value is too far from 0 for
+    exp; each row has a place without a mask."""
+    far = x.size and max(x.max(), -x.min()) > FAR
+    for mask in masks:
+        x += mask
+    if far:
+        x -= x.max(2, keepdims=True)
     np.exp(x, x)
-    x /= x.sum(2, keepdims=True)
+    x /= _times(x, np.ones((x.shape[-1], 1), np.float32))
     return x
 
 
@@ -243,7 +273,9 @@ def inputs(t: Tokens, place: np.ndarray, valid: np.ndarray, x: np.ndarray) -> tu
     opens[t.bounds[:-1]] = True
     at = np.clip(place, 0, len(t.inverse) - 1)
     words = np.where(valid & ~opens[at], t.inverse[np.maximum(at - 1, 0)], -1)
-    return np.where(words[..., None] >= 0, x[np.maximum(words, 0)], np.float32(0)), words
+    out = x[words]
+    out[words < 0] = 0
+    return out, words
 
 
 @dataclass
@@ -290,19 +322,26 @@ class LanguageModel:
 
 def groups_of(data: np.ndarray, bounds: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """The group of each text: the nearest center of n-gram vectors."""
-    return np.argmax(langid.vectors(langid.counts(data, bounds), np.ones(langid.BINS, np.float32)) @ centers.T, 1)
+    return np.concatenate([np.argmax(v @ centers.T, 1) for v in _vectors(data, bounds)])
+
+
+def _vectors(data: np.ndarray, bounds: np.ndarray, size: int = 200) -> Iterator[np.ndarray]:
+    """The n-gram vectors of some texts after the other, so that short texts take no more memory than long ones."""
+    for a in range(0, len(bounds) - 1, size):
+        part = bounds[a : a + size + 1]
+        yield langid.vectors(langid.counts(data[part[0] : part[-1]], part - part[0]), np.ones(langid.BINS, np.float32))
 
 
 def _centers(learn: DataFrame, start: int = 600, rounds: int = 2) -> np.ndarray:
     """Groups of texts: spherical k-means over all learning texts, whose sums are made by the tasks. Only the places the
     centers start from are chosen among `start` texts."""
-    spark, ones = learn.sparkSession, np.ones(langid.BINS, np.float32)
+    spark = learn.sparkSession
 
     def vectors(batches):
         for b in batches:
             for _, _, data, bounds in C.blocks(b.column("text")):
-                v = langid.vectors(langid.counts(data, bounds), ones)
-                yield pa.record_batch([pa.array([x.astype(np.float16).tobytes() for x in v], pa.binary())], ["x"])
+                for v in _vectors(data, bounds):
+                    yield pa.record_batch([pa.array([x.astype(np.float16).tobytes() for x in v], pa.binary())], ["x"])
 
     chosen = learn.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(start).withColumnRenamed("doc_id", "_chosen")
     got = learn.join(F.broadcast(chosen), F.col("doc_id") == F.col("_chosen"), "left_semi").select(C.byte_texts(learn)).mapInArrow(vectors, "x binary").orderBy("x").toArrow()
@@ -315,10 +354,8 @@ def _centers(learn: DataFrame, start: int = 600, rounds: int = 2) -> np.ndarray:
             m = shared.value
             out = np.zeros(m.shape, np.int64)
             for b in batches:
-                for lo, hi, data, bounds in C.blocks(b.column("text")):
-                    tf = langid.counts(data, bounds)
-                    for a in range(0, hi - lo, 500):
-                        v = langid.vectors(tf[a : a + 500], ones)
+                for _, _, data, bounds in C.blocks(b.column("text")):
+                    for v in _vectors(data, bounds):
                         near = np.argmax(v @ m.T, 1)
                         v = np.rint(v * np.float32(1 << 20))  # whole numbers: their sum is the same in any order
                         for k in np.unique(near):
@@ -368,13 +405,7 @@ def word_counts(learn: DataFrame, centers: np.ndarray | None) -> DataFrame:
 def _vocabulary(b: pa.RecordBatch, raw: bytes) -> Tokens:
     """The words of a batch of the counts as tokens."""
     h = b.column("h").to_numpy().view(np.uint64)
-    real = np.flatnonzero(h != END)
-    words = b.column("w").to_pylist()
-    ids: list[tuple[int, ...]] = [(END_OF_TEXT,)] * len(h)
-    for i, x in zip(real.tolist(), word_ids(h[real], [words[i] for i in real.tolist()], raw), strict=True):
-        ids[i] = x
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    return Tokens(h, np.arange(len(h)), np.array([0, len(h)]), np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)]))
+    return Tokens(h, np.arange(len(h)), np.array([0, len(h)]), *word_ids(h, lambda some: b.column("w").take(pa.array(some)).to_pylist(), raw))
 
 
 def _experts(counts: DataFrame, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -447,7 +478,8 @@ def _with_rare(texts: DataFrame, model: LanguageModel, counts: DataFrame, tasks:
             for lo, hi, data, bounds in C.blocks(b.column("text")):
                 _, h, at = hashes(data, bounds)
                 row = np.repeat(np.arange(hi - lo), np.diff(at))
-                out = ~np.isin(h, shared.value)
+                u, inverse = np.unique(h, return_inverse=True)
+                out = (shared.value[np.minimum(np.searchsorted(shared.value, u), len(shared.value) - 1)] != u if len(shared.value) else np.ones(len(u), bool))[inverse]
                 u, of = C.distinct(h[out], row[out], hi - lo)
                 yield pa.record_batch([pa.array(np.repeat(b.column("_row").to_numpy()[lo:hi], np.diff(of))), pa.array(u.view(np.int64))], ["_row", "h"])
 
@@ -539,8 +571,8 @@ def apply(docs: DataFrame, model: LanguageModel, counts: DataFrame, attend: bool
                 n = len(t.inverse)
                 first, rest = np.empty(n), np.empty(n)  # p(word) = first * base + rest
                 mass = (m.mass + m.base(0))[kind]
-                for a in range(0, len(place), 1024):
-                    some = slice(a, a + 1024)
+                for a in range(0, len(place), 256):
+                    some = slice(a, a + 256)
                     w, y, _ = m.layer.forward(inputs(t, place[some], valid[some], x)[0], valid[some], attend)
                     mine = scored[some][:, WINDOW - STEP :]
                     at = place[some][:, WINDOW - STEP :][mine]

@@ -383,6 +383,41 @@ def test_attention_gradient_is_that_of_the_loss():
         assert slope == pytest.approx(float(grad @ d), rel=0.05, abs=2e-4)
 
 
+def test_lm_texts_are_grouped_a_few_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(0, 40, 3000)]
+    data, bounds = np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(x) for x in parts]))
+    centers = rng.random((lm.EXPERTS, lm.langid.BINS)).astype(np.float32)
+    want = np.argmax(lm.langid.vectors(lm.langid.counts(data, bounds), np.ones(lm.langid.BINS, np.float32)) @ centers.T, 1)
+    most, whole = [], lm.langid.counts
+    monkeypatch.setattr(lm.langid, "counts", lambda d, b: most.append(len(b) - 1) or whole(d, b))
+    assert (lm.groups_of(data, bounds, centers) == want).all()
+    assert max(most) <= 200 and sum(most) == 3000  # rows of 16 KB, however short the texts
+
+
+def test_lm_ids_of_words_met_or_not(monkeypatch):
+    with open(lm.VOCABULARY, "rb") as f:
+        raw = f.read()
+    enc = shards._encoding(raw)
+    texts = ["a b a", "", "na\u00efve \u4e2d\u6587 x\u00a0y \u0085 \u00a0 a", "w1 w2 w3 b", "\u2028 a \U0001f600"]
+    for kept in (200_000, 4):  # all are kept; what is kept is dropped again and again
+        monkeypatch.setattr(lm, "KEPT", kept)
+        for _ in range(2):
+            for text in texts:
+                data = np.frombuffer(text.encode(), np.uint8)
+                t = lm.tokens(data, np.array([0, len(data)]), raw)
+                got = [t.ids[t.at[i] : t.at[i + 1]].tolist() for i in t.inverse]
+                words = [x.decode() for x in re.findall(rb"[^\x20\x09-\x0D]+", text.lower().encode())]
+                assert got == [*([*enc.encode_ordinary(w), lm.END_OF_WORD] for w in words), [lm.END_OF_TEXT]]
+
+
+def test_lm_softmax_of_large_values():
+    x = np.array([[[1.0, 2.0, -1.0], [500.0, 499.0, -500.0]]], np.float32)
+    want = np.exp(x.astype(float) - x.max(2, keepdims=True)) / np.exp(x.astype(float) - x.max(2, keepdims=True)).sum(2, keepdims=True)
+    assert lm._softmax(x.copy()) == pytest.approx(want, abs=1e-6)
+    assert lm._softmax(x[:, :1].copy(), np.array([0, 0, -1e9], np.float32))[0, 0] == pytest.approx([1 / (1 + np.e), np.e / (1 + np.e), 0], abs=1e-6)
+
+
 def test_quality_base(spark, rows, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
 
