@@ -455,22 +455,12 @@ def _mass(counts: DataFrame, model: LanguageModel) -> np.ndarray:
     return model.base(c + 0.1 * v)
 
 
-def _packed(batches):
-    """Blocks of rows as compressed Arrow streams, for a cache on disk."""
-    for b in batches:
-        for lo, hi, _, _ in C.blocks(b.column("text")):
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_batch(b.slice(lo, hi - lo))
-            yield pa.record_batch([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["x"])
-
-
 def _with_rare(texts: DataFrame, model: LanguageModel, counts: DataFrame, tasks: int) -> DataFrame:
-    """x: packed blocks of text, rare: the counts of each text's words that the model's table lacks, joined by hash; null where
-    it lacks none. Rows are dealt over tasks and sorted by a hash, so replicas learn alike wherever the counts lie."""
+    """text, rare: the counts of each text's words that the model's table lacks, joined by hash; null where it lacks none.
+    Rows are dealt over tasks and sorted by a hash, so replicas learn alike wherever the counts lie."""
     dealt = texts.select(F.xxhash64("doc_id", "text").alias("_row"), "text")
     if len(model.h) == model.distinct:
-        return dealt.repartition(tasks, "_row").withColumn("rare", F.lit(None).cast("array<struct<h:long,c:long>>")).sortWithinPartitions("_row").mapInArrow(_packed, "x binary")
+        return dealt.repartition(tasks, "_row").withColumn("rare", F.lit(None).cast("array<struct<h:long,c:long>>")).sortWithinPartitions("_row").drop("_row")
     shared = texts.sparkSession.sparkContext.broadcast(model.h)
 
     def rows(batches):
@@ -485,7 +475,7 @@ def _with_rare(texts: DataFrame, model: LanguageModel, counts: DataFrame, tasks:
 
     found = dealt.mapInArrow(rows, "_row long, h long").join(counts.select("h", "c"), "h").repartition(tasks, "_row")
     rare = found.groupBy("_row").agg(F.collect_set(F.struct("h", "c")).alias("rare"))
-    return dealt.repartition(tasks, "_row").join(rare, "_row", "left").sortWithinPartitions("_row").mapInArrow(_packed, "x binary")
+    return dealt.repartition(tasks, "_row").join(rare, "_row", "left").sortWithinPartitions("_row").drop("_row")
 
 
 def _table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -526,7 +516,7 @@ def fit(learn: DataFrame, every: int = 1, replicas: int = 64, rounds: int = 1, b
             layer = Layer(m.layer.vector.copy())
             mean = square = np.zeros_like(layer.vector)
             step = seen = 0
-            for b in (y for x in batches for z in x.column("x") for y in pa.ipc.open_stream(z.as_buffer())):
+            for b in batches:
                 for lo, hi, data, bounds in C.blocks(b.column("text"), 400_000):
                     t = tokens(data, bounds, m.raw)
                     place, valid, scored = windows(t)

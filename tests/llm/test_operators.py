@@ -395,6 +395,14 @@ def test_lm_texts_are_grouped_a_few_at_a_time(monkeypatch):
     assert max(most) <= 200 and sum(most) == 3000  # rows of 16 KB, however short the texts
 
 
+def test_lm_trains_in_one_python_worker_a_task(docs, monkeypatch):
+    model, counts = lm.fit(docs.where("doc_id > 5"))
+    for h in (model.h, model.h[:0]):  # a second one in the same stage would double the memory of an executor
+        few = lm.LanguageModel(**{**model.__dict__, "h": h})
+        plan = lm._with_rare(docs.select("doc_id", C.byte_texts(docs)), few, counts, 2)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan.split("Join")[0] and ("Join" in plan) == (not len(h))
+
+
 def test_lm_ids_of_words_met_or_not(monkeypatch):
     with open(lm.VOCABULARY, "rb") as f:
         raw = f.read()
