@@ -419,6 +419,38 @@ def test_lm_ids_of_words_met_or_not(monkeypatch):
                 assert got == [*([*enc.encode_ordinary(w), lm.END_OF_WORD] for w in words), [lm.END_OF_TEXT]]
 
 
+def test_lm_table_holds_what_is_made_of_ids(docs):
+    model, _ = lm.fit(docs.where("doc_id > 5"))
+    text = b"the cat zqxv sat on jjqqz the mat \xe4\xb8\xad " + b"x" * 300
+    data, bounds = np.frombuffer(text + text, np.uint8), np.array([0, len(text), len(text), 2 * len(text)])
+    half = lm.LanguageModel(**{**model.__dict__, "h": model.h[::2], "c": model.c[::2], "kind": model.kind[::2], "logs": model.logs[::2], "ids": (few := lm.Tokens(model.h, None, None, model.ids, model.at).some(np.arange(0, len(model.h), 2))).ids, "at": few.at})
+    plain = lm.tokens(data, bounds, model.raw)
+    for m in (model, half, lm.LanguageModel(**{**model.__dict__, "h": model.h[:0]})):  # all words in it, every second one, none
+        t = lm.tokens(data, bounds, model.raw, m)
+        assert (t.hash == plain.hash).all() and (t.inverse == plain.inverse).all() and (t.ids == plain.ids).all() and (t.at == plain.at).all()
+        assert (m.classes(t) == model.classes(plain)).all() and (m.experts(t) == model.experts(plain)).all()
+        assert (m.counts(t) >= 0).sum() == np.isin(t.hash, m.h).sum()
+
+
+def test_lm_each_place_is_embedded_once():
+    rng = np.random.default_rng(5)
+    n, size = rng.integers(0, 30, 400), rng.integers(1, 12, 30)
+    at = np.append(0, np.cumsum(size))
+    t = lm.Tokens(np.arange(30, dtype=np.uint64), n, np.array([0, 1, 17, 60, 400]), rng.integers(0, 50000, at[-1]), at)
+    t.ids[at[1::2] - 1] = lm.END_OF_WORD
+    place, valid, _ = lm.windows(t)
+    layer = lm.Layer()
+    want = np.array([layer.parts(layer.vector)[0][t.ids[at[i] : at[i + 1]] % lm.BINS].mean(0) for i in range(30)])
+    assert layer.embed(t) == pytest.approx(want, abs=1e-6)
+    places = lm.places_of(t, place, valid)
+    for a in range(0, len(place), 3):  # rows of one batch after the other, with the STEP places before it
+        z = layer.embedded(places[a : a + 4])
+        assert len(z) == len(place[a : a + 3]) + 1
+        for row, (ps, ok) in enumerate(zip(place[a : a + 3, -lm.STEP :], valid[a : a + 3, -lm.STEP :], strict=True), 1):
+            for j, (p, v) in enumerate(zip(ps, ok, strict=True)):
+                assert z[row, j] == pytest.approx(want[n[p - 1]] if v and p not in t.bounds else 0 * want[0], abs=1e-6)
+
+
 def test_lm_softmax_of_large_values():
     x = np.array([[[1.0, 2.0, -1.0], [500.0, 499.0, -500.0]]], np.float32)
     want = np.exp(x.astype(float) - x.max(2, keepdims=True)) / np.exp(x.astype(float) - x.max(2, keepdims=True)).sum(2, keepdims=True)
