@@ -51,7 +51,7 @@ FAR = 60
 SHRINK = np.float32(1 / np.sqrt(DIM))
 #: A word's ids that are added one after the other; those beyond are summed by word.
 FEW = 4
-#: Words sent to the tasks, at most: 12 bytes each.
+#: Words sent to the tasks, at most: 56 bytes each, and 4 for each of a word's ids.
 TABLE = 500_000
 #: Tokens of all texts for which there is one more replica.
 REPLICA = 300_000
